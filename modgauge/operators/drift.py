@@ -67,11 +67,28 @@ def drift(
         # Implied by the verdict, but simple enough to reach the scan.
         .filter(governed)
         .filter(~any_glob(source, rules.ignore.drift))
-        .filter(~import_allowed(source, target, boundaries))
-        .withColumn("rule", governing_rule(source, boundaries))
-        .select(
-            *columns,
-            F.col("rule.name").alias("boundary_name"),
-            F.col("rule.pattern").alias("boundary_rule"),
-        )
+        .select(*columns, F.inline(_broken_rule(source, target, boundaries)))
     )
+
+
+def _broken_rule(
+    source: Column, target: Column, boundaries: tuple[BoundaryRule, ...]
+) -> Column:
+    """The governing rule as a one-element array when it is broken, else an empty one.
+
+    Unnesting it filters and labels in one evaluation; a filter on the verdict
+    would repeat every glob, once to filter and once to name the rule.
+    """
+    rule_type = "array<struct<boundary_name:string,boundary_rule:string>>"
+    kept = F.array().cast(rule_type)
+
+    def judged(_: int, rule: BoundaryRule) -> Column:
+        broken = F.array(
+            F.struct(
+                F.lit(rule.name).alias("boundary_name"),
+                F.lit(rule.pattern).alias("boundary_rule"),
+            )
+        )
+        return F.when(any_glob(target, rule.allowed_imports), kept).otherwise(broken)
+
+    return F.coalesce(_by_rule(source, boundaries, judged), kept)
