@@ -205,13 +205,13 @@ def pair_cycle_evidence_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def coupling_query(spark: SparkSession, folder: str) -> DataFrame:
-    return coupling(graph.module_links(references(spark, folder))).withColumn(
-        "dependencies", F.array_join("dependencies", ",")
-    )
+    links, _ = cut_lineage(graph.module_links(references(spark, folder)))
+    return coupling(links).withColumn("dependencies", F.array_join("dependencies", ","))
 
 
 def coupling_dependencies_query(spark: SparkSession, folder: str) -> DataFrame:
-    return coupling_dependencies(graph.module_links(references(spark, folder)))
+    links, _ = cut_lineage(graph.module_links(references(spark, folder)))
+    return coupling_dependencies(links)
 
 
 def _findings(

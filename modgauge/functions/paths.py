@@ -33,8 +33,3 @@ def module_of(path: Column) -> Column:
 
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
-
-
-def capitalize_first(text: Column) -> Column:
-    """Upper-case the first character and keep the rest (initcap would not)."""
-    return F.concat(F.upper(F.substr(text, F.lit(1), F.lit(1))), F.substr(text, F.lit(2)))

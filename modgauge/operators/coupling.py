@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from modgauge.config import Thresholds
 from modgauge.functions.severity import CRITICAL, WARNING
 from modgauge.operators.graph import fan_out
+from modgauge.operators.skew import join_keyed
 from modgauge.operators.topk import first_k_per_group
 
 # A row lists every dependency up to this fan-out.  Past it the row lists the
@@ -57,20 +58,7 @@ def coupling_dependencies(
     targets = edges.select(
         F.col("src_module").alias("module"), F.col("dst_module").alias("dependency")
     )
-    return targets.join(
-        coupled_modules(edges, thresholds).drop("severity"), "module"
-    ).select("module", "fan_out", "dependency")
-
-
-def displayed_dependencies(fan_out_: Column, dependencies: Column) -> Column:
-    """All names up to ten, else the first ten and how many more there are."""
-    shown = F.array_join(
-        F.transform(
-            F.slice(dependencies, 1, DISPLAYED_DEPENDENCIES),
-            lambda module: F.concat(F.lit("`"), module, F.lit("`")),
-        ),
-        ", ",
-    )
-    return F.when(fan_out_ <= DISPLAYED_DEPENDENCIES, shown).otherwise(
-        F.format_string("%s and %s more", shown, fan_out_ - DISPLAYED_DEPENDENCIES)
+    coupled = coupled_modules(edges, thresholds).drop("severity")
+    return join_keyed(targets, coupled, "module", "inner").select(
+        "module", "fan_out", "dependency"
     )

@@ -21,27 +21,32 @@ _ROW_OVERHEAD = 64
 # strongly connected modules, so there are at most 262,144 pairs.
 CLOSURE_EDGES = 512
 
+# Open paths per task before they are spread over more tasks.
+PATHS_PER_PARTITION = 200_000
+
 
 class TooManyPaths(RuntimeError):
     """The number of open paths passed the caller's limit."""
 
 
-def pair_cycles(edges: DataFrame) -> DataFrame:
-    """Modules that depend on each other, once per pair, smaller name first.
-
-    Both directions of a pair meet in one aggregation, so no self-join.
-    """
-    first, second = F.least("src_module", "dst_module"), F.greatest("src_module", "dst_module")
+def _pairs(edges: DataFrame) -> DataFrame:
+    """Both directions of every module pair in one row, met by aggregation."""
     forwards = F.col("src_module") < F.col("dst_module")
-    total = F.col("forward_refs") + F.col("backward_refs")
+    return edges.groupBy(
+        F.least("src_module", "dst_module").alias("module_a"),
+        F.greatest("src_module", "dst_module").alias("module_b"),
+    ).agg(
+        F.sum(F.when(forwards, F.col("ref_count"))).alias("forward_refs"),
+        F.sum(F.when(~forwards, F.col("ref_count"))).alias("backward_refs"),
+    )
+
+
+def pair_cycles(edges: DataFrame) -> DataFrame:
+    """Modules that depend on each other, once per pair, smaller name first."""
     return (
-        edges.groupBy(first.alias("module_a"), second.alias("module_b"))
-        .agg(
-            F.sum(F.when(forwards, F.col("ref_count"))).alias("forward_refs"),
-            F.sum(F.when(~forwards, F.col("ref_count"))).alias("backward_refs"),
-        )
-        .filter((F.col("forward_refs") > 0) & (F.col("backward_refs") > 0))
-        .withColumn("total_refs", total)
+        _pairs(edges)
+        .filter("forward_refs > 0 AND backward_refs > 0")
+        .withColumn("total_refs", F.col("forward_refs") + F.col("backward_refs"))
         .withColumn(
             "severity",
             F.when(F.col("total_refs") > PAIR_CRITICAL_ABOVE, CRITICAL).otherwise(WARNING),
@@ -55,14 +60,11 @@ def canonical_cycle(path: Column) -> Column:
     Start at the smallest node, then take the smaller of the two directions.
     """
     at = F.array_position(path, F.array_min(path)).cast("int")
-    from_smallest = F.concat(
-        F.slice(path, at, F.size(path)), F.slice(path, F.lit(1), at - 1)
+    onwards = F.concat(F.slice(path, at, F.size(path)), F.slice(path, F.lit(1), at - 1))
+    backwards = F.concat(
+        F.slice(onwards, 1, 1), F.reverse(F.slice(onwards, F.lit(2), F.size(onwards)))
     )
-    return F.least(from_smallest, _other_direction(from_smallest))
-
-
-def _other_direction(path: Column) -> Column:
-    return F.concat(F.slice(path, 1, 1), F.reverse(F.slice(path, F.lit(2), F.size(path))))
+    return F.least(onwards, backwards)
 
 
 def long_cycles(
@@ -81,135 +83,85 @@ def long_cycles(
     """
     edges, small = _cyclic_core(_with_reverse(edges))
     edges = F.broadcast(edges) if small else edges
-    found = []
-    paths = edges.filter(F.col("dst") > F.col("src")).select(
-        F.array("src", "dst").alias("path"),
-        F.col("dst").alias("tail"),
-        "refs",
-        "reverse_refs",
-        _edge().alias("weakest"),
+    paths = edges.filter("dst > src").selectExpr(
+        "array(src, dst) AS path", "dst AS tail", "refs", "reverse_refs", f"{_EDGE} AS weakest"
     )
-    length = 2
+    found = []
+    length, partitions = 2, 1
     while max_len is None or length < max_len:
         steps, seen = cut_lineage(
-            _extend(paths, edges, closing=length >= 3),
-            open_paths=F.count_if(~F.col("closed")),
+            _follow(paths, edges, f"({_CLOSES}) OR ({_GOES_ON})"),
+            open_paths=F.count_if("open"),
         )
-        found.append(steps.filter("closed"))
-        paths = steps.filter(~F.col("closed"))
-        if not seen["open_paths"]:
+        found.append(steps.filter("NOT open"))
+        paths, open_paths = steps.filter("open"), seen["open_paths"]
+        if not open_paths:
             break
-        if max_paths is not None and seen["open_paths"] > max_paths:
+        if max_paths is not None and open_paths > max_paths:
             raise TooManyPaths(
-                f"{seen['open_paths']} open paths of {length + 1} modules; "
+                f"{open_paths} open paths of {length + 1} modules; "
                 "pass max_len or raise max_paths"
             )
         length += 1
+        # A broadcast join keeps the partitions it is given, however much the
+        # paths multiply, so spread them again when they have outgrown those.
+        if small and open_paths > 2 * partitions * PATHS_PER_PARTITION:
+            partitions = -(-open_paths // PATHS_PER_PARTITION)
+            paths = paths.repartition(partitions, "path")
     else:
-        if length >= 3:
-            found.append(_close(paths, edges))
-    if not found:  # max_len below 3
-        found.append(_extend(paths, edges, closing=False).filter("closed"))
-    cycles = reduce(DataFrame.unionByName, found)
+        found.append(_follow(paths, edges, _CLOSES))
     return (
-        cycles.filter(_is_reported_direction())
-        .select("path", F.size("path").alias("length"), "refs", "weakest")
-        .withColumnRenamed("refs", "total_refs")
-    )
-
-
-def _edge() -> Column:
-    return F.struct(
-        F.col("refs").alias("ref_count"),
-        F.col("src").alias("src_module"),
-        F.col("dst").alias("dst_module"),
-    )
-
-
-def _with_reverse(edges: DataFrame) -> DataFrame:
-    """(src, dst, refs, reverse_refs): each edge with the weight of its opposite.
-
-    A path can then carry the weight of its reverse along, and the choice
-    between a cycle and its reverse needs no grouping of cycles later on.
-    """
-    pair = [F.least("src_module", "dst_module"), F.greatest("src_module", "dst_module")]
-    forwards = F.col("src_module") < F.col("dst_module")
-    weights = edges.groupBy(pair[0].alias("a"), pair[1].alias("b")).agg(
-        F.sum(F.when(forwards, F.col("ref_count"))).alias("ab"),
-        F.sum(F.when(~forwards, F.col("ref_count"))).alias("ba"),
+        reduce(DataFrame.unionByName, found)
+        .filter(_REPORTED_DIRECTION)
+        .selectExpr("path", "size(path) AS length", "refs AS total_refs", "weakest")
     )
 
-    def direction(src: str, dst: str, refs: str, back: str) -> Column:
-        return F.struct(
-            F.col(src).alias("src"),
-            F.col(dst).alias("dst"),
-            F.col(refs).alias("refs"),
-            F.col(back).alias("reverse_refs"),
-        )
 
-    both = F.array(direction("a", "b", "ab", "ba"), direction("b", "a", "ba", "ab"))
-    return weights.select(F.inline(both)).filter(F.col("refs") > 0)
+# A path starts at its smallest module and never visits a module twice.
+_CLOSES = "e.dst = p.path[0] AND size(p.path) >= 3"
+_GOES_ON = "e.dst > p.path[0] AND NOT array_contains(p.path, e.dst)"
+_EDGE = "struct(refs AS ref_count, src AS src_module, dst AS dst_module)"
+_LIGHTER = "struct(e.refs AS ref_count, e.src AS src_module, e.dst AS dst_module)"
+_REPORTED_DIRECTION = (
+    "reverse_refs IS NULL OR refs > reverse_refs OR (refs = reverse_refs AND "
+    "path <= concat(slice(path, 1, 1), reverse(slice(path, 2, size(path)))))"
+)
 
 
-def _extend(paths: DataFrame, edges: DataFrame, closing: bool) -> DataFrame:
-    """Paths one edge longer: still open, or back at their start when allowed.
+def _follow(paths: DataFrame, edges: DataFrame, condition: str) -> DataFrame:
+    """Paths and the edges leaving their last module, where `condition` holds.
 
-    A path starts at its smallest module and never visits a module twice.
+    An edge back to the start closes a path, any other makes it one longer.
     """
-    start = F.col("path")[0]
-    closed = F.col("dst") == start
-    goes_on = (F.col("dst") > start) & ~F.array_contains("path", F.col("dst"))
-    return (
-        _follow(paths, edges, F.col("p.tail") == F.col("e.src"))
-        .filter((closed | goes_on) if closing else goes_on)
-        .select(
-            F.when(closed, F.col("path"))
-            .otherwise(F.array_append("path", F.col("dst")))
-            .alias("path"),
-            F.col("dst").alias("tail"),
-            *_carried(),
-            closed.alias("closed"),
-        )
-    )
-
-
-def _close(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """Only the paths whose last module has an edge back to their start."""
-    back = (F.col("p.tail") == F.col("e.src")) & (F.col("p.path")[0] == F.col("e.dst"))
-    return _follow(paths, edges, back).select(
-        "path", F.col("dst").alias("tail"), *_carried(), F.lit(True).alias("closed")
-    )
-
-
-def _follow(paths: DataFrame, edges: DataFrame, condition: Column) -> DataFrame:
     return (
         paths.alias("p")
-        .join(edges.alias("e"), condition)
-        .select(
-            "p.path",
-            F.col("p.refs").alias("path_refs"),
-            F.col("p.reverse_refs").alias("path_reverse_refs"),
-            F.col("p.weakest").alias("path_weakest"),
-            "e.*",
+        .join(edges.alias("e"), F.expr(f"p.tail = e.src AND ({condition})"))
+        .selectExpr(
+            "IF(e.dst = p.path[0], p.path, array_append(p.path, e.dst)) AS path",
+            "e.dst AS tail",
+            "p.refs + e.refs AS refs",
+            # NULL as soon as one edge has no opposite: then there is no reverse.
+            "p.reverse_refs + e.reverse_refs AS reverse_refs",
+            f"least(p.weakest, {_LIGHTER}) AS weakest",
+            "e.dst <> p.path[0] AS open",
         )
     )
 
 
-def _carried() -> list[Column]:
-    return [
-        (F.col("path_refs") + F.col("refs")).alias("refs"),
-        # NULL as soon as one edge has no opposite: then there is no reverse.
-        (F.col("path_reverse_refs") + F.col("reverse_refs")).alias("reverse_refs"),
-        F.least("path_weakest", _edge()).alias("weakest"),
-    ]
-
+def _with_reverse(edges: DataFrame) -> DataFrame:
+    """(src, dst, refs, reverse_refs): each edge with the weight of its opposite.
 
-def _is_reported_direction() -> Column:
-    refs, reverse_refs = F.col("refs"), F.col("reverse_refs")
+    A path can then carry the weight of its reverse along, and the choice
+    between a cycle and its reverse needs no grouping of cycles later on.
+    """
     return (
-        reverse_refs.isNull()
-        | (refs > reverse_refs)
-        | ((refs == reverse_refs) & (F.col("path") <= _other_direction(F.col("path"))))
+        _pairs(edges)
+        .selectExpr(
+            "stack(2, module_a, module_b, forward_refs, backward_refs, "
+            "module_b, module_a, backward_refs, forward_refs) "
+            "AS (src, dst, refs, reverse_refs)"
+        )
+        .filter("refs > 0")
     )
 
 
@@ -246,20 +198,20 @@ def _with_way_back(edges: DataFrame) -> DataFrame:
     while True:
         two_steps = (
             reach.alias("a")
-            .join(F.broadcast(reach.alias("b")), F.col("a.dst") == F.col("b.src"))
-            .select("a.src", "b.dst", F.lit(True).alias("new"))
+            .join(F.broadcast(reach.alias("b")), F.expr("a.dst = b.src"))
+            .selectExpr("a.src", "b.dst", "true AS new")
         )
-        grown = (
-            reach.withColumn("new", F.lit(False))
+        grown, seen = cut_lineage(
+            reach.selectExpr("src", "dst", "false AS new")
             .unionByName(two_steps)
             .groupBy("src", "dst")
-            .agg(F.bool_and("new").alias("new"))
+            .agg(F.bool_and("new").alias("new")),
+            new_pairs=F.count_if("new"),
         )
-        grown, seen = cut_lineage(grown, new_pairs=F.count_if("new"))
         reach = grown.drop("new")
         if not seen["new_pairs"]:
             break
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    back = reach.selectExpr("dst AS src", "src AS dst")
     return edges.join(F.broadcast(back), ["src", "dst"], "left_semi").select(*edges.columns)
 
 
@@ -275,11 +227,11 @@ def _same_component(edges: DataFrame, small: bool) -> DataFrame:
     """
     while True:
         labels = _settled_labels(edges, small)
-        agree = (F.col("s.lowest_before") == F.col("d.lowest_before")) & (
-            F.col("s.lowest_after") == F.col("d.lowest_after")
-        )
         judged, seen = cut_lineage(
-            _label_ends(edges, labels, small).select("e.*", agree.alias("agree")),
+            _with_labels(edges, labels, small).selectExpr(
+                *[f"e.{column}" for column in edges.columns],
+                "s.before = d.before AND s.after = d.after AS agree",
+            ),
             dropped=F.count_if(~F.col("agree")),
         )
         edges = judged.filter("agree").drop("agree")
@@ -287,63 +239,57 @@ def _same_component(edges: DataFrame, small: bool) -> DataFrame:
             return edges
 
 
-def _label_ends(edges: DataFrame, labels: DataFrame, small: bool) -> DataFrame:
+def _with_labels(edges: DataFrame, labels: DataFrame, small: bool) -> DataFrame:
     # At most two labels per edge, so small edges mean small labels.
     labels = F.broadcast(labels) if small else labels
     return (
         edges.alias("e")
-        .join(labels.alias("s"), F.col("e.src") == F.col("s.node"))
-        .join(labels.alias("d"), F.col("e.dst") == F.col("d.node"))
+        .join(labels.alias("s"), F.expr("e.src = s.node"))
+        .join(labels.alias("d"), F.expr("e.dst = d.node"))
     )
 
 
 def _settled_labels(edges: DataFrame, small: bool) -> DataFrame:
-    """(node, lowest_before, lowest_after) once no label changes any more."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    labels = ends.select(
-        "node", F.col("node").alias("lowest_before"), F.col("node").alias("lowest_after")
+    """(node, before, after): smallest module reaching a node, and reached by it."""
+    labels = (
+        edges.selectExpr("explode(array(src, dst)) AS node")
+        .distinct()
+        .selectExpr("node", "node AS before", "node AS after")
     )
     while True:
-        labels, seen = cut_lineage(
+        spread, seen = cut_lineage(
             _spread(edges, labels, small), changed=F.count_if("changed")
         )
+        labels = spread.drop("changed")
         if not seen["changed"]:
             return labels
-        labels = labels.drop("changed")
 
 
 def _spread(edges: DataFrame, labels: DataFrame, small: bool) -> DataFrame:
-    """Pass labels along every edge, both ways; keep the smallest per module."""
-    ends = _label_ends(edges, labels.select("node", "lowest_before", "lowest_after"), small)
-    text = F.lit(None).cast("string")
-
-    def message(node: str, before: Column, after: Column, own: bool) -> Column:
-        return F.struct(
-            F.col(node).alias("node"),
-            before.alias("lowest_before"),
-            after.alias("lowest_after"),
-            F.lit(own).alias("own"),
-        )
+    """Pass labels along every edge, both ways; keep the smallest per module.
 
-    before, after = F.col("s.lowest_before"), F.col("d.lowest_after")
-    messages = ends.select(
-        F.inline(
-            F.array(
-                message("e.dst", before, text, False),
-                message("e.src", text, after, False),
-                # An end's own labels travel along: every node is an end.
-                message("e.src", F.col("s.lowest_before"), F.col("s.lowest_after"), True),
-                message("e.dst", F.col("d.lowest_before"), F.col("d.lowest_after"), True),
-            )
+    Both ends of an edge also repeat their own labels, so that they stay in the
+    comparison; the copies shrink to one row per module and task before the
+    shuffle.
+    """
+    return (
+        _with_labels(edges, labels, small)
+        .selectExpr(
+            "stack(2, e.src, s.before, d.after, s.before, s.after, "
+            "e.dst, s.before, d.after, d.before, d.after) "
+            "AS (node, before, after, own_before, own_after)"
+        )
+        .groupBy("node", "own_before", "own_after")
+        .agg(
+            F.least("own_before", F.min("before")).alias("before"),
+            F.least("own_after", F.min("after")).alias("after"),
+        )
+        .selectExpr(
+            "node",
+            "before",
+            "after",
+            "before <> own_before OR after <> own_after AS changed",
         )
-    )
-    own_before = F.max(F.when(F.col("own"), F.col("lowest_before")))
-    own_after = F.max(F.when(F.col("own"), F.col("lowest_after")))
-    lowest_before, lowest_after = F.min("lowest_before"), F.min("lowest_after")
-    return messages.groupBy("node").agg(
-        lowest_before.alias("lowest_before"),
-        lowest_after.alias("lowest_after"),
-        ((lowest_before != own_before) | (lowest_after != own_after)).alias("changed"),
     )
 
 

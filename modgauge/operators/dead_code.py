@@ -8,6 +8,7 @@ from modgauge.config import Rules
 from modgauge.functions.globs import any_glob
 from modgauge.functions.paths import basename
 from modgauge.functions.severity import CRITICAL, INFO, WARNING, severity_rank
+from modgauge.operators.skew import join_keyed
 
 # Fixed values.
 REPORTED_KINDS = ("function", "method", "class", "struct", "enum", "trait", "interface")
@@ -50,11 +51,11 @@ def unreferenced(
 
     Spark plans a literal NOT IN over nullable columns as a broadcast of every
     referenced name, whatever its size.  An anti join against the distinct names
-    can shuffle instead; AQE splits a partition of one very common definition
-    name, since its other side is a single row.  The NULL rules move into one
-    scalar: a NULL among the targets empties the result, and a NULL definition
-    name survives only when there are no targets.  Callers that have already
-    set incomplete rows aside pass null_aware=False and save that scan.
+    can shuffle instead, and a definition name that is very common is spread
+    over many tasks.  The NULL rules move into one scalar: a NULL among the
+    targets empties the result, and a NULL definition name survives only when
+    there are no targets.  Callers that have already set incomplete rows aside
+    pass null_aware=False and save that scan.
     """
     if null_aware:
         null_targets = F.count_if(F.col("target_name").isNull())
@@ -65,7 +66,7 @@ def unreferenced(
             (verdict == "all") | ((verdict == "named") & F.col("name").isNotNull())
         )
     targets = refs.select(F.col("target_name").alias("name")).distinct()
-    return defs.join(targets, "name", "left_anti")
+    return join_keyed(defs, targets, "name", "left_anti")
 
 
 def dead_code(

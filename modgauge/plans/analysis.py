@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from modgauge.config import Rules
 from modgauge.operators.coupling import coupling
@@ -66,25 +66,3 @@ def analyze(
         return defs.sparkSession.createDataFrame([], FINDINGS)
     findings = reduce(DataFrame.unionByName, parts)
     return rows.at_least(findings, min_severity)
-
-
-def in_report_order(findings: DataFrame) -> DataFrame:
-    """Findings sorted as the report lists them; a distributed range sort."""
-    position = F.array_position(F.array(*[F.lit(c) for c in rows.CATEGORIES]), F.col("category"))
-    return findings.orderBy(
-        position,
-        *report_keys(),
-        "finding_id",
-    )
-
-
-def report_keys() -> list:
-    """Sort keys inside a section: coupling by fan-out, the rest by place."""
-    fan_out = F.coalesce(F.col("related.fan_out"), F.lit(0))
-    return [
-        F.desc(fan_out),
-        F.col("location.file"),
-        F.asc_nulls_last("location.line"),
-        F.col("location.name"),
-        F.col("description"),
-    ]

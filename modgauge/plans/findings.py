@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from modgauge.functions import texts
-from modgauge.functions.paths import capitalize_first
-from modgauge.functions.severity import CRITICAL, WARNING, rank_of, severity_rank
-from modgauge.operators.coupling import displayed_dependencies
+from modgauge.functions.severity import CRITICAL, WARNING, rank_of
+from modgauge.operators.coupling import DISPLAYED_DEPENDENCIES
 from modgauge.operators.cycles import canonical_cycle
-from modgauge.schema import FINDINGS, RELATED
+from modgauge.schema import RELATED
 
 # Fixed values, in report order.
 DEAD_CODE = "dead_code"
@@ -18,161 +17,163 @@ HIGH_COUPLING = "high_coupling"
 ARCHITECTURAL_DRIFT = "architectural_drift"
 CATEGORIES = (DEAD_CODE, CIRCULAR_DEPENDENCY, HIGH_COUPLING, ARCHITECTURAL_DRIFT)
 
-_SEPARATOR = "\u0001"
+_SEPARATOR = r"'\u0001'"
+
+
+def literal(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def worded(template: str, *values: str) -> str:
+    """SQL for one of the fixed sentences, filled with column expressions."""
+    return f"format_string({', '.join([literal(template), *values])})"
 
 
 def to_findings(
     df: DataFrame,
     *,
     category: str,
-    severity: Column,
-    file: Column,
-    name: Column,
-    description: Column,
-    remediation: Column,
-    line: Column | None = None,
-    related: dict[str, Column] | None = None,
-    identity: list[Column] | None = None,
+    severity: str,
+    file: str,
+    name: str,
+    description: str,
+    remediation: str,
+    line: str = "CAST(NULL AS BIGINT)",
+    related: dict[str, str] | None = None,
+    identity: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Project `df` to the findings schema.
+    """Project `df` to the findings schema; the arguments are SQL expressions.
 
     `diff_key` identifies what is found: category, file, name and `identity`,
     but neither line nor wording, so a definition that moved is the same
     finding.  `finding_id` adds the line.  Both are the same in every run.
     """
-    line = F.lit(None).cast("bigint") if line is None else line
     related = related or {}
-    key = F.sha2(
-        F.concat_ws(_SEPARATOR, F.lit(category), file, name, *(identity or [])), 256
+    key_parts = ", ".join([_SEPARATOR, literal(category), file, name, *identity])
+    key = f"sha2(concat_ws({key_parts}), 256)"
+    related_fields = ", ".join(
+        f"CAST({related.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
+        for f in RELATED.fields
+    )
+    return df.selectExpr(
+        f"sha2(concat_ws({_SEPARATOR}, {key}, coalesce(CAST({line} AS STRING), '')), 256) AS finding_id",
+        f"{key} AS diff_key",
+        f"{severity} AS severity",
+        f"CASE {severity} WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END "
+        "AS severity_rank",
+        f"{literal(category)} AS category",
+        f"struct({file} AS file, {line} AS line, {name} AS name) AS location",
+        f"{description} AS description",
+        f"{remediation} AS remediation",
+        f"struct({related_fields}) AS related",
     )
-    columns = {
-        "finding_id": F.sha2(
-            F.concat_ws(_SEPARATOR, key, F.coalesce(line.cast("string"), F.lit(""))), 256
-        ),
-        "diff_key": key,
-        "severity": severity,
-        "severity_rank": severity_rank(severity),
-        "category": F.lit(category),
-        "location": F.struct(file.alias("file"), line.alias("line"), name.alias("name")),
-        "description": description,
-        "remediation": remediation,
-        "related": F.struct(
-            *[
-                related.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in RELATED.fields
-            ]
-        ),
-    }
-    return df.select(*[columns[f.name].alias(f.name) for f in FINDINGS.fields])
+
+
+# initcap would lower the rest of the word.
+_KIND = "concat(upper(substr(kind, 1, 1)), substr(kind, 2))"
 
 
 def dead_code_findings(dead: DataFrame) -> DataFrame:
-    name, file, kind = F.col("name"), F.col("file"), F.col("kind")
-    critical = F.format_string(texts.DEAD_CODE_REMEDY_CRITICAL, F.lower(kind), name)
-    other = F.format_string(texts.DEAD_CODE_REMEDY_OTHER, capitalize_first(kind), name)
+    critical = worded(texts.DEAD_CODE_REMEDY_CRITICAL, "lower(kind)", "name")
+    other = worded(texts.DEAD_CODE_REMEDY_OTHER, _KIND, "name")
     return to_findings(
         dead,
         category=DEAD_CODE,
-        severity=F.col("severity"),
-        file=file,
-        line=F.col("line"),
-        name=name,
-        description=F.format_string(
-            texts.DEAD_CODE_DESCRIPTION, capitalize_first(kind), name, file
-        ),
-        remediation=F.when(F.col("severity") == CRITICAL, critical).otherwise(other),
-        related={"kind": kind},
-        identity=[kind],
+        severity="severity",
+        file="file",
+        line="line",
+        name="name",
+        description=worded(texts.DEAD_CODE_DESCRIPTION, _KIND, "name", "file"),
+        remediation=f"IF(severity = '{CRITICAL}', {critical}, {other})",
+        related={"kind": "kind"},
+        identity=("kind",),
     )
 
 
 def pair_cycle_findings(pairs: DataFrame) -> DataFrame:
-    a, b, total = F.col("module_a"), F.col("module_b"), F.col("total_refs")
+    a, b, total = "module_a", "module_b", "total_refs"
     return to_findings(
         pairs,
         category=CIRCULAR_DEPENDENCY,
-        severity=F.col("severity"),
-        file=F.concat(a, F.lit("/")),
-        name=F.concat(a, F.lit(" <-> "), b),
-        description=F.format_string(texts.PAIR_DESCRIPTION, a, b, total, a, b, b, a),
-        remediation=F.format_string(texts.PAIR_REMEDY, a, b),
+        severity="severity",
+        file=f"concat({a}, '/')",
+        name=f"concat({a}, ' <-> ', {b})",
+        description=worded(texts.PAIR_DESCRIPTION, a, b, total, a, b, b, a),
+        remediation=worded(texts.PAIR_REMEDY, a, b),
         related={"other_module": b, "cycle_count": total},
     )
 
 
+def _listed(modules: str, separator: str) -> str:
+    """Module names in backticks."""
+    return f"array_join(transform({modules}, m -> concat('`', m, '`')), '{separator}')"
+
+
 def long_cycle_findings(cycles: DataFrame) -> DataFrame:
-    path, first, length = F.col("path"), F.col("path")[0], F.col("length")
-    chain = F.array_join(
-        F.transform(path, lambda module: F.concat(F.lit("`"), module, F.lit("`"))), " -> "
+    chain = _listed("path", " -> ")
+    keyed = cycles.withColumn(
+        "cycle_key", F.array_join(canonical_cycle(F.col("path")), " -> ")
     )
     return to_findings(
-        cycles,
+        keyed,
         category=CIRCULAR_DEPENDENCY,
-        severity=F.lit(CRITICAL),
-        file=F.concat(first, F.lit("/")),
-        name=F.format_string("cycle(%s)", length),
-        description=F.format_string(
-            texts.CYCLE_DESCRIPTION, length, chain, first, F.col("total_refs")
+        severity=f"'{CRITICAL}'",
+        file="concat(path[0], '/')",
+        name="format_string('cycle(%s)', length)",
+        description=worded(
+            texts.CYCLE_DESCRIPTION, "length", chain, "path[0]", "total_refs"
         ),
-        remediation=F.lit(texts.CYCLE_REMEDY),
-        related={"other_module": chain, "cycle_count": F.col("total_refs")},
+        remediation=literal(texts.CYCLE_REMEDY),
+        related={"other_module": chain, "cycle_count": "total_refs"},
         # Not the reported path: that may turn round when weights change.
-        identity=[F.array_join(canonical_cycle(path), " -> ")],
+        identity=("cycle_key",),
     )
 
 
 def coupling_findings(coupled: DataFrame) -> DataFrame:
-    module, fan_out, dependencies = F.col("module"), F.col("fan_out"), F.col("dependencies")
+    shown = _listed(f"slice(dependencies, 1, {DISPLAYED_DEPENDENCIES})", ", ")
+    more = f"format_string(' and %s more', fan_out - {DISPLAYED_DEPENDENCIES})"
+    dependencies = f"concat({shown}, IF(fan_out > {DISPLAYED_DEPENDENCIES}, {more}, ''))"
+    critical = worded(texts.COUPLING_REMEDY_CRITICAL, "module", "fan_out")
+    warning = worded(texts.COUPLING_REMEDY_WARNING, "module", "fan_out")
     return to_findings(
         coupled,
         category=HIGH_COUPLING,
-        severity=F.col("severity"),
-        file=F.concat(module, F.lit("/")),
-        name=module,
-        description=F.format_string(
-            texts.COUPLING_DESCRIPTION,
-            module,
-            fan_out,
-            fan_out,
-            displayed_dependencies(fan_out, dependencies),
+        severity="severity",
+        file="concat(module, '/')",
+        name="module",
+        description=worded(
+            texts.COUPLING_DESCRIPTION, "module", "fan_out", "fan_out", dependencies
         ),
-        remediation=F.when(
-            F.col("severity") == CRITICAL,
-            F.format_string(texts.COUPLING_REMEDY_CRITICAL, module, fan_out),
-        ).otherwise(F.format_string(texts.COUPLING_REMEDY_WARNING, module, fan_out)),
+        remediation=f"IF(severity = '{CRITICAL}', {critical}, {warning})",
         related={
-            "module_name": module,
-            "fan_out": fan_out,
-            "dependencies": dependencies,
+            "module_name": "module",
+            "fan_out": "fan_out",
+            "dependencies": "dependencies",
         },
     )
 
 
 def drift_findings(violations: DataFrame) -> DataFrame:
-    rule = F.col("boundary_name")
-    source_file, source_name = F.col("source_file"), F.col("source_name")
-    target_file, target_name = F.col("target_file"), F.col("target_name")
+    source = ("source_name", "source_file")
+    target = ("target_name", "target_file")
+    rule = "boundary_name"
     return to_findings(
         violations,
         category=ARCHITECTURAL_DRIFT,
-        severity=F.lit(WARNING),
-        file=source_file,
-        name=source_name,
-        description=F.format_string(
-            texts.DRIFT_DESCRIPTION, source_name, source_file, rule, target_name, target_file
-        ),
-        remediation=F.format_string(
-            texts.DRIFT_REMEDY, target_name, rule, rule, target_name, target_file
-        ),
+        severity=f"'{WARNING}'",
+        file="source_file",
+        name="source_name",
+        description=worded(texts.DRIFT_DESCRIPTION, *source, rule, *target),
+        remediation=worded(texts.DRIFT_REMEDY, "target_name", rule, rule, *target),
         related={
-            "target_name": target_name,
-            "target_file": target_file,
-            "boundary_name": rule,
-            "boundary_rule": F.col("boundary_rule"),
+            column: column
+            for column in ("target_name", "target_file", "boundary_name", "boundary_rule")
         },
-        identity=[target_file, target_name],
+        identity=("target_file", "target_name"),
     )
 
 
 def at_least(findings: DataFrame, min_severity: str) -> DataFrame:
-    return findings.filter(F.col("severity_rank") >= rank_of(min_severity))
+    return findings.filter(f"severity_rank >= {rank_of(min_severity)}")
