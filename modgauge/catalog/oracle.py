@@ -151,7 +151,8 @@ for _g in derived.CROSSES:
     _limit = "AND len(w.path) < 4" if _g == "dense" else ""
     CTES |= {
         f"code_refs__{_g}": (
-            f"SELECT {_columns(derived.reference_columns(_g))} FROM lineitem"
+            f"SELECT {_columns(derived.REFERENCE_COLUMNS)} FROM "
+            f"(SELECT {_columns(derived.reference_keys(_g))} FROM lineitem)"
         ),
         f"file_edges__{_g}": (
             f"SELECT source_file, target_file, count(*) AS ref_count FROM code_refs__{_g} "

@@ -8,8 +8,12 @@ line item is a call inside the supplier's own file.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
+from modgauge.runtime import ensure_checkpoint_dir
+
 MODULES = 24
 
 
@@ -17,25 +21,34 @@ def _slot(key: str) -> str:
     return f"({key} % {MODULES})"
 
 
-def module_sql(key: str) -> str:
-    return (
-        f"CASE {_slot(key)} WHEN 0 THEN 'domain' WHEN 1 THEN 'application' "
-        "WHEN 2 THEN 'presentation' WHEN 3 THEN 'types' WHEN 4 THEN 'models' "
-        f"WHEN 5 THEN 'infrastructure' ELSE concat('mod', {_slot(key)}) END"
-    )
+# Where the files of each of the 24 modules lie: start and end of their path.  The
+# file number stands in between, but for the two modules of one fixed file.
+_STARTS = [
+    "src/domain/f",
+    "src/application/f",
+    "src/presentation/f",
+    "src/types/f",
+    "src/models/f",
+    "src/infrastructure/f",
+    *[f"src/mod{i}/f" for i in range(6, 18)],
+    "./src/mod18/f",
+    "/src/mod19/f",
+    "mod20/f",
+    "src/main.rs",
+    "f",
+    "src/mod23/index.ts",
+]
+_ENDS = [".rs"] * 20 + [".test.ts", "", ".go", ""]
 
 
 def path_sql(key: str) -> str:
-    slot, file = _slot(key), f"{key} % 50"
-    return (
-        f"CASE WHEN {slot} < 18 THEN concat('src/', {module_sql(key)}, '/f', {file}, '.rs') "
-        f"WHEN {slot} = 18 THEN concat('./src/mod18/f', {file}, '.rs') "
-        f"WHEN {slot} = 19 THEN concat('/src/mod19/f', {file}, '.rs') "
-        f"WHEN {slot} = 20 THEN concat('mod20/f', {file}, '.test.ts') "
-        f"WHEN {slot} = 21 THEN 'src/main.rs' "
-        f"WHEN {slot} = 22 THEN concat('f', {file}, '.go') "
-        "ELSE 'src/mod23/index.ts' END"
-    )
+    slot = _slot(key)
+
+    def pick(texts: list[str]) -> str:
+        return f"split_part('{','.join(texts)}', ',', CAST({slot} + 1 AS INT))"
+
+    number = f"CASE WHEN {slot} IN (21, 23) THEN '' ELSE CAST({key} % 50 AS VARCHAR(9)) END"
+    return f"concat({pick(_STARTS)}, {number}, {pick(_ENDS)})"
 
 
 def name_sql(key: str) -> str:
@@ -84,24 +97,61 @@ CROSSES = {
 }
 
 
-def reference_columns(graph: str) -> dict[str, str]:
-    crosses = CROSSES[graph]
-    caller, home = "concat('caller', l_suppkey)", path_sql("l_suppkey")
+def reference_keys(graph: str) -> dict[str, str]:
+    """Caller and, where the reference crosses files, the part it refers to."""
     return {
-        "source_file": home,
-        "source_name": caller,
-        "target_file": f"CASE WHEN {crosses} THEN {path_sql('l_partkey')} ELSE {home} END",
-        "target_name": f"CASE WHEN {crosses} THEN {name_sql('l_partkey')} ELSE {caller} END",
+        "caller": "l_suppkey",
+        "callee": f"CASE WHEN {CROSSES[graph]} THEN l_partkey END",
     }
 
 
+REFERENCE_COLUMNS = {
+    "source_file": path_sql("caller"),
+    "source_name": "concat('caller', caller)",
+    "target_file": path_sql("coalesce(callee, caller)"),
+    "target_name": (
+        "CASE WHEN callee IS NULL THEN concat('caller', caller) "
+        f"ELSE {name_sql('callee')} END"
+    ),
+}
+
+
+def _named(columns: dict[str, str]) -> list[str]:
+    return [f"{sql} AS {name}" for name, sql in columns.items()]
+
+
+def derive_definitions(spark: SparkSession, folder: str) -> DataFrame:
+    parts = spark.read.parquet(f"{folder}/part.parquet")
+    return parts.selectExpr(*_named(DEFINITION_COLUMNS))
+
+
+def derive_references(spark: SparkSession, folder: str, graph: str = "layered") -> DataFrame:
+    items = spark.read.parquet(f"{folder}/lineitem.parquet")
+    keys = items.selectExpr(*_named(reference_keys(graph)))
+    return keys.selectExpr(*_named(REFERENCE_COLUMNS))
+
+
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def _as_table(derived: DataFrame, folder: str, name: str) -> DataFrame:
+    """The derived rows as a Parquet table, written once per session.
+
+    The checks are meant for stored graph tables.  Left as expressions over the
+    source tables, every file predicate would repeat the whole derivation.
+    """
+    spark = derived.sparkSession
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _written:
+        path = f"{ensure_checkpoint_dir(spark)}/derived-{uuid4()}"
+        derived.write.parquet(path)
+        _written[key] = path
+    return spark.read.schema(derived.schema).parquet(_written[key])
+
+
 def definitions(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/part.parquet").selectExpr(
-        *[f"{sql} AS {name}" for name, sql in DEFINITION_COLUMNS.items()]
-    )
+    return _as_table(derive_definitions(spark, folder), folder, "definitions")
 
 
 def references(spark: SparkSession, folder: str, graph: str = "layered") -> DataFrame:
-    return spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr(
-        *[f"{sql} AS {name}" for name, sql in reference_columns(graph).items()]
-    )
+    return _as_table(derive_references(spark, folder, graph), folder, graph)
