@@ -57,16 +57,17 @@ def unreferenced(
     there are no targets.  Callers that have already set incomplete rows aside
     pass null_aware=False and save that scan.
     """
-    if null_aware:
-        null_targets = F.count_if(F.col("target_name").isNull())
-        verdict = refs.agg(
-            F.when(null_targets > 0, "none").when(F.count("*") > 0, "named").otherwise("all")
-        ).scalar()
-        defs = defs.filter(
-            (verdict == "all") | ((verdict == "named") & F.col("name").isNotNull())
-        )
     targets = refs.select(F.col("target_name").alias("name")).distinct()
-    return join_keyed(defs, targets, "name", "left_anti")
+    kept = join_keyed(defs, targets, "name", "left_anti")
+    if not null_aware:
+        return kept
+    null_targets = F.count_if(F.col("target_name").isNull())
+    verdict = refs.agg(
+        F.when(null_targets > 0, "none").when(F.count("*") > 0, "named").otherwise("all")
+    ).scalar()
+    # Spark moves this filter below the join.
+    named = F.col("name").isNotNull()
+    return kept.filter((verdict == "all") | (named & (verdict == "named")))
 
 
 def dead_code(
