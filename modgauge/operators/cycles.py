@@ -17,9 +17,9 @@ PAIR_CRITICAL_ABOVE = 20
 BROADCAST_BYTES = 32 * 1024 * 1024
 _ROW_OVERHEAD = 64
 
-# Reachable pairs are listed up to this many edges: 512 edges join at most 512
-# strongly connected modules, so there are at most 262,144 pairs.
-CLOSURE_EDGES = 512
+# Reachable pairs are listed while they cannot outgrow this many bytes.  No module
+# reaches more modules than there are edges, so edges times their bytes bounds them.
+CLOSURE_BYTES = 32 * 1024 * 1024
 
 # Open paths per task before they are spread over more tasks.
 PATHS_PER_PARTITION = 200_000
@@ -176,7 +176,7 @@ def _cyclic_core(edges: DataFrame) -> tuple[DataFrame, bool]:
     if not seen["edge_count"]:
         return edges, True
     small = seen["edge_bytes"] <= BROADCAST_BYTES
-    if small and seen["edge_count"] <= CLOSURE_EDGES:
+    if seen["edge_count"] * seen["edge_bytes"] <= CLOSURE_BYTES:
         core = _with_way_back(edges)
     else:
         core = _same_component(edges, small)
@@ -192,7 +192,7 @@ def _with_way_back(edges: DataFrame) -> DataFrame:
     """Edges whose target reaches their source again, by doubling reachable pairs.
 
     Takes few rounds but holds up to the square of the modules in pairs, which
-    CLOSURE_EDGES bounds; larger graphs take _same_component.
+    CLOSURE_BYTES bounds; larger graphs take _same_component.
     """
     reach = edges.select("src", "dst")
     while True:

@@ -46,9 +46,8 @@ HEADER, SUMMARY, ADVICE_SECTION = 0, 1, 2 + len(CATEGORIES)
 
 def report_summary(findings: DataFrame) -> DataFrame:
     """(category_no, category, finding_count, worst_severity) of all four categories."""
-    categories = findings.sparkSession.createDataFrame(
-        list(enumerate(CATEGORIES)), "category_no int, category string"
-    )
+    listed = F.posexplode(F.array(*[F.lit(c) for c in CATEGORIES]))
+    categories = findings.sparkSession.range(1).select(listed.alias("category_no", "category"))
     counted = findings.groupBy("category").agg(
         F.count("*").alias("finding_count"), F.max("severity_rank").alias("rank")
     )

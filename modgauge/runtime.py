@@ -41,4 +41,5 @@ def cut_lineage(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str,
     stored = df.observe(
         seen, *[column.alias(name) for name, column in measures.items()]
     ).checkpoint()
-    return stored, {name: value or 0 for name, value in seen.get.items()}
+    metrics = seen.get
+    return stored, {name: metrics.get(name) or 0 for name in measures}

@@ -95,7 +95,7 @@ def brute_force(edges):
 @pytest.mark.parametrize("route", ["closure", "labels", "shuffled"])
 def test_random_graphs_against_brute_force(edges_of, monkeypatch, seed, route):
     if route != "closure":
-        monkeypatch.setattr(cycles, "CLOSURE_EDGES", 0)
+        monkeypatch.setattr(cycles, "CLOSURE_BYTES", 0)
     if route == "shuffled":
         monkeypatch.setattr(cycles, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(cycles, "PATHS_PER_PARTITION", 3)
