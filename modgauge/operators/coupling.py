@@ -43,7 +43,7 @@ def coupling(
             ["module"],
             [F.col("dst_module")],
             inline,
-            spread="dst_module",
+            spread=["dst_module"],
         )
         .groupBy("module")
         .agg(F.sort_array(F.collect_list("dst_module")).alias("dependencies"))

@@ -23,7 +23,7 @@ def pair_cycle_evidence(file_edges: DataFrame, pairs: DataFrame, k: int = 3) ->
         ["src_module", "dst_module"],
         [F.desc("ref_count"), F.col("source_file"), F.col("target_file")],
         k,
-        spread="source_file",
+        spread=["source_file", "target_file"],
     )
     both_ways = pairs.select(
         "module_a",

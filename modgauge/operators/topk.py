@@ -8,16 +8,16 @@ SALTS = 32
 
 
 def first_k_per_group(
-    df: DataFrame, group: list[str], order: list[Column], k: int, spread: str
+    df: DataFrame, group: list[str], order: list[Column], k: int, spread: list[str]
 ) -> DataFrame:
     """Rows with the k smallest `order` values in each group, ranked in `rank`.
 
-    A group is cut into SALTS parts by a hash of the `spread` column; each part
+    A group is cut into SALTS parts by a hash of the `spread` columns; each part
     keeps its first k rows, and the group's first k are chosen among those.
     Spark also limits both rankings before their shuffle, so a group holding
     most of the table ends in one task as at most SALTS * k rows.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS))
     within_part = Window.partitionBy(*group, "_salt").orderBy(*order)
     within_group = Window.partitionBy(*group).orderBy(*order)
     return (

@@ -1,5 +1,6 @@
 import pytest
 
+from conftest import plan_of
 from modgauge.config import Thresholds
 from modgauge.operators.coupling import coupling, coupling_dependencies
 from modgauge.operators.evidence import pair_cycle_evidence
@@ -44,6 +45,12 @@ def test_every_dependency_of_a_huge_module_is_kept(edges_of):
     assert {r["dependency"] for r in everything} == {f"d{i:04d}" for i in range(1005)}
 
 
+def test_groups_are_limited_before_they_are_shuffled(edges_of):
+    plan = plan_of(coupling(edges_of(fan("a", 8))))
+    # Before and after the shuffle, for the parts of a group and for the group.
+    assert plan.count("WindowGroupLimit") == 4
+
+
 def test_graph_tables(references_of):
     refs = references_of(
         [("src/a/1.rs", "src/b/1.rs")] * 3
