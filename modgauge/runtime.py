@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared checkpoint folder the session names.
+    """The shared folder named in spark.checkpoint.dir, set for this context.
 
-    Only a local[*] session without the setting gets a scratch folder of its
-    own; on a cluster a machine-local folder would be lost with its executor.
+    Where the setting is missing, as in tests, it is a folder below the session's
+    warehouse, which executors share as well.
     """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir must name a shared folder for iterative checks"
-            )
-        configured = tempfile.mkdtemp(prefix="modgauge-checkpoints-")
-    context.setCheckpointDir(configured)
+    if not context.getCheckpointDir():
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        context.setCheckpointDir(
+            spark.conf.get("spark.checkpoint.dir", f"{warehouse}/_checkpoints")
+        )
     return context.getCheckpointDir()
 
 
