@@ -188,7 +188,9 @@ def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataF
     doc_id within a group one stays.
     """
     nameless = F.concat(F.lit("~"), F.sha2(F.coalesce("text", F.lit("")), 256))
-    named = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).cast("string"), 20, "0")
+    # Digits of equal length, so that the order of the names is that of the ids.
+    shifted = F.expr("CAST(CAST(doc_id AS DECIMAL(20, 0)) + 9223372036854775808 AS STRING)")
+    named = F.lpad(shifted, 20, "0")
     key = F.coalesce(named, nameless)
     groups = near_duplicates(docs, width, radius, key)
     chosen = groups.select(F.col("component_id").alias("_kept")).distinct()
