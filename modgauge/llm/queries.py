@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from modgauge.llm import bpe, quality, simhash
+from modgauge.llm import ann, bpe, lm, quality, simhash
 from modgauge.llm.text import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -22,15 +22,42 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(docs, model).select("doc_id", "judged.*")
 
 
+def op3_ann(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return ann.search(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_documents(table(spark, folder, "documents"))
+
+
 LLM_QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op3_ann": op3_ann,
     "op7_bpe": op7_bpe,
+    "op10_lm": op10_lm,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+_OP3 = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+LLM_ORACLES: dict[str, str] = {"op3_ann": _OP3}
