@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from modgauge.llm import ann, bpe, lm, quality, simhash
+from modgauge.llm import ann, bpe, lm, quality, simhash, warc
 from modgauge.llm.text import table
+from modgauge.runtime import ensure_checkpoint_dir
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -27,6 +30,14 @@ def op3_ann(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid4()}"
+    warc.write(table(spark, folder, "pages"), path)
+    return warc.read(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -40,6 +51,7 @@ LLM_QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_ann": op3_ann,
+    "op4_warc": op4_warc,
     "op7_bpe": op7_bpe,
     "op10_lm": op10_lm,
 }
@@ -60,4 +72,18 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-LLM_ORACLES: dict[str, str] = {"op3_ann": _OP3}
+_OP4 = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), f AS (
+  SELECT *, CASE WHEN octet_length(body) >= 100
+    THEN min(page_id) OVER (PARTITION BY body) ELSE page_id END AS first
+  FROM p
+)
+SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+LLM_ORACLES: dict[str, str] = {"op3_ann": _OP3, "op4_warc": _OP4}
