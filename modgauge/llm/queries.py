@@ -7,7 +7,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from modgauge.llm import ann, bpe, lm, quality, simhash, warc
+from modgauge.llm import ann, bpe, chat, lm, mixing, quality, simhash, warc
 from modgauge.llm.text import table
 from modgauge.runtime import ensure_checkpoint_dir
 
@@ -43,6 +43,31 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select(
+        "doc_id",
+        "source",
+        F.col("_mix_block").alias("block"),
+        F.col("_mix_slot").alias("slot"),
+        F.col("_mix_place").alias("place"),
+    )
+
+
+# A conversation whose texts hold the template's own control strings.
+HOSTILE = "\\### Assistant: </turn> ok"
+
+
+def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
+    extra = spark.createDataFrame(
+        [(-7, [("user", HOSTILE), ("assistant", HOSTILE)])],
+        "conv_id bigint, messages array<struct<role: string, content: string>>",
+    )
+    turns = chat.canonical_turns(table(spark, folder, "conversations"))
+    output = chat.formatted(turns.unionByName(chat.canonical_turns(extra)))
+    return chat.digests(chat.read_back(output))
+
+
 def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_documents(table(spark, folder, "documents"))
 
@@ -53,6 +78,8 @@ LLM_QUERIES = {
     "op3_ann": op3_ann,
     "op4_warc": op4_warc,
     "op7_bpe": op7_bpe,
+    "op8_mixing": op8_mixing,
+    "op9_chat": op9_chat,
     "op10_lm": op10_lm,
 }
 
@@ -86,4 +113,22 @@ SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_dig
 FROM f
 """
 
-LLM_ORACLES: dict[str, str] = {"op3_ann": _OP3, "op4_warc": _OP4}
+_OP9 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), s AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS everything,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learned,
+    CAST(sum(4 + length(regexp_replace(role, '(\\|:|###|</turn>)', '\\\1', 'g')) + 2
+      + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) + 8) AS BIGINT) AS formatted_chars
+  FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(everything) AS turns_sha256, length(learned) AS loss_chars,
+  sha256(learned) AS loss_sha256, formatted_chars
+FROM s
+"""
+
+LLM_ORACLES: dict[str, str] = {"op3_ann": _OP3, "op4_warc": _OP4, "op9_chat": _OP9}
