@@ -7,7 +7,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from modgauge.llm import ann, bpe, chat, lm, mixing, quality, simhash, warc
+from modgauge.llm import ann, bpe, chat, lm, mixing, pii, quality, simhash, warc
 from modgauge.llm.text import table
 from modgauge.runtime import ensure_checkpoint_dir
 
@@ -38,6 +38,11 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.train(docs))
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -77,6 +82,7 @@ LLM_QUERIES = {
     "op2_quality": op2_quality,
     "op3_ann": op3_ann,
     "op4_warc": op4_warc,
+    "op5_pii": op5_pii,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
