@@ -1,15 +1,16 @@
 """Byte-level BPE as a lazily determinised finite-state transducer.
 
-Encoding.  A text is cut by the tokenizer's pattern; each piece is fed byte by
-byte to a transducer.  A hypothesis is a way to tokenize the bytes read so far:
-tokens that are complete but not yet emitted, and the trie node of a token that
-has begun.  A token may follow another only if BPE, run on the bytes of the two,
-gives exactly those two; a sequence all of whose neighbours pass is the BPE result.
-A deterministic state is the set of live hypotheses.  It is built the first time
-it is reached, and so are its transitions; tokens on which all hypotheses agree
-are emitted at once, so the lookahead is bounded by the longest token.  States and
-finished pieces are remembered up to fixed numbers and then built anew, so that
-memory stays bounded whatever the texts hold.
+Encoding.  A text is cut by the tokenizer's pattern, and each piece is fed byte by
+byte to a transducer.  The merges are compiled into two things.  One is an automaton
+over bytes that knows all tokens ending at a position: a token may begin at every
+byte, a deterministic state is the set of all that have begun, and states and
+transitions are built the first time they are reached.  The other says which token may follow
+which: two tokens may be neighbours only if BPE, run on the bytes of the two, gives
+exactly those two, and a sequence all of whose neighbours may be is the BPE result.
+So exactly one token can end at a position, and the one before it is known.  Tokens
+are emitted as soon as all those that could still begin agree on them; the lookahead
+is bounded by the tokens' length, not the piece's.  What has been encoded is remembered up to fixed
+numbers of entries, so memory stays bounded whatever the texts hold.
 
 Decoding.  Ids become bytes; an incremental UTF-8 state machine passes whole
 characters on and keeps the start of a split one for the next chunk.
@@ -32,13 +33,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from modgauge.llm.text import texts
 
-# Bounds on remembered states, pieces and token pairs, per worker.
-MAX_STATES = 50_000
-MAX_PIECES = 300_000
-MAX_PAIRS = 500_000
+# Bounds on what a worker remembers: stretches between spaces, pieces, token pairs.
+MAX_STRETCHES = 150_000
+MAX_PIECES = 500_000
+MAX_PAIRS = 1_000_000
 
-# Longer pieces are not remembered.
-LONGEST_PIECE = 64
+# Longer stretches and pieces are not remembered.
+LONGEST = 64
+
+# Bytes of a piece after which finished tokens are emitted.
+LOOKAHEAD = 512
 
 # Bytes that go through the decoder at a time.
 DECODE_BYTES = 1 << 16
@@ -85,91 +89,90 @@ class Transducer:
                     nodes += 1
                 node = self.next_node[key]
             self.token_at[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
-        self.forget_states()
-
-    def forget_states(self) -> None:
-        # A state is the sorted tuple of its hypotheses: (last emitted token or
-        # -1, complete tokens, trie node of the token that has begun).
-        self.states: list[tuple] = [((-1, (), 0),)]
-        self.numbers: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-
-    def _is_whole(self, token: int) -> bool:
-        """Whether BPE gives the token for its own bytes."""
-        known = self.whole.get(token)
-        if known is None:
-            word = self.words[token]
-            known = self.whole[token] = merged(word, self.ranks) == [word]
-        return known
-
-    def _may_follow(self, left: int, right: int) -> bool:
-        if left < 0:
-            return self._is_whole(right)
-        known = self.pairs.get((left, right))
-        if known is None:
-            a, b = self.words[left], self.words[right]
-            known = self._is_whole(right) and merged(a + b, self.ranks) == [a, b]
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            self.pairs[left, right] = known
-        return known
-
-    def _closed(self, last: int, done: tuple[int, ...], node: int) -> tuple | None:
-        """The hypothesis with the begun token taken as complete, if it may be."""
-        token = self.token_at.get(node)
-        if token is None or not self._may_follow(done[-1] if done else last, token):
-            return None
-        return last, (*done, token), 0
-
-    def _build_move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        grown = set()
-        for last, done, node in self.states[state]:
-            onward = self.next_node.get(node << 8 | byte)
-            if onward is None:
-                continue
-            grown.add((last, done, onward))
-            if closed := self._closed(last, done, onward):
-                grown.add(closed)
-        emitted: tuple[int, ...] = ()
-        while grown and all(done for _, done, _ in grown):
-            firsts = {done[0] for _, done, _ in grown}
-            if len(firsts) > 1:
-                break
-            emitted += tuple(firsts)
-            grown = {(done[0], done[1:], node) for _, done, node in grown}
-        key = tuple(sorted(grown))
+        self.pairs: dict[int, bool] = {}
+        # A state is the tuple of trie nodes of all begun tokens, longest first.  The
+        # longest determines the others, so there are no more states than nodes.
+        self.states: list[tuple[int, ...]] = [()]
+        self.numbers: dict[tuple[int, ...], int] = {(): 0}
+        self.moves: dict[int, int] = {}
+        # Tokens that end in a state, longest first, with their lengths.
+        self.ends: list[list[tuple[int, int]]] = [[]]
+        self.longest = max(map(len, ranks), default=1)
+
+    def _build_move(self, state: int, byte: int) -> int:
+        onward = (self.next_node.get(n << 8 | byte) for n in (*self.states[state], 0))
+        key = tuple(n for n in onward if n is not None)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
-        move = self.moves[state << 8 | byte] = number, emitted
-        return move
+            tokens = (self.token_at[n] for n in key if n in self.token_at)
+            whole = (t for t in tokens if merged(self.words[t], self.ranks) == [self.words[t]])
+            self.ends.append([(t, len(self.words[t])) for t in whole])
+        self.moves[state << 8 | byte] = number
+        return number
+
+    def _may_follow(self, left: int, right: int) -> bool:
+        a, b = self.words[left], self.words[right]
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left << 32 | right] = merged(a + b, self.ranks) == [a, b]
+        return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
         # The piece as one token wins, as in the library whose ids are wanted.
         if (rank := self.ranks.get(piece)) is not None:
             return [rank]
+        words, ends, moves, pairs = self.words, self.ends, self.moves, self.pairs.get
         out: list[int] = []
+        last = [-1]  # the token that ends at each position; None where none can
         state = 0
         for byte in piece:
-            if len(self.states) > MAX_STATES:
-                key = self.states[state]
-                self.forget_states()
-                state = self.numbers.setdefault(key, len(self.states))
-                if state == len(self.states):
-                    self.states.append(key)
-            move = self.moves.get(state << 8 | byte) or self._build_move(state, byte)
-            state = move[0]
-            if move[1]:
-                out.extend(move[1])
-        # At the end only hypotheses without a begun token count: there is one.
-        for _, done, node in self.states[state]:
-            if node == 0:
-                out.extend(done)
-                return out
-        raise ValueError("the vocabulary lacks some single bytes")
+            move = moves.get(state << 8 | byte)
+            state = self._build_move(state, byte) if move is None else move
+            at = len(last)
+            found = None
+            for token, size in ends[state]:
+                if size > at:  # it began before what has been emitted
+                    continue
+                before = last[at - size]
+                if before is None:
+                    continue
+                if before >= 0:
+                    valid = pairs(before << 32 | token)
+                    if valid is None:
+                        valid = self._may_follow(before, token)
+                    if not valid:
+                        continue
+                found = token
+                break
+            last.append(found)
+            if at >= LOOKAHEAD + self.longest:
+                last = self._emit(last, out)
+        self._path(last, len(last) - 1, out)
+        return out
+
+    def _path(self, last: list, end: int, out: list[int], start: int = 0) -> None:
+        """Append the tokens between two positions."""
+        tokens = []
+        while end > start:
+            if last[end] is None:
+                raise ValueError("the vocabulary lacks some single bytes")
+            tokens.append(last[end])
+            end -= len(self.words[last[end]])
+        out += reversed(tokens)
+
+    def _emit(self, last: list, out: list[int]) -> list:
+        """Emit what all live positions agree on; the rest of `last`."""
+        live = {i for i in range(len(last) - self.longest, len(last)) if last[i] is not None}
+        while len(live) > 1:  # step back from the furthest until they meet
+            furthest = max(live)
+            live.remove(furthest)
+            live.add(furthest - len(self.words[last[furthest]]))
+        at = live.pop()
+        if at:
+            self._path(last, at, out)
+        return last[at:]
 
 
 class Codec:
@@ -181,20 +184,55 @@ class Codec:
         self.transducer = Transducer(read_ranks(path))
         self.words = self.transducer.words
         self.cut = regex.compile(pattern).findall
-        self.pieces: dict[str, list[int]] = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        if len(self.pieces) >= MAX_PIECES:
-            self.pieces.clear()
-        ids = self.transducer.encode_piece(piece.encode())
-        if len(piece) <= LONGEST_PIECE:
-            self.pieces[piece] = ids
+        # Two generations each: when the young one is full, it replaces the old one.
+        self.stretches: list[dict[str, list[int]]] = [{}, {}]
+        self.pieces: list[dict[str, list[int]]] = [{}, {}]
+
+    @staticmethod
+    def _remember(memory: list[dict], key: str, ids: list[int], most: int) -> None:
+        if len(key) <= LONGEST:
+            if len(memory[0]) >= most:
+                memory[:] = {}, memory[0]
+            memory[0][key] = ids
+
+    def _cut_up(self, text: str) -> list[int]:
+        out: list[int] = []
+        for piece in self.cut(text):
+            ids = self.pieces[0].get(piece)
+            if ids is None:
+                ids = self.pieces[1].get(piece)
+                if ids is None:
+                    ids = self.transducer.encode_piece(piece.encode())
+                self._remember(self.pieces, piece, ids, MAX_PIECES)
+            out += ids
+        return out
+
+    def _stretch(self, stretch: str) -> list[int] | None:
+        ids = self.stretches[1].get(stretch)
+        if ids is None:
+            if not stretch or stretch[0].isspace() or stretch[-1].isspace():
+                return None
+            ids = self._cut_up(" " + stretch)
+        self._remember(self.stretches, stretch, ids, MAX_STRETCHES)
         return ids
 
     def encode(self, text: str) -> list[int]:
-        known, learn, out = self.pieces.get, self._piece, []
-        for piece in self.cut(text):
-            out += known(piece) or learn(piece)
+        """Token ids of one text.
+
+        A space between two other characters always begins a piece, so the text
+        may be cut there first.  Runs of white space belong together; a
+        text with such a run at a space is cut by the pattern alone.
+        """
+        first, *rest = text.split(" ")
+        if not first or first[-1].isspace():
+            return self._cut_up(text)
+        out = self._cut_up(first)
+        known, learn = self.stretches[0].get, self._stretch
+        for stretch in rest:
+            ids = known(stretch) or learn(stretch)
+            if ids is None:
+                return self._cut_up(text)
+            out += ids
         return out
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
