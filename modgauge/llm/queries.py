@@ -7,7 +7,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from modgauge.llm import ann, bpe, chat, lm, mixing, pii, quality, simhash, warc
+from modgauge.llm import ann, bpe, chat, linededup, lm, mixing, pii, quality, simhash, warc
 from modgauge.llm.text import table
 from modgauge.runtime import ensure_checkpoint_dir
 
@@ -43,6 +43,10 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(docs, pii.train(docs))
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.report(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -83,6 +87,7 @@ LLM_QUERIES = {
     "op3_ann": op3_ann,
     "op4_warc": op4_warc,
     "op5_pii": op5_pii,
+    "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,

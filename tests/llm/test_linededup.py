@@ -1,0 +1,84 @@
+"""Line dedup against all pairs of lines."""
+
+import random
+
+from conftest import TESTDATA
+from modgauge.llm import linededup, queries
+
+
+def token_set(line, width=5):
+    words = [w for w in line.lower().replace("\t", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
+    if not words:
+        return None
+    n = max(1, len(words) - width + 1)
+    return frozenset(tuple(words[i : i + width]) for i in range(n))
+
+
+def plain_removed(docs, width=5):
+    """Line numbers to remove by (doc_id, text), comparing every line with all earlier ones."""
+    last = (1 << 63) - 1
+    lines = []
+    for doc_id, text in {(d, t) for d, t in docs if t is not None}:
+        for no, line in enumerate(text.split("\n")):
+            if (tokens := token_set(line, width)) is not None:
+                lines.append(((last if doc_id is None else doc_id, no), (doc_id, text), no, tokens))
+    lines.sort(key=lambda x: x[0])
+    gone = {}
+    by_token = {}
+    for i, (order, doc, no, tokens) in enumerate(lines):
+        near = {j for t in tokens for j in by_token.get(t, ())}
+        for j in near:
+            other = lines[j]
+            both = len(tokens & other[3])
+            if other[0] < order and both * 9 >= 4 * (len(tokens) + len(other[3])):
+                gone.setdefault(doc, set()).add(no)
+                break
+        for t in tokens:
+            by_token.setdefault(t, []).append(i)
+    return gone
+
+
+def test_query_on_documents(spark):
+    folder = f"{TESTDATA}/sf0.01"
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    gone = plain_removed(docs)
+    assert gone
+    got = {r.doc_id: r for r in queries.op6_line_dedup(spark, folder).collect()}
+    assert len(got) == len(docs)
+    for doc_id, text in docs:
+        expected = sorted(gone.get((doc_id, text), ()))
+        r = got[doc_id]
+        assert (r.n_lines, r.n_removed, r.removed) == (
+            len(text.split("\n")), len(expected), ",".join(map(str, expected))
+        )
+
+
+def test_near_copies_and_odd_rows(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(40)]
+    base = [[rng.choice(vocabulary) for _ in range(n)] for n in (1, 2, 5, 6, 9, 30, 60)]
+    docs = []
+    for i in range(90):
+        lines = []
+        for _ in range(rng.randrange(4)):
+            line = list(rng.choice(base))
+            for _ in range(rng.randrange(3)):
+                line[rng.randrange(len(line))] = rng.choice(vocabulary)
+            lines.append(rng.choice([" ", "  ", "\t"]).join(line).upper() if i % 5 else " ".join(line))
+            lines += [""] * (i % 2)
+        docs.append((i, "\n".join(lines)))
+    docs += [(None, docs[7][1] + "\nown line here"), (300, None), (301, ""), (302, " \n\t\n"), (303, "same\nsame\nSAME")]
+    docs += [docs[5], docs[5], (400, "long " * 60_000 + "\nlong long"), (401, "x\n" * 3000)]
+    frame = spark.createDataFrame([(d, t, -1, "z", "q") for d, t in docs], "doc_id bigint, text string, n_chars bigint, line string, no string")
+    cleaned = linededup.dedup(frame)
+    assert cleaned.columns == frame.columns
+    gone = plain_removed(docs)
+    expected = []
+    for doc_id, text in docs:
+        out = gone.get((doc_id, text), set())
+        new = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out)
+        expected.append((doc_id, new, None if new is None else len(new), "z", "q"))
+    key = lambda r: tuple((x is not None, str(x)) for x in r)
+    assert sorted(map(tuple, cleaned.collect()), key=key) == sorted(expected, key=key)
+    assert linededup.dedup(frame.limit(0)).collect() == []
+    assert linededup.report(frame.limit(0)).collect() == []
