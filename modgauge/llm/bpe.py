@@ -279,6 +279,12 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, key: Column, text: Column) -> DataFrame:
     """(doc_id, ids): the token ids of every whole text; a null text has none.
 
@@ -288,15 +294,11 @@ def encode(docs: DataFrame, path: str, pattern: str, key: Column, text: Column)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            lengths, parts = [], []
-            for text_bytes in texts(batch.column(1)):
-                ids = own.encode(text_bytes.decode("utf-8", "replace"))
-                lengths.append(len(ids))
-                parts.append(np.array(ids, np.int32))
-            values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "ids"])
+            parts = [
+                np.array(own.encode(text_bytes.decode("utf-8", "replace")), np.int32)
+                for text_bytes in texts(batch.column(1))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(parts)], ["doc_id", "ids"])
 
     return docs.select(key.cast("bigint").alias("doc_id"), text.alias("text")).mapInArrow(
         run, "doc_id bigint, ids array<int>"
@@ -321,21 +323,23 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text.
+def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every whole text.
 
-    Encodes each text and decodes the ids again in the same task, so that ids
-    never leave it.
+    Encodes each text and decodes the ids again in the same task.
     """
+    extra = ["ids"] if with_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         numerals = {rank: str(rank) for rank in own.words}
         for batch in batches:
-            counts, encoded, decoded = [], [], []
+            counts, encoded, decoded, parts = [], [], [], []
             for text_bytes in texts(batch.column(1)):
                 ids = own.encode(text_bytes.decode("utf-8", "replace"))
                 counts.append(len(ids))
+                if with_ids:
+                    parts.append(np.array(ids, np.int32))
                 joined = " ".join(map(numerals.__getitem__, ids))
                 encoded.append(hashlib.sha256(joined.encode()).hexdigest())
                 machine, digest = Utf8Machine(), hashlib.sha256()
@@ -344,12 +348,20 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     digest.update(machine.feed(back[at : at + DECODE_BYTES]).encode())
                 digest.update(machine.finish().encode())
                 decoded.append(digest.hexdigest())
+            columns = [
+                batch.column(0),
+                pa.array(counts, pa.int64()),
+                pa.array(encoded, pa.string()),
+                pa.array(decoded, pa.string()),
+            ]
+            if with_ids:
+                columns.append(_lists(parts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *extra]
             )
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(
         run,
-        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        + (", ids array<int>" if with_ids else ""),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -92,6 +93,7 @@ LLM_QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_lm": op10_lm,
+    "pipeline": corpus_pipeline.run,
 }
 
 _OP3 = """
