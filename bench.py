@@ -27,7 +27,6 @@ HEADLINE = (
     "pair_cycles",
     "coupling",
     "long_cycles",
-    "long_cycles_up_to_4",
     "pair_cycle_evidence",
     "all_findings",
     "report_summary",

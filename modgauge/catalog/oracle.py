@@ -148,7 +148,6 @@ CTES["overlap_coupled"] = _coupled("module_edges__layered", 5, 12)
 
 for _g in derived.CROSSES:
     _reverse = "list_concat([path[1]], list_reverse(path[2:]))"
-    _limit = "AND len(w.path) < 4" if _g == "dense" else ""
     CTES |= {
         f"code_refs__{_g}": (
             f"SELECT {_columns(derived.REFERENCE_COLUMNS)} FROM "
@@ -189,7 +188,7 @@ for _g in derived.CROSSES:
             "SELECT w.first, e.dst_module, list_append(w.path, e.dst_module), "
             f"w.refs + e.ref_count FROM walks__{_g} w JOIN core__{_g} e "
             "ON e.src_module = w.tail AND e.dst_module > w.first "
-            f"AND NOT list_contains(w.path, e.dst_module) {_limit}"
+            f"AND NOT list_contains(w.path, e.dst_module)"
         ),
         f"closed__{_g}": (
             f"SELECT path, refs, least(path, {_reverse}) AS cycle_key FROM ("
@@ -520,8 +519,9 @@ def _report_lines() -> str:
                         "name",
                         place,
                         "description",
-                    ),
-                    _fill("  - _Suggestion_: %s", "remediation"),
+                    )
+                    + " || chr(10) || "
+                    + _fill("  - _Suggestion_: %s", "remediation"),
                 ],
                 order_rank="-coalesce(related_fan_out, 0)",
                 order_file="file",
@@ -653,7 +653,6 @@ ORACLE: dict[str, str] = {
         for key, g in {
             "long_cycles": "layered",
             "long_cycles_ring": "sparse",
-            "long_cycles_up_to_4": "dense",
         }.items()
     },
     "cycle_canonical": (
@@ -697,6 +696,26 @@ ORACLE: dict[str, str] = {
         ]
     )
     + ")",
+    "rules_from_mapping": f"SELECT {_FINDING_COLUMNS} FROM ("
+    + _identified(
+        [
+            _dead_findings("overlap_dead"),
+            _coupling_findings("overlap_coupled"),
+            _drift_findings("drift__layered"),
+        ]
+    )
+    + ")",
+    "rejected_rows": (
+        "SELECT * FROM (SELECT CASE WHEN regexp_extract(name, '([0-9]+)', 1) LIKE '%7' THEN NULL "
+        "ELSE name END AS name, CASE WHEN regexp_extract(name, '([0-9]+)', 1) LIKE '%3' THEN NULL "
+        "ELSE file END AS file, kind, line FROM code_defs) WHERE name IS NULL OR file IS NULL"
+    ),
+    "report_document": (
+        "SELECT CAST(json_object('version', '1', 'timestamp', 'now', 'repository', 'derived', "
+        "'graph_stats', json_object('nodes', (SELECT count(*) FROM part), 'edges', "
+        "(SELECT count(*) FROM lineitem)), 'finding_count', (SELECT total_count FROM "
+        "totals__layered)) AS VARCHAR) AS json"
+    ),
     "findings_min_severity": (
         f"SELECT {_FINDING_COLUMNS} FROM findings__layered WHERE severity = 'critical'"
     ),

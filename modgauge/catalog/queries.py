@@ -21,12 +21,11 @@ from modgauge.operators.drift import drift, governing_rule, import_allowed
 from modgauge.operators.evidence import pair_cycle_evidence
 from modgauge.plans import compare, report
 from modgauge.plans.analysis import analyze
-from modgauge.plans.findings import at_least
 from modgauge.runtime import cut_lineage
 from modgauge.schema import DEFINITIONS, REFERENCES
-from modgauge.sinks.writers import findings_json
+from modgauge.sinks.writers import findings_json, report_document
 from modgauge.sources.derived import definitions, references
-from modgauge.sources.tables import contract_report
+from modgauge.sources.tables import contract_report, rejected_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -151,11 +150,9 @@ def pair_cycles(spark: SparkSession, folder: str) -> DataFrame:
     return cycles.pair_cycles(graph.module_links(references(spark, folder, "dense")))
 
 
-def _cycles(
-    spark: SparkSession, folder: str, name: str, max_len: int | None = None
-) -> DataFrame:
+def _cycles(spark: SparkSession, folder: str, name: str) -> DataFrame:
     links, _ = cut_lineage(graph.module_links(references(spark, folder, name)))
-    return cycles.long_cycles(links, max_len)
+    return cycles.long_cycles(links)
 
 
 def _readable(found: DataFrame) -> DataFrame:
@@ -172,10 +169,6 @@ def long_cycles_ring(spark: SparkSession, folder: str) -> DataFrame:
     return _readable(_cycles(spark, folder, "sparse"))
 
 
-def long_cycles_up_to_4(spark: SparkSession, folder: str) -> DataFrame:
-    return _readable(_cycles(spark, folder, "dense", max_len=4))
-
-
 def cycle_canonical(spark: SparkSession, folder: str) -> DataFrame:
     """Each cycle written from each of its modules, with the key they all share."""
     path, at = F.col("path"), F.col("offset")
@@ -217,10 +210,9 @@ def coupling_dependencies_query(spark: SparkSession, folder: str) -> DataFrame:
 def _findings(
     spark: SparkSession, folder: str, name: str = "layered", **options
 ) -> DataFrame:
-    found = analyze(
+    return analyze(
         definitions(spark, folder), references(spark, folder, name), **options
     )
-    return cut_lineage(found)[0]
 
 
 def _flat(findings: DataFrame) -> DataFrame:
@@ -269,7 +261,7 @@ def findings_custom_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def findings_min_severity(spark: SparkSession, folder: str) -> DataFrame:
-    return _flat(at_least(_findings(spark, folder), "Critical"))
+    return _flat(_findings(spark, folder, min_severity="Critical"))
 
 
 def report_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -316,6 +308,36 @@ def findings_diff(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def rules_from_mapping(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings under rules read from a document: defaults, unknown keys, own values."""
+    document = {
+        "boundaries": [],
+        "thresholds": {"coupling_warning_fan_out": 5, "coupling_critical_fan_out": 12, "spare": 1},
+        "ignore": {"dead_code": ["**/*.test.*", "src/types/**"], "drift": None, "coupling": ["**"]},
+        "unknown": {"a": 1},
+    }
+    rules = Rules.from_mapping(document)
+    return _flat(_findings(spark, folder, rules=rules, only="dead_code,coupling,architectural_drift"))
+
+
+def rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that break the contract: numbers that end in 7 lose their name, in 3 their file."""
+    defs = definitions(spark, folder)
+    number = F.regexp_extract("name", "([0-9]+)", 1)
+    holes = defs.select(
+        F.when(number.endswith("7"), F.lit(None)).otherwise(F.col("name")).alias("name"),
+        F.when(number.endswith("3"), F.lit(None)).otherwise(F.col("file")).alias("file"),
+        "kind",
+        "line",
+    )
+    return rejected_rows(holes, DEFINITIONS)
+
+
+def report_document_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = _findings(spark, folder)
+    return report_document(found, graph_stats(spark, folder), "derived", "1", "now")
+
+
 def findings_trend(spark: SparkSession, folder: str) -> DataFrame:
     runs = [("2024-01-01", "layered"), ("2024-02-01", "sparse")]
     rows = [
@@ -345,7 +367,6 @@ QUERIES: dict[str, Query] = {
     "pair_cycles": pair_cycles,
     "long_cycles": long_cycles,
     "long_cycles_ring": long_cycles_ring,
-    "long_cycles_up_to_4": long_cycles_up_to_4,
     "cycle_canonical": cycle_canonical,
     "cycle_weakest_edge": cycle_weakest_edge,
     "pair_cycle_evidence": pair_cycle_evidence_query,
@@ -363,4 +384,7 @@ QUERIES: dict[str, Query] = {
     "code_quality": code_quality,
     "findings_diff": findings_diff,
     "findings_trend": findings_trend,
+    "rules_from_mapping": rules_from_mapping,
+    "rejected_rows": rejected,
+    "report_document": report_document_query,
 }

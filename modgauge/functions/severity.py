@@ -23,8 +23,3 @@ def rank_of(word: str) -> int:
 
 def severity_label(rank: Column) -> Column:
     return F.when(rank == 2, CRITICAL).when(rank == 1, WARNING).otherwise(INFO)
-
-
-def worst_severity(rank: Column) -> Column:
-    """Aggregate: label of the highest rank in the group; info for an empty group."""
-    return severity_label(F.coalesce(F.max(rank), F.lit(0)))

@@ -8,12 +8,6 @@ from modgauge.config import Thresholds
 from modgauge.functions.severity import CRITICAL, WARNING
 from modgauge.operators.graph import fan_out
 from modgauge.operators.skew import join_keyed
-from modgauge.operators.topk import first_k_per_group
-
-# A row lists every dependency up to this fan-out.  Past it the row lists the
-# first ones and coupling_dependencies has them all, one per row: an array of
-# every module of a huge graph would have to be gathered in one task.
-INLINE_DEPENDENCIES = 1000
 
 # Fixed value: dependencies named in a finding's description.
 DISPLAYED_DEPENDENCIES = 10
@@ -31,24 +25,27 @@ def coupled_modules(edges: DataFrame, thresholds: Thresholds = Thresholds()) ->
     )
 
 
-def coupling(
-    edges: DataFrame,
-    thresholds: Thresholds = Thresholds(),
-    inline: int = INLINE_DEPENDENCIES,
-) -> DataFrame:
-    """coupled_modules with their sorted dependencies, complete up to `inline`."""
-    listed = (
-        first_k_per_group(
-            edges.select(F.col("src_module").alias("module"), "dst_module"),
-            ["module"],
-            [F.col("dst_module")],
-            inline,
-            spread=["dst_module"],
+def coupling(edges: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """coupled_modules with all their dependencies, sorted.
+
+    Edges are distinct, so a module's array holds no more entries than there are
+    modules, however many references there are.
+    """
+    critical = F.col("fan_out") >= thresholds.coupling_critical_fan_out
+    return (
+        edges.groupBy(F.col("src_module").alias("module"))
+        .agg(
+            F.count("*").alias("fan_out"),
+            F.sort_array(F.collect_list("dst_module")).alias("dependencies"),
+        )
+        .filter(F.col("fan_out") >= thresholds.coupling_warning_fan_out)
+        .select(
+            "module",
+            "fan_out",
+            F.when(critical, CRITICAL).otherwise(WARNING).alias("severity"),
+            "dependencies",
         )
-        .groupBy("module")
-        .agg(F.sort_array(F.collect_list("dst_module")).alias("dependencies"))
     )
-    return coupled_modules(edges, thresholds).join(listed, "module")
 
 
 def coupling_dependencies(

@@ -7,26 +7,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from modgauge.functions.severity import CRITICAL, WARNING
-from modgauge.runtime import cut_lineage
+from modgauge.runtime import written
 
 # Fixed value: a mutual pair with more references than this is critical.
 PAIR_CRITICAL_ABOVE = 20
 
-# An edge table is broadcast only when measured below this many bytes; a bigger
-# one is joined by shuffle, where AQE splits the partitions of hub modules.
+# A table is broadcast only when measured below this many bytes.  The same rows are
+# joined either way; a bigger table is joined by shuffle, where AQE splits hub modules.
 BROADCAST_BYTES = 32 * 1024 * 1024
-_ROW_OVERHEAD = 64
 
-# Reachable pairs are listed while they cannot outgrow this many bytes.  No module
-# reaches more modules than there are edges, so edges times their bytes bounds them.
-CLOSURE_BYTES = 32 * 1024 * 1024
 
-# Open paths per task before they are spread over more tasks.
-PATHS_PER_PARTITION = 200_000
+def _size(*names: str) -> Column:
+    return F.sum(sum((F.octet_length(n) for n in names), F.lit(64)))
 
 
-class TooManyPaths(RuntimeError):
-    """The number of open paths passed the caller's limit."""
+def _hinted(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
@@ -67,49 +63,36 @@ def canonical_cycle(path: Column) -> Column:
     return F.least(onwards, backwards)
 
 
-def long_cycles(
-    edges: DataFrame, max_len: int | None = None, max_paths: int | None = None
-) -> DataFrame:
+def long_cycles(edges: DataFrame) -> DataFrame:
     """Simple cycles of three or more modules: (path, length, total_refs, weakest).
 
     Every cycle is found once, from its smallest module, and of two opposite
     cycles over the same modules the heavier is kept (the smaller path on a
     tie).  `weakest` is the edge of the reported direction with the fewest
-    references.
-
-    The number of cycles can grow exponentially with the graph.  `max_len`
-    restricts the question to short cycles; `max_paths` stops the search with an
-    error, never with a partial answer.
+    references.  A path only goes on to modules that lead back to its start, so
+    every path walked is the beginning of a walk home.  The number of cycles itself can grow
+    exponentially with the graph.
     """
-    edges, small = _cyclic_core(_with_reverse(edges))
-    edges = F.broadcast(edges) if small else edges
+    edges, seen = written(_cyclic_core(_with_reverse(edges)), size=_size("src", "dst"))
+    edges = _hinted(edges, seen["size"])
+    back = _ways_back(edges)
     paths = edges.filter("dst > src").selectExpr(
         "array(src, dst) AS path", "dst AS tail", "refs", "reverse_refs", f"{_EDGE} AS weakest"
     )
+    paths = _leading_back(paths, back)
     found = []
-    length, partitions = 2, 1
-    while max_len is None or length < max_len:
-        steps, seen = cut_lineage(
-            _follow(paths, edges, f"({_CLOSES}) OR ({_GOES_ON})"),
+    while True:
+        # Every round is spread anew over all tasks.
+        steps = _follow(paths.repartition("path"), edges, f"({_CLOSES}) OR ({_GOES_ON})")
+        open_ = _leading_back(steps.filter("open"), back)
+        steps, seen = written(
+            steps.filter("NOT open").unionByName(open_),
             open_paths=F.count_if("open"),
         )
         found.append(steps.filter("NOT open"))
-        paths, open_paths = steps.filter("open"), seen["open_paths"]
-        if not open_paths:
+        paths = steps.filter("open")
+        if not seen["open_paths"]:
             break
-        if max_paths is not None and open_paths > max_paths:
-            raise TooManyPaths(
-                f"{open_paths} open paths of {length + 1} modules; "
-                "pass max_len or raise max_paths"
-            )
-        length += 1
-        # A broadcast join keeps the partitions it is given, however much the
-        # paths multiply, so spread them again when they have outgrown those.
-        if small and open_paths > 2 * partitions * PATHS_PER_PARTITION:
-            partitions = -(-open_paths // PATHS_PER_PARTITION)
-            paths = paths.repartition(partitions, "path")
-    else:
-        found.append(_follow(paths, edges, _CLOSES))
     return (
         reduce(DataFrame.unionByName, found)
         .filter(_REPORTED_DIRECTION)
@@ -117,6 +100,40 @@ def long_cycles(
     )
 
 
+def _ways_back(edges: DataFrame) -> DataFrame:
+    """(start, node): modules that reach `start` through modules greater than it.
+
+    One row for each such pair, found backwards from every start, one step a round.
+    """
+    measure = _size("start", "node")
+    back, seen = written(
+        edges.filter("src > dst").selectExpr("dst AS start", "src AS node", "true AS new"),
+        new=F.count("*"),
+        size=measure,
+    )
+    while seen["new"]:
+        before = (
+            back.filter("new")
+            .alias("b")
+            .join(edges.alias("e"), F.expr("e.dst = b.node AND e.src > b.start"))
+            .selectExpr("b.start", "e.src AS node", "true AS new")
+        )
+        back, seen = written(
+            back.withColumn("new", F.lit(False))
+            .unionByName(before)
+            .groupBy("start", "node")
+            .agg(F.bool_and("new").alias("new")),
+            new=F.count_if("new"),
+            size=measure,
+        )
+    return _hinted(back.select("start", "node"), seen["size"])
+
+
+def _leading_back(paths: DataFrame, back: DataFrame) -> DataFrame:
+    condition = (F.col("path")[0] == back["start"]) & (F.col("tail") == back["node"])
+    return paths.join(back, condition, "left_semi")
+
+
 # A path starts at its smallest module and never visits a module twice.
 _CLOSES = "e.dst = p.path[0] AND size(p.path) >= 3"
 _GOES_ON = "e.dst > p.path[0] AND NOT array_contains(p.path, e.dst)"
@@ -165,83 +182,34 @@ def _with_reverse(edges: DataFrame) -> DataFrame:
     )
 
 
-def _cyclic_core(edges: DataFrame) -> tuple[DataFrame, bool]:
-    """Edges inside strongly connected components, and whether they are small.
-
-    Every edge of a cycle lies in one component.  Without this cut a search
-    would walk all paths through the acyclic part, of which there can be
-    exponentially many.
-    """
-    edges, seen = cut_lineage(edges, edge_count=F.count("*"), edge_bytes=_bytes())
-    if not seen["edge_count"]:
-        return edges, True
-    small = seen["edge_bytes"] <= BROADCAST_BYTES
-    if seen["edge_count"] * seen["edge_bytes"] <= CLOSURE_BYTES:
-        core = _with_way_back(edges)
-    else:
-        core = _same_component(edges, small)
-    core, seen = cut_lineage(core, edge_bytes=_bytes())
-    return core, seen["edge_bytes"] <= BROADCAST_BYTES
-
-
-def _bytes() -> Column:
-    return F.sum(F.length("src") + F.length("dst") + _ROW_OVERHEAD)
-
-
-def _with_way_back(edges: DataFrame) -> DataFrame:
-    """Edges whose target reaches their source again, by doubling reachable pairs.
+def _cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges inside strongly connected components, by spreading labels.
 
-    Takes few rounds but holds up to the square of the modules in pairs, which
-    CLOSURE_BYTES bounds; larger graphs take _same_component.
+    Every edge of a cycle lies in one component; without this cut a search would
+    walk all paths through the acyclic part.  Each module learns a small module
+    that reaches it and a small one it reaches.  Modules of one component agree on
+    both in the end, so an edge whose ends disagree is dropped and the labels are computed anew, until
+    every edge's ends agree: then in each connected piece the smallest module
+    reaches all others and is reached by them.  State stays linear in the graph.
     """
-    reach = edges.select("src", "dst")
-    while True:
-        two_steps = (
-            reach.alias("a")
-            .join(F.broadcast(reach.alias("b")), F.expr("a.dst = b.src"))
-            .selectExpr("a.src", "b.dst", "true AS new")
-        )
-        grown, seen = cut_lineage(
-            reach.selectExpr("src", "dst", "false AS new")
-            .unionByName(two_steps)
-            .groupBy("src", "dst")
-            .agg(F.bool_and("new").alias("new")),
-            new_pairs=F.count_if("new"),
+    edges, seen = written(edges, edges=F.count("*"))
+    dropped = seen["edges"]
+    while dropped:
+        labelled = _with_labels(edges, _settled_labels(edges)).selectExpr(
+            *[f"e.{column}" for column in edges.columns],
+            "s.before = d.before AND s.after = d.after AS agree",
         )
-        reach = grown.drop("new")
-        if not seen["new_pairs"]:
-            break
-    back = reach.selectExpr("dst AS src", "src AS dst")
-    return edges.join(F.broadcast(back), ["src", "dst"], "left_semi").select(*edges.columns)
-
-
-def _same_component(edges: DataFrame, small: bool) -> DataFrame:
-    """Edges between modules of one component, by spreading labels.
-
-    Each module learns the smallest module that reaches it and the smallest
-    one it reaches.  Modules of one component agree on both, so an edge whose
-    ends disagree is dropped and the labels are computed anew, until every
-    edge's ends agree: then in each connected piece the smallest module
-    reaches all others and is reached by them.  State stays linear in the
-    graph.
-    """
-    while True:
-        labels = _settled_labels(edges, small)
-        judged, seen = cut_lineage(
-            _with_labels(edges, labels, small).selectExpr(
-                *[f"e.{column}" for column in edges.columns],
-                "s.before = d.before AND s.after = d.after AS agree",
-            ),
+        judged, seen = written(
+            labelled,
             dropped=F.count_if(~F.col("agree")),
+            kept=F.count_if("agree"),
         )
         edges = judged.filter("agree").drop("agree")
-        if not seen["dropped"]:
-            return edges
+        dropped = seen["dropped"] if seen["kept"] else 0
+    return edges
 
 
-def _with_labels(edges: DataFrame, labels: DataFrame, small: bool) -> DataFrame:
-    # At most two labels per edge, so small edges mean small labels.
-    labels = F.broadcast(labels) if small else labels
+def _with_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return (
         edges.alias("e")
         .join(labels.alias("s"), F.expr("e.src = s.node"))
@@ -249,46 +217,74 @@ def _with_labels(edges: DataFrame, labels: DataFrame, small: bool) -> DataFrame:
     )
 
 
-def _settled_labels(edges: DataFrame, small: bool) -> DataFrame:
+def _settled_labels(edges: DataFrame) -> DataFrame:
     """(node, before, after): smallest module reaching a node, and reached by it."""
-    labels = (
-        edges.selectExpr("explode(array(src, dst)) AS node")
-        .distinct()
-        .selectExpr("node", "node AS before", "node AS after")
-    )
+    measure = _size("node", "before", "after", "behind", "ahead")
+    labels, seen = written(_first_labels(edges), size=measure)
     while True:
-        spread, seen = cut_lineage(
-            _spread(edges, labels, small), changed=F.count_if("changed")
+        labels = _hinted(labels, seen["size"])
+        spread, seen = written(
+            _spread(edges, labels), changed=F.count_if("changed"), size=measure
         )
         labels = spread.drop("changed")
         if not seen["changed"]:
-            return labels
+            return _hinted(labels, seen["size"])
 
 
-def _spread(edges: DataFrame, labels: DataFrame, small: bool) -> DataFrame:
-    """Pass labels along every edge, both ways; keep the smallest per module.
+def _first_labels(edges: DataFrame) -> DataFrame:
+    """Every node with itself as both labels, and with its only neighbours, if any.
 
-    Both ends of an edge also repeat their own labels, so that they stay in the
-    comparison; the copies shrink to one row per module and task before the
-    shuffle.
+    `ahead` is where the only edge out of a node leads, else the node itself;
+    `behind` is where the only edge into it comes from.
     """
-    return (
-        _with_labels(edges, labels, small)
+    ends = edges.selectExpr("stack(2, src, dst, NULL, dst, NULL, src) AS (node, to, from)")
+    only = "IF(min({0}) = max({0}), min({0}), node)"
+    return ends.groupBy("node").agg(
+        F.expr("node AS before"),
+        F.expr("node AS after"),
+        F.expr(f"coalesce({only.format('from')}, node)").alias("behind"),
+        F.expr(f"coalesce({only.format('to')}, node)").alias("ahead"),
+    )
+
+
+def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pass labels along every edge, both ways, then jump along two kinds of pointers.
+
+    What reaches my `before` reaches me as well, so its label is one of mine.  And
+    along a chain, where a node has one way on, what the node `ahead` reaches I reach too;
+    that pointer doubles its distance in every round, so a ring or a chain takes as
+    many rounds as the logarithm of its length.  Both ends of an edge also repeat
+    their own labels, so that they stay in the comparison; the copies shrink to one
+    row per module and task before the shuffle.
+    """
+    passed = (
+        _with_labels(edges, labels)
         .selectExpr(
-            "stack(2, e.src, s.before, d.after, s.before, s.after, "
-            "e.dst, s.before, d.after, d.before, d.after) "
-            "AS (node, before, after, own_before, own_after)"
+            "stack(2, e.src, s.before, d.after, s.before, s.after, s.behind, s.ahead, "
+            "e.dst, s.before, d.after, d.before, d.after, d.behind, d.ahead) "
+            "AS (node, before, after, own_before, own_after, behind, ahead)"
         )
-        .groupBy("node", "own_before", "own_after")
+        .groupBy("node", "own_before", "own_after", "behind", "ahead")
         .agg(
             F.least("own_before", F.min("before")).alias("before"),
             F.least("own_after", F.min("after")).alias("after"),
         )
+    )
+    before = "least(n.before, b.before, l.before)"
+    after = "least(n.after, a.after, r.after)"
+    return (
+        passed.alias("n")
+        .join(labels.alias("b"), F.expr("b.node = n.before"))
+        .join(labels.alias("a"), F.expr("a.node = n.after"))
+        .join(labels.alias("l"), F.expr("l.node = n.behind"))
+        .join(labels.alias("r"), F.expr("r.node = n.ahead"))
         .selectExpr(
-            "node",
-            "before",
-            "after",
-            "before <> own_before OR after <> own_after AS changed",
+            "n.node",
+            f"{before} AS before",
+            f"{after} AS after",
+            "l.behind",
+            "r.ahead",
+            f"{before} <> n.own_before OR {after} <> n.own_after AS changed",
         )
     )
 

@@ -44,25 +44,20 @@ def is_reportable(rules: Rules = Rules()) -> Column:
     )
 
 
-def unreferenced(
-    defs: DataFrame, refs: DataFrame, null_aware: bool = True
-) -> DataFrame:
+def unreferenced(defs: DataFrame, refs: DataFrame) -> DataFrame:
     """Definitions whose name is NOT IN the referenced names, NULL rules included.
 
     Spark plans a literal NOT IN over nullable columns as a broadcast of every
     referenced name, whatever its size.  An anti join against the distinct names
     can shuffle instead, and a definition name that is very common is spread
-    over many tasks.  The NULL rules move into one scalar: a NULL among the
-    targets empties the result, and a NULL definition name survives only when
-    there are no targets.  Callers that have already set incomplete rows aside
-    pass null_aware=False and save that scan.
+    over many tasks.  The NULL rules move into one scalar over the same distinct
+    names, of which NULL is one more: it empties the result, and a NULL
+    definition name survives only when there are no targets.
     """
     targets = refs.select(F.col("target_name").alias("name")).distinct()
     kept = join_keyed(defs, targets, "name", "left_anti")
-    if not null_aware:
-        return kept
-    null_targets = F.count_if(F.col("target_name").isNull())
-    verdict = refs.agg(
+    null_targets = F.count_if(F.col("name").isNull())
+    verdict = targets.agg(
         F.when(null_targets > 0, "none").when(F.count("*") > 0, "named").otherwise("all")
     ).scalar()
     # Spark moves this filter below the join.
@@ -70,17 +65,12 @@ def unreferenced(
     return kept.filter((verdict == "all") | (named & (verdict == "named")))
 
 
-def dead_code(
-    defs: DataFrame,
-    refs: DataFrame,
-    rules: Rules = Rules(),
-    null_aware: bool = True,
-) -> DataFrame:
+def dead_code(defs: DataFrame, refs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(name, file, kind, line, severity, severity_rank) of unreferenced definitions."""
     candidates = defs.select("name", "file", "kind", "line").filter(is_reportable(rules))
     severity = dead_code_severity(F.col("name"), F.col("kind"))
     return (
-        unreferenced(candidates, refs, null_aware)
+        unreferenced(candidates, refs)
         .select("name", "file", "kind", "line", severity.alias("severity"))
         .withColumn("severity_rank", severity_rank(F.col("severity")))
     )

@@ -46,24 +46,19 @@ def _by_rule(
     return chain
 
 
-def drift(
-    refs: DataFrame, rules: Rules = Rules(), max_rows: int | None = None
-) -> DataFrame:
+def drift(refs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Cross-file references outside the allowed scope, with the rule they break.
 
     Rows are judged where they are read: no shuffle and no join, so a file that
-    owns a third of all references costs nothing extra.  `max_rows` keeps only
-    the first cross-file references in source order; by default all are judged.
+    owns a third of all references costs nothing extra.
     """
     boundaries = rules.effective_boundaries
     source, target = F.col("source_file"), F.col("target_file")
     columns = ["source_file", "source_name", "target_file", "target_name"]
-    crossing = refs.select(*columns).filter(source != target)
-    if max_rows is not None:
-        crossing = crossing.orderBy(*columns).limit(max_rows)
     governed = any_glob(source, [rule.pattern for rule in boundaries])
     return (
-        crossing
+        refs.select(*columns)
+        .filter(source != target)
         # Implied by the verdict, but simple enough to reach the scan.
         .filter(governed)
         .filter(~any_glob(source, rules.ignore.drift))

@@ -35,29 +35,25 @@ def analyze(
     rules: Rules = Rules(),
     only: str | None = None,
     min_severity: str = "info",
-    max_cycle_len: int | None = None,
-    max_paths: int | None = None,
-    null_aware: bool = True,
 ) -> DataFrame:
     """Findings of the selected checks at or above `min_severity`.
 
     Every check scans only the columns it reads, and leaves out rows where one
     of those is NULL (sources.tables.rejected_rows shows them).  A NULL target
-    name empties the dead-code check, as NOT IN does; null_aware=False skips
-    that test for tables known to have none.  Module edges, which two checks
-    share, are computed once.
+    name empties the dead-code check, as NOT IN does.  Module edges, which two
+    checks share, are computed once.
     """
     checks = select_checks(only)
     defs, refs = conform(defs, DEFINITIONS), conform(refs, REFERENCES)
     parts = []
     if "dead_code" in checks:
-        parts.append(rows.dead_code_findings(dead_code(defs, refs, rules, null_aware)))
+        complete = complete_rows(defs, DEFINITIONS)
+        parts.append(rows.dead_code_findings(dead_code(complete, refs, rules)))
     if "circular_dependencies" in checks or "coupling" in checks:
         links, _ = cut_lineage(module_links(refs))
     if "circular_dependencies" in checks:
         parts.append(rows.pair_cycle_findings(pair_cycles(links)))
-        cycles = long_cycles(links, max_cycle_len, max_paths)
-        parts.append(rows.long_cycle_findings(cycles))
+        parts.append(rows.long_cycle_findings(long_cycles(links)))
     if "coupling" in checks:
         parts.append(rows.coupling_findings(coupling(links, rules.thresholds)))
     if "architectural_drift" in checks:

@@ -1,7 +1,7 @@
 """Summaries, report lines and the pass/fail gate over a findings table.
 
-All of them take findings that are cheap to read more than once: a written
-table, or findings whose lineage has been cut.
+Counts come from a table of four rows, so findings are read once for all of them,
+and without their texts.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from modgauge.functions import texts
-from modgauge.functions.severity import severity_label, worst_severity
+from modgauge.functions.severity import severity_label
 from modgauge.plans.findings import (
     ARCHITECTURAL_DRIFT,
     CATEGORIES,
@@ -19,6 +19,7 @@ from modgauge.plans.findings import (
     DEAD_CODE,
     HIGH_COUPLING,
 )
+from modgauge.runtime import cut_lineage
 
 # Row label in the summary, section heading, advice sentence.
 SUMMARY_LABELS = {
@@ -44,30 +45,49 @@ ADVICE = {
 HEADER, SUMMARY, ADVICE_SECTION = 0, 1, 2 + len(CATEGORIES)
 
 
+def tallies(findings: DataFrame) -> DataFrame:
+    """(category, critical, warning, info): four rows at most, all that counts need.
+
+    Reads nothing of a finding but its category and severity.
+    """
+    rank = F.col("severity_rank")
+    return findings.groupBy("category").agg(
+        F.count_if(rank == 2).alias("critical"),
+        F.count_if(rank == 1).alias("warning"),
+        F.count_if(rank == 0).alias("info"),
+    )
+
+
+def _counts(counted: DataFrame) -> DataFrame:
+    """Tallies as they are, or those of findings."""
+    return counted if "critical" in counted.columns else tallies(counted)
+
+
 def report_summary(findings: DataFrame) -> DataFrame:
-    """(category_no, category, finding_count, worst_severity) of all four categories."""
+    """(category_no, category, finding_count, worst_severity) of all four categories.
+
+    Takes findings or their tallies, as the functions below do.
+    """
     listed = F.posexplode(F.array(*[F.lit(c) for c in CATEGORIES]))
     categories = findings.sparkSession.range(1).select(listed.alias("category_no", "category"))
-    counted = findings.groupBy("category").agg(
-        F.count("*").alias("finding_count"), F.max("severity_rank").alias("rank")
-    )
-    return categories.join(counted, "category", "left").select(
+    rank = F.when(F.col("critical") > 0, 2).when(F.col("warning") > 0, 1).otherwise(0)
+    return categories.join(_counts(findings), "category", "left").select(
         "category_no",
         "category",
-        F.coalesce("finding_count", F.lit(0)).alias("finding_count"),
-        severity_label(F.coalesce("rank", F.lit(0))).alias("worst_severity"),
+        F.coalesce(F.col("critical") + F.col("warning") + F.col("info"), F.lit(0)).alias("finding_count"),
+        severity_label(rank).alias("worst_severity"),
     )
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
     """One row: how many findings of each severity, and the worst of all."""
-    rank = F.col("severity_rank")
-    return findings.agg(
-        F.count_if(rank == 2).alias("critical_count"),
-        F.count_if(rank == 1).alias("warning_count"),
-        F.count_if(rank == 0).alias("info_count"),
-        F.count("*").alias("total_count"),
-        worst_severity(rank).alias("worst_severity"),
+    sums = {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("critical", "warning", "info")}
+    total = sums["critical"] + sums["warning"] + sums["info"]
+    worst = F.when(sums["critical"] > 0, 2).when(sums["warning"] > 0, 1).otherwise(0)
+    return _counts(findings).agg(
+        *[value.alias(f"{name}_count") for name, value in sums.items()],
+        total.alias("total_count"),
+        severity_label(worst).alias("worst_severity"),
     )
 
 
@@ -76,12 +96,13 @@ def recommendations(findings: DataFrame) -> DataFrame:
 
     Only when something is a warning or worse.  The count includes infos.
     """
-    urgent = severity_counts(findings).select(
+    counted = cut_lineage(_counts(findings))[0]  # four rows, read twice
+    urgent = severity_counts(counted).select(
         (F.col("critical_count") + F.col("warning_count") > 0)
     )
     advice_no = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("category_no"))
     return (
-        report_summary(findings)
+        report_summary(counted)
         .filter((F.col("finding_count") > 0) & urgent.scalar())
         .withColumn("advice_no", advice_no)  # four rows at most
         .select(
@@ -96,9 +117,9 @@ def recommendations(findings: DataFrame) -> DataFrame:
 
 def ci_gate(findings: DataFrame) -> DataFrame:
     """One row (critical_count, gate_failed); the caller turns it into an exit code."""
-    return findings.agg(
-        F.count_if(F.col("severity_rank") == 2).alias("critical_count")
-    ).withColumn("gate_failed", F.col("critical_count") > 0)
+    return severity_counts(findings).select(
+        "critical_count", (F.col("critical_count") > 0).alias("gate_failed")
+    )
 
 
 def _by_category(value) -> Column:
@@ -109,12 +130,17 @@ def _by_category(value) -> Column:
 
 
 def finding_lines() -> Column:
-    """The two report lines of a finding."""
+    """The two report lines of a finding, as one text.
+
+    Findings may be equal in all they say, so their lines could not be told apart by
+    sort keys if they were rows of their own.
+    """
     place = F.coalesce(
         F.concat(F.col("location.file"), F.lit(":"), F.col("location.line").cast("string")),
         F.col("location.file"),
     )
-    return F.array(
+    return F.concat_ws(
+        "\n",
         F.format_string(
             "- **%s** [`%s`](%s) — %s",
             F.upper("severity"),
@@ -164,9 +190,13 @@ def report_lines(
     timestamp: str = "",
     version: str = "1",
 ) -> DataFrame:
-    """The Markdown report as one row per line; sort by LINE_KEYS to read it."""
-    summary = report_summary(findings)
-    totals = severity_counts(findings)
+    """The Markdown report as one row per line; sort by LINE_KEYS to read it.
+
+    A finding is one row of two lines.
+    """
+    counted = cut_lineage(tallies(findings))[0]
+    summary = report_summary(counted)
+    totals = severity_counts(counted)
     section_of = _by_category(lambda c: F.lit(2 + CATEGORIES.index(c)))
     heading = _by_category(lambda c: F.lit("## " + HEADINGS[c]))
     label = _by_category(lambda c: F.lit(SUMMARY_LABELS[c]))
@@ -231,7 +261,7 @@ def report_lines(
         findings,
         section_of,
         1,
-        finding_lines(),
+        F.array(finding_lines()),
         # Largest fan-out first; other categories sort by place.
         order_rank=-F.coalesce(F.col("related.fan_out"), F.lit(0)),
         order_file=F.col("location.file"),
@@ -240,7 +270,7 @@ def report_lines(
         finding_id=F.col("finding_id"),
     )
     section_tails = _lines(filled, section_of, 2, F.array(blank))
-    advice = recommendations(findings)
+    advice = recommendations(counted)
     advice_head = _lines(
         totals.filter(F.col("critical_count") + F.col("warning_count") > 0),
         F.lit(ADVICE_SECTION),

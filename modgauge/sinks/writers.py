@@ -51,14 +51,15 @@ def report_document(
     stats: DataFrame,
     repository: str = "unknown",
     version: str = "1",
+    timestamp: str | None = None,
 ) -> DataFrame:
     """Report metadata as one JSON row; the findings stay in their own files."""
-    timestamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
     return stats.select(
         F.to_json(
             F.struct(
                 F.lit(version).alias("version"),
-                timestamp.alias("timestamp"),
+                (now if timestamp is None else F.lit(timestamp)).alias("timestamp"),
                 F.lit(repository).alias("repository"),
                 F.struct("nodes", "edges").alias("graph_stats"),
                 findings.agg(F.count("*")).scalar().alias("finding_count"),

@@ -131,17 +131,23 @@ def derive_references(spark: SparkSession, folder: str, graph: str = "layered")
     return keys.selectExpr(*_named(REFERENCE_COLUMNS))
 
 
-_written: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple, str] = {}
 
 
-def _as_table(derived: DataFrame, folder: str, name: str) -> DataFrame:
-    """The derived rows as a Parquet table, written once per session.
+def _state(source: DataFrame) -> tuple:
+    """Path, size and time of the source's files, through Spark's own file listing."""
+    fields = [f"_metadata.file_{x}" for x in ("path", "size", "modification_time")]
+    return tuple(sorted(tuple(map(str, r)) for r in source.select(*fields).distinct().collect()))
+
+
+def _as_table(derived: DataFrame, source: DataFrame, name: str) -> DataFrame:
+    """The derived rows as a Parquet table, written once per session and source state.
 
     The checks are meant for stored graph tables.  Left as expressions over the
     source tables, every file predicate would repeat the whole derivation.
     """
     spark = derived.sparkSession
-    key = (spark.sparkContext.applicationId, folder, name)
+    key = (spark.sparkContext.applicationId, name, _state(source))
     if key not in _written:
         path = f"{ensure_checkpoint_dir(spark)}/derived-{uuid4()}"
         derived.write.parquet(path)
@@ -150,8 +156,10 @@ def _as_table(derived: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def definitions(spark: SparkSession, folder: str) -> DataFrame:
-    return _as_table(derive_definitions(spark, folder), folder, "definitions")
+    source = spark.read.parquet(f"{folder}/part.parquet")
+    return _as_table(derive_definitions(spark, folder), source, "definitions")
 
 
 def references(spark: SparkSession, folder: str, graph: str = "layered") -> DataFrame:
-    return _as_table(derive_references(spark, folder, graph), folder, graph)
+    source = spark.read.parquet(f"{folder}/lineitem.parquet")
+    return _as_table(derive_references(spark, folder, graph), source, graph)

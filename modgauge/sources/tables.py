@@ -98,12 +98,3 @@ def count_rows(spark: SparkSession, source: DataFrame | str | None) -> Column:
         return F.lit(0).cast("bigint")
     return source.agg(F.count("*")).scalar()
 
-
-def discover_schema(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Catalog tables with their column names: (name, columns)."""
-    tables = spark.catalog.listTables(database)
-    rows = []
-    for table in tables:
-        qualified = ".".join([*(table.namespace or []), table.name])
-        rows.append((table.name, spark.table(qualified).columns))
-    return spark.createDataFrame(rows, "name string, columns array<string>")

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from modgauge.operators import cycles
 from modgauge.operators.cycles import (
-    TooManyPaths,
     canonical_cycle,
     long_cycles,
     pair_cycles,
@@ -14,59 +13,50 @@ from modgauge.operators.cycles import (
 from modgauge.plans.findings import long_cycle_findings, pair_cycle_findings
 
 
-def found(edges, **options):
-    return {
-        (tuple(r["path"]), r["total_refs"]) for r in long_cycles(edges, **options).collect()
-    }
+def found(edges):
+    return {(tuple(r["path"]), r["total_refs"]) for r in long_cycles(edges).collect()}
 
 
-def test_three_modules(edges_of):
-    edges = edges_of([("a", "b", 1), ("b", "c", 2), ("c", "a", 3)])
-    assert found(edges) == {(("a", "b", "c"), 6)}
+def ring(names, weight=1):
+    return [(a, b, weight + i) for i, (a, b) in enumerate(zip(names, [*names[1:], names[0]]))]
 
 
-def test_mutual_pair_is_not_a_long_cycle(edges_of):
-    assert found(edges_of([("a", "b", 5), ("b", "a", 5)])) == set()
+def test_ring_of_five_starts_at_its_smallest_module(edges_of):
+    names = ["kiln", "loom", "anvil", "mill", "forge"]
+    assert found(edges_of(ring(names, 4))) == {(("anvil", "mill", "forge", "kiln", "loom"), 30)}
 
 
-def test_no_cycle(edges_of):
-    assert found(edges_of([("a", "b", 1), ("b", "c", 1)])) == set()
+def test_pairs_and_trees_have_no_long_cycle(edges_of):
+    pairs = [("kiln", "loom", 3), ("loom", "kiln", 8), ("loom", "mill", 2), ("mill", "loom", 2)]
+    assert found(edges_of(pairs)) == set()
+    tree = [("root", f"n{i}", 1) for i in range(4)] + [("n0", "leaf", 6), ("n3", "leaf", 6)]
+    assert found(edges_of(tree)) == set()
     assert found(edges_of([])) == set()
 
 
-def test_sibling_branches_do_not_mix(edges_of):
-    edges = edges_of(
-        [("a", "b", 1), ("b", "a", 1), ("a", "c", 1), ("c", "d", 1), ("d", "a", 1)]
-    )
-    assert found(edges) == {(("a", "c", "d"), 3)}
-
-
-def test_heavier_direction_is_reported(edges_of):
-    edges = edges_of(
-        [("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("a", "c", 5), ("c", "b", 5), ("b", "a", 5)]
-    )
-    assert found(edges) == {(("a", "c", "b"), 15)}
-    assert [r["total_refs"] for r in pair_cycles(edges).collect()] == [6, 6, 6]
-    even = edges_of(
-        [(x, y, 2) for x, y in ("ab", "bc", "ca", "ac", "cb", "ba")]
-    )
-    assert found(even) == {(("a", "b", "c"), 6)}
+def test_two_rings_through_one_module(edges_of):
+    left, right = ring(["hub", "p", "q", "r"], 10), ring(["hub", "x", "y"], 2)
+    assert found(edges_of(left + right)) == {
+        (("hub", "p", "q", "r"), 46),
+        (("hub", "x", "y"), 9),
+    }
 
 
-def test_max_len_and_max_paths(edges_of):
-    ring = edges_of([(f"m{i}", f"m{(i + 1) % 5}", 1) for i in range(5)])
-    assert found(ring, max_len=4) == set()
-    assert found(ring, max_len=5) == {(("m0", "m1", "m2", "m3", "m4"), 5)}
-    assert found(ring, max_len=2) == set()
-    complete = edges_of([(x, y, 1) for x in "abcde" for y in "abcde" if x != y])
-    with pytest.raises(TooManyPaths):
-        long_cycles(complete, max_paths=5)
+def test_of_two_directions_the_heavier_is_reported(edges_of):
+    names = ["ash", "birch", "cedar", "fir"]
+    light, heavy = ring(names, 1), ring(list(reversed(names)), 20)
+    assert found(edges_of(light + heavy)) == {(("ash", "fir", "cedar", "birch"), 86)}
+    assert sorted(r["total_refs"] for r in pair_cycles(edges_of(light + heavy)).collect()) == [
+        23, 23, 23, 27,
+    ]
+    even = [(a, b, 7) for a, b, _ in light + heavy]
+    assert found(edges_of(even)) == {(tuple(names), 28)}
 
 
 def test_weakest_edge(edges_of):
-    edges = edges_of([("a", "b", 4), ("b", "c", 2), ("c", "a", 3)])
+    edges = edges_of([("oak", "elm", 14), ("elm", "yew", 5), ("yew", "pine", 6), ("pine", "oak", 5)])
     row = weakest_edges(long_cycles(edges)).first()
-    assert (row["src_module"], row["dst_module"], row["ref_count"]) == ("b", "c", 2)
+    assert (row["src_module"], row["dst_module"], row["ref_count"]) == ("elm", "yew", 5)
 
 
 def brute_force(edges):
@@ -91,14 +81,8 @@ def brute_force(edges):
     return {(path, total) for total, _, path in best.values()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("route", ["closure", "labels", "shuffled"])
-def test_random_graphs_against_brute_force(edges_of, monkeypatch, seed, route):
-    if route != "closure":
-        monkeypatch.setattr(cycles, "CLOSURE_BYTES", 0)
-    if route == "shuffled":
-        monkeypatch.setattr(cycles, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(cycles, "PATHS_PER_PARTITION", 3)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_graphs_against_brute_force(edges_of, seed):
     rng = random.Random(seed)
     nodes = [f"m{i}" for i in range(8)]
     rows = [
@@ -111,17 +95,38 @@ def test_random_graphs_against_brute_force(edges_of, monkeypatch, seed, route):
 
 
 def test_acyclic_part_is_not_walked(edges_of):
-    """2**20 paths lie between the two triangles; none is on a cycle."""
-    names = [f"m{i:02d}" for i in range(26)]
+    """2**19 paths lie between the two rings; none is on a cycle."""
+    names = [f"m{i:02d}" for i in range(25)]
     rows = [(a, b, 1) for i, a in enumerate(names) for b in names[i + 1 :]]
-    rows += [(names[2], names[0], 1), (names[25], names[23], 1)]
-    assert {path for path, _ in found(edges_of(rows), max_paths=100)} == {
-        tuple(names[0:3]),
-        tuple(names[23:26]),
-    }
+    rows += [(names[2], names[0], 1), (names[24], names[22], 1)]
+    assert {path for path, _ in found(edges_of(rows))} == {tuple(names[0:3]), tuple(names[22:25])}
+
+
+def test_dense_part_that_leads_nowhere_adds_no_paths(spark, edges_of):
+    """One strong component, but of its 2**18 upward paths only those home are walked."""
+    names = [f"m{i:02d}" for i in range(20)]
+    rows = [(a, b, 1) for i, a in enumerate(names[1:], 1) for b in names[i + 1 :]]
+    # All are strongly connected through m00, which only a two-step way leaves.
+    rows += [(names[-1], "m00", 1), ("m00", names[1], 1)]
+    kept = cycles._ways_back(cycles._cyclic_core(cycles._with_reverse(edges_of(rows))))
+    assert {r["start"] for r in kept.collect()} == {"m00"}
+
+
+def jobs_of(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    result = work()
+    spark.sparkContext.setJobGroup("other", "other")
+    return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_core_of_a_long_ring_takes_few_jobs(spark, edges_of):
+    edges = edges_of(ring([f"m{i}" for i in range(600)]))
+    core, jobs = jobs_of(spark, "ring", lambda: cycles._cyclic_core(cycles._with_reverse(edges)))
+    assert core.count() == 600
+    assert jobs < 100, jobs  # about eight for each of eleven rounds
 
 
-@pytest.mark.parametrize("a,b", [("abc", "bca"), ("abc", "cab"), ("abc", "acb"), ("dbca", "acbd")])
+@pytest.mark.parametrize("a,b", [("pqrst", "rstpq"), ("pqrst", "tpqrs"), ("pqrst", "ptsrq"), ("pqrst", "rqpts")])
 def test_canonical_key_ignores_rotation_and_direction(spark, a, b):
     df = spark.createDataFrame([(list(a),), (list(b),)], "path array<string>")
     assert df.select(canonical_cycle(F.col("path"))).distinct().count() == 1

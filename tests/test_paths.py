@@ -6,25 +6,25 @@ from modgauge.functions.paths import basename, module_of
 from modgauge.functions.severity import rank_of, severity_label, severity_rank
 
 MODULES = {
-    "src/auth/login.rs": "auth",
-    "./src/auth/login.rs": "auth",
-    "/src/auth/login.rs": "auth",
-    "lib/db/conn.rs": "lib",
-    "pkg/handler.go": "pkg",
-    "main.rs": "root",
-    "README.md": "root",
-    "src/main.rs": "src",
+    "src/billing/invoice.py": "billing",
+    "./src/billing/tax/vat.py": "billing",
+    "/src/ledger/book.py": "ledger",
+    "tools/gen/make.py": "tools",
+    "cmd/serve.go": "cmd",
+    "setup.py": "root",
+    "Makefile": "root",
+    "src/app.py": "src",
     "": "root",
-    "lib/": "lib",
-    "src//x.rs": "",
-    "//src/a.rs": "",
-    "././src/a/b.rs": ".",
+    "tools/": "tools",
+    "src//late.py": "",
+    "//src/early.py": "",
+    "././src/b/c.py": ".",
     "src/": "src",
-    "src/a/": "a",
-    "srcs/a/b.rs": "srcs",
+    "src/billing/": "billing",
+    "srcs/billing/x.py": "srcs",
     "/": "root",
     "./": "root",
-    "./a.rs": "root",
+    "./run.py": "root",
 }
 
 GLOBS = [

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from modgauge import analyze
 from modgauge.plans.compare import code_quality, findings_diff, findings_trend, history_rows
 from modgauge.plans.findings import at_least
@@ -24,6 +25,48 @@ from modgauge.sinks.writers import (
 )
 
 
+SENTENCES = {
+    "dead_code": (
+        "Class `Relic` in src/old/relic.rs has no references in the codebase.",
+        "Public class `Relic` is exported but never used. Consider removing it or documenting "
+        "its purpose if it is part of a public API surface.",
+    ),
+    "circular_dependency": (
+        "Circular dependency between `domain` and `x`: 2 cross-references "
+        "(domain -> x, x -> domain).",
+        "Extract shared code into a third module that both `domain` and `x` depend on "
+        "(dependency inversion principle). Alternatively, use an event/callback pattern to "
+        "break the direct coupling.",
+    ),
+    "high_coupling": (
+        "Module `wide` has a fan-out of 8, depending on 8 other modules: `t0`, `t1`, `t2`, "
+        "`t3`, `t4`, `t5`, `t6`, `t7`.",
+        "Module `wide` has moderate coupling (8 dependencies). Review whether all dependencies "
+        "are necessary. Consider using dependency injection or the mediator pattern to reduce "
+        "direct coupling.",
+    ),
+    "architectural_drift": (
+        '`caller0` (in src/domain/a.rs, governed by "Domain Layer" boundary) imports `B` from '
+        "`src/x/b.rs`, which is outside the allowed import scope.",
+        "Move `B` to a location within the allowed boundary, or refactor to use an "
+        'interface/abstraction defined within the "Domain Layer" boundary. Consider applying '
+        'the dependency inversion principle: define a trait or protocol inside "Domain Layer" '
+        "that `B` in `src/x/b.rs` can implement.",
+    ),
+}
+ADVICE_LINES = [
+    "1. **Remove dead code**: 1 unused definitions found. Start with public API surfaces "
+    "(critical) and work inward. Run this check regularly in CI to prevent accumulation.",
+    "2. **Break circular dependencies**: 1 cycle(s) detected. Apply the dependency inversion "
+    "principle — introduce interfaces or abstract modules that both sides depend on instead "
+    "of each other.",
+    "3. **Reduce module coupling**: 1 module(s) with high fan-out. Consider the facade pattern "
+    "for high-coupling modules to reduce direct dependency count and improve change isolation.",
+    "4. **Enforce architecture boundaries**: 1 drift violation(s) found. Add explicit boundary "
+    "rules to the configuration and run this in CI to prevent new violations from being merged.",
+]
+
+
 @pytest.fixture
 def graph(definitions_of, references_of):
     defs = definitions_of(
@@ -205,3 +248,36 @@ def test_code_quality(findings):
     assert rows["Circu"]["severity"] == "minor"
     assert rows["Class"]["location"]["lines"]["begin"] == 3
     assert rows["Circu"]["location"]["lines"]["begin"] == 1
+
+
+def test_lines_of_equal_findings_follow_each_other(spark, definitions_of, references_of, tmp_path):
+    defs = definitions_of([("Twin", "src/m/t.rs", "class", 4)] * 3)
+    refs = references_of([("src/domain/a.rs", "src/x/b.rs", "B")])
+    refs = refs.unionByName(refs).unionByName(refs)
+    found = analyze(defs, refs)
+    path = str(tmp_path / "report")
+    write_report(report_lines(found, graph_stats(spark, defs, refs)), path)
+    lines = [r[0] for r in spark.read.text(path).collect() if r[0].startswith(("- **", "  - _"))]
+    kinds = ["bullet" if line.startswith("- **") else "suggestion" for line in lines]
+    assert kinds == ["bullet", "suggestion"] * 6
+
+
+def test_sentences_are_what_they_should_be(definitions_of, references_of):
+    """Written out here, as the SQL oracle shares the templates with the checks."""
+    defs = definitions_of([("Relic", "src/old/relic.rs", "class", 7)])
+    refs = references_of(
+        [("src/domain/a.rs", "src/x/b.rs", "B")]
+        + [("src/x/b.rs", "src/domain/a.rs", "A")]
+        + [("src/wide/w.rs", f"src/t{i}/f.rs") for i in range(8)]
+    )
+    found = analyze(defs, refs)
+    said = {r["category"]: (r["description"], r["remediation"]) for r in found.collect()}
+    assert said == SENTENCES
+    assert [r["advice"] for r in recommendations(found).orderBy("advice_no").collect()] == ADVICE_LINES
+
+
+def test_counts_read_no_texts(graph):
+    found = analyze(*graph)
+    for small in (report_summary(found), severity_counts(found), ci_gate(found)):
+        plan = plan_of(small)
+        assert "sha2" not in plan and "has no references" not in plan
