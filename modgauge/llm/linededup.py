@@ -87,7 +87,7 @@ def _line_table(docs: DataFrame, width: int) -> DataFrame:
 
     (k1, k2) is a 128-bit hash of the token set, prefix its rarest tokens.
     """
-    spark, lines = docs.sparkSession, _lines(docs)
+    lines = _lines(docs)
     rarity = _rarity(lines, width)
     tokens = lines.select(*_KEY, line_tokens(F.col("line"), width).alias("tokens"))
     # By set: sorted by rarity and token, whose order is the same for all lines.
@@ -104,7 +104,12 @@ def _line_table(docs: DataFrame, width: int) -> DataFrame:
         n.alias("n"),
         F.slice("ranked", F.lit(1), n - least + 1).alias("prefix"),
     )
-    path = f"{ensure_checkpoint_dir(spark)}/lines-{uuid4()}"
+    return _written(table, "lines")
+
+
+def _written(table: DataFrame, name: str) -> DataFrame:
+    spark = table.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4()}"
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
 
@@ -144,24 +149,31 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _may_hold(keys: DataFrame, *names: str) -> Column:
+    """A condition that rows with these keys meet, and few others: a bit set of fixed size.
+
+    It only spares a shuffle rows that an exact join would drop; when there are too many keys it
+    drops fewer.
+    """
+    bit = f"pmod(xxhash64({', '.join(names)}), {BUCKETS * 64})"
+    at, mask = F.expr(f"{bit} DIV 64"), F.expr(f"shiftleft(1L, CAST({bit} % 64 AS INT))")
+    bits = keys.select(at.alias("at"), mask.alias("m")).groupBy("at").agg(F.bit_or("m").alias("n"))
+    every = keys.sparkSession.range(BUCKETS).select(F.col("id").alias("at"), F.lit(0).cast("bigint").alias("n"))
+    rows = bits.unionByName(every).groupBy("at").agg(F.bit_or("n").alias("n"))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x.n)
+    word = cut_lineage(rows.agg(words.alias("n")))[0].scalar()
+    return word[at.cast("int")].bitwiseAND(mask) != 0
+
+
 def _token_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     """(doc, rid, no, tokens) of the lines in `needed`."""
-    # A fixed-size filter on documents keeps most texts out of the shuffle.
-    bit = f"pmod(xxhash64(doc, rid), {BUCKETS * 64})"
-    at, mask = F.expr(f"{bit} DIV 64"), F.expr(f"shiftleft(1L, CAST({bit} % 64 AS INT))")
-    bits = needed.select(at.alias("at"), mask.alias("m")).groupBy("at").agg(F.bit_or("m").alias("n"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("at"), F.lit(0).cast("bigint").alias("n"))
-    rows = bits.unionByName(every).groupBy("at").agg(F.max("n").alias("n"), F.min("n").alias("m"))
-    # A word of bits is a signed long, the filler zero.
-    words = F.array_sort(F.collect_list(F.struct("at", F.when(F.col("n") != 0, F.col("n")).otherwise(F.col("m")).alias("n"))))
-    word = cut_lineage(rows.agg(F.transform(words, lambda x: x.n).alias("n")))[0].scalar()
     lines = docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"),
         F.xxhash64("text").alias("rid"),
         "text",
-    )
-    lines = lines.filter(word[at.cast("int")].bitwiseAND(mask) != 0)
+    ).filter(_may_hold(needed, "doc", "rid"))
     lines = lines.select("doc", "rid", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    lines = lines.filter(_may_hold(needed, *_KEY))
     held = lines.join(needed.select(*_KEY), list(_KEY)).dropDuplicates(list(_KEY))
     return held.select(*_KEY, line_tokens(F.col("line"), width).alias("tokens"))
 
@@ -171,10 +183,14 @@ def removed_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     table = _line_table(docs, width)
     first = F.min(F.struct("doc", "no", "rid", "n", "prefix"))
     classes = table.groupBy("k1", "k2").agg(first.alias("f")).select("k1", "k2", "f.*")
+    classes = _written(classes, "classes")
     postings = classes.select(*_KEY, "n", F.posexplode("prefix").alias("pos", "token"))
     shared = postings.groupBy("token").count().filter("count > 1").select("token")
-    postings = cut_lineage(postings.join(shared, "token", "left_semi"))[0]
-    sets = cut_lineage(_token_sets(docs, postings.select(*_KEY).distinct(), width))[0]
+    shared = cut_lineage(shared)[0]
+    postings = postings.filter(_may_hold(shared, "token")).join(shared, "token", "left_semi")
+    postings = cut_lineage(postings)[0]
+    needed = cut_lineage(postings.select(*_KEY).distinct())[0]
+    sets = cut_lineage(_token_sets(docs, needed, width))[0]
 
     leaders = postings.groupBy("token").agg(F.min(F.struct("doc", "no", "rid", "n", "pos")).alias("f"))
     leaders = leaders.select("token", "f.*")
