@@ -41,10 +41,25 @@ _FAST = {
 }
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
-# Candidates of the method.
-_NUMBER = r"(?<![A-Za-z0-9+(])[+(]{0,2}[0-9][\x20().0-9-]{5,30}(?![A-Za-z0-9])"
-_SECRET = r"(?<![A-Za-z0-9_-])[A-Za-z][A-Za-z_-]{1,30}+[\"']?\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_.-]{6,200}+"
-_VALUE = r"([A-Za-z0-9+/_.-]{6,})$"
+# Candidates of the method.  Neither has a longest length; all repeats are possessive.
+_CARD = r"[0-9]{4}(?:[\x20-][0-9]{4}){3}"
+# Complete numbers, which end a candidate however many follow each other.
+_SHAPE = (
+    r"(?<![A-Za-z0-9+])(?<![0-9][.-])(?:"
+    r"(?:\+?[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}"
+    r"|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}[.-][0-9]{2}[.-][0-9]{2}"
+    # Groups of four that are no card by themselves may be part of a longer number.
+    rf"|(?:(?<![0-9][\x20-])|(?<=\G\x20)){_CARD}(?=\x20{_CARD}(?![0-9])|(?![\x20-][0-9]))"
+    r")(?![A-Za-z0-9])(?![.-][0-9])"
+)
+_NUMBER = (
+    rf"{_SHAPE}|(?<![A-Za-z0-9+(])[+(]{{0,2}}(?!{_SHAPE})[0-9]++(?![A-Za-z])"
+    rf"(?:(?!{_SHAPE})(?:[\x20().-]|[0-9]++(?![A-Za-z])))*+"
+)
+LEAST_NUMBER = 6  # characters
+_SECRET_KEY = r"[A-Za-z0-9_-]{2,}+[\"']?\x20?[=:]\x20?[\"']?"
+_SECRET = rf"(?<![A-Za-z0-9_-])(?=[0-9_-]*+[A-Za-z]){_SECRET_KEY}[A-Za-z0-9+/_.-]{{6,}}+={{0,2}}+"
+_VALUE = rf"^{_SECRET_KEY}(.*)$"
 
 # Gazetteers.
 SECRET_KEYS = "password passwd passphrase pwd secret token api_key apikey api-key access_key auth bearer credential credentials pin passwort kennwort contraseña clave"
@@ -64,17 +79,21 @@ def found(text: Column, pattern: str) -> Column:
         F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("h"), g.alias("g"))),
         lambda x: x.h.isNotNull(),
     )
-    none = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start: int, end: int, value: string, before: string>>)").alias("out"))
+    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.expr("CAST(array() AS array<struct<start: int, end: int, value: string, before: string>>)").alias("out"))
 
     def step(state: Column, x: Column) -> Column:
         start = state.at + F.char_length(x.g)
+        # Matches in a row share what stands before the first.
+        before = F.when(x.g.rlike(r"^[\x20().-]*$"), state.before).otherwise(F.right(x.g, F.lit(CONTEXT)))
         span = F.struct(
             start.alias("start"),
             (start + F.char_length(x.h)).alias("end"),
             x.h.alias("value"),
-            F.right(x.g, F.lit(CONTEXT)).alias("before"),
+            before.alias("before"),
+        )
+        return F.struct(
+            (start + F.char_length(x.h)).alias("at"), before.alias("before"), F.array_append(state.out, span).alias("out")
         )
-        return F.struct((start + F.char_length(x.h)).alias("at"), F.array_append(state.out, span).alias("out"))
 
     return F.aggregate(both, none, step, lambda s: s.out)
 
@@ -130,13 +149,13 @@ def _words(words: str) -> str:
 
 
 def _secret_votes(value: Column, hit: Column) -> list[Column]:
-    key = F.lower(F.regexp_extract(hit, "^([A-Za-z_-]+)", 1))
+    key = F.lower(F.regexp_extract(hit, "^([A-Za-z0-9_-]+)", 1))
     n = F.length(value)
     digits = F.length(_digits(value))
     return [
-        _vote(value.rlike("^(?:[0-9a-fA-F]{16,}|[A-Za-z0-9+/_-]{24,})$"), value.rlike("^[A-Za-z.]*$|^[0-9.]{1,11}$")),
-        _vote(key.rlike(rf"(?:^|[_-])(?:{_words(SECRET_KEYS)})$"), key.rlike(f"^(?:{_words(PLAIN_KEYS)})$")),
-        _vote(hit.rlike("[=]"), hit.rlike("^[A-Za-z]+:\\x20")),
+        _vote(value.rlike("^(?:[0-9a-fA-F]{16,}|[A-Za-z0-9+/_-]{24,}={0,2})$"), value.rlike("^[A-Za-z.]*$|^[0-9.]{1,11}$")),
+        _vote(key.rlike(rf"(?:^|[_-])(?:{_words(SECRET_KEYS)})[0-9]*$"), key.rlike(f"^(?:{_words(PLAIN_KEYS)})$")),
+        _vote(hit.rlike(r"^[A-Za-z0-9_-]+[\"']?\x20?="), hit.rlike("^[A-Za-z]+:\\x20")),
         _vote(hit.rlike("[\"']")),
         _vote((digits * 10 >= n) & (digits * 10 <= n * 9) & (n >= 8), digits == 0),
     ]
@@ -181,7 +200,8 @@ def candidates(text: Column) -> Column:
         )
 
     secrets = F.when(text.rlike("[=:]"), F.transform(found(text, _SECRET), secret))
-    numbers = F.when(text.rlike("[0-9]"), F.transform(found(text, _NUMBER), number))
+    long = F.filter(found(text, _NUMBER), lambda s: F.char_length(s.value) >= LEAST_NUMBER)
+    numbers = F.when(text.rlike("[0-9]"), F.transform(long, number))
     none = F.array().cast(_CANDIDATES)
     return F.concat(F.coalesce(secrets.cast(_CANDIDATES), none), F.coalesce(numbers.cast(_CANDIDATES), none))
 

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from conftest import TESTDATA
 from modgauge.llm import pii, queries
 
@@ -92,3 +94,39 @@ def test_redaction(spark):
     found = docs.join(pii.find(docs, {}), "doc_id")
     got = {r.doc_id: r.t for r in found.select("doc_id", pii.redacted(found.text, found.spans).alias("t")).collect()}
     assert got == {1: "é write [email] or [phone] now", 2: None, 3: "none"}
+
+
+def test_spans_reach_the_end_and_neighbours_are_apart(spark):
+    rng = random.Random(4)
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    h = lambda k: "".join(rng.choice("0123456789abcdefXYZ") for _ in range(k))
+    phone = lambda: f"{n(3)}-{n(3)}-{n(4)}"
+    rows = {i: f"call {phone()} now or password={h(18)} then" for i in range(60)}
+    rows |= {100 + i: f"in {n(4)}-{n(4)} years width={n(6)} note: seemingly {n(7)} and" for i in range(60)}
+    planted = [
+        ["token=", h(400)], ["secret='", ".".join(h(300) for _ in range(3))], ["token=", h(90) + "=="],
+        ["s3_secret=", h(40)], ["a_quite_long_name_that_goes_on_and_on_secret=", h(40)], ["token2=", h(40)], ["--password=", h(20)],
+        ["", phone(), " ", phone()], ["phone ", phone(), " ", phone(), " ", phone(), " ", phone()],
+        ["(", phone(), ") (", phone()], ["", f"({n(3)}) {n(3)}-{n(4)}", " ", f"{n(3)} {n(3)} {n(4)}"],
+        ["", phone(), " 4210 ", phone()], ["ssn ", f"{n(3)}-{n(2)}-{n(4)}", " ", f"{n(3)}-{n(2)}-{n(4)}"],
+    ]
+    rows |= {1000 + i: "é at " + "".join(parts) + " end" for i, parts in enumerate(planted)}
+    rows |= {2000: "a" * 60_000 + "=" + "b1" * 30_000, 2001: "1 " * 40_000, 2002: "12-" * 30_000, 2003: "1" * 60_000 + "a"}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in pii.find(docs, pii.train(docs)).collect()}
+    for i, parts in enumerate(planted):
+        kind = "secret" if "=" in parts[0] or "'" in parts[0] else "number"
+        at, expected = 5, []
+        for j, part in enumerate(parts):
+            if j % 2:
+                expected.append(f"{kind}:{at}:{at + len(part)}")
+            at += len(part)
+        assert got[1000 + i] == ",".join(expected), (rows[1000 + i][:300], got[1000 + i], expected)
+    # Groups of four that are part of a longer number stay in one candidate.
+    longer = ["3704 0044 0532 0130 00", "1177 3016 1111 1018 0000 0000", "1" * 70]
+    frame = spark.createDataFrame([(f"at {x} end",) for x in longer], "text string")
+    spans = [[(c.start, c.end) for c in r.c] for r in frame.select(pii.candidates(frame.text).alias("c")).collect()]
+    assert spans == [[(3, 3 + len(x))] for x in longer]
+    cards = " ".join(["4111 1111 1111 1111"] * 3)
+    found = spark.createDataFrame([(cards,)], "text string").select(pii.candidates(F.col("text")).alias("c")).first().c
+    assert [(c.start, c.end) for c in found] == [(0, 19), (20, 39), (40, 59)]
