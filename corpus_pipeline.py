@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept;
 `run` writes every stage's rows as Parquet below the session's shared folder and reads them again.
-All stages but the last return the columns of documents, extra ones included.
+All stages but the last return the columns of documents, extra ones included; the last gives
+every row's place in the mix, mix_position, which counts from 0 without gaps.
 
 Null text counts as empty and is rejected by the first stage; null ids, repeated rows, ties and empty
 tables are handled as the operators' docstrings say.
@@ -13,7 +14,8 @@ from __future__ import annotations
 from uuid import uuid4
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from modgauge.llm import bpe, linededup, mixing, quality, simhash
 from modgauge.llm.text import table
@@ -52,9 +54,30 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_order(mixed, slots or 0, partitions, docs.columns)
 
 
+def _positions(docs: DataFrame) -> DataFrame:
+    """docs with _position: the row's number in files by name and rows in order, null without files.
+
+    A reader packs splits of files as it likes, but each row still knows its file and its number there.
+    """
+    try:
+        placed = docs.withColumns({"_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return docs.withColumn("_position", F.lit(None).cast("bigint"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each part file.
+    files = placed.groupBy("_file").agg(F.count("*").alias("n")).select(
+        "_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")
+    )
+    placed = placed.join(F.broadcast(files), "_file")
+    return placed.select(*docs.columns, (F.col("_before") + F.col("_row")).alias("_position"))
+
+
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and digests of them and of the decoded bytes."""
-    return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, with_ids=True)
+    """Token ids of every document, digests of them and of the decoded bytes, and its place in the mix."""
+    placed = _positions(docs.select("doc_id", "text")).withColumnRenamed("_position", "mix_position")
+    return bpe.digests(
+        placed, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, with_ids=True, place="mix_position"
+    )
 
 
 STAGES = [

@@ -323,12 +323,15 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every whole text.
+def digests(
+    docs: DataFrame, path: str, pattern: str, with_ids: bool = False, place: str | None = None
+) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids][, place]) of every whole text.
 
-    Encodes each text and decodes the ids again in the same task.
+    Encodes each text and decodes the ids again in the same task.  `place` names a
+    bigint column that is handed through.
     """
-    extra = ["ids"] if with_ids else []
+    extra = [*(["ids"] if with_ids else []), *([place] if place else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -356,12 +359,15 @@ def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
             ]
             if with_ids:
                 columns.append(_lists(parts))
+            columns += batch.columns[2:]
             yield pa.RecordBatch.from_arrays(
                 columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *extra]
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(
+    handed = [F.col(place).cast("bigint").alias(place)] if place else []
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text"), *handed).mapInArrow(
         run,
         "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-        + (", ids array<int>" if with_ids else ""),
+        + (", ids array<int>" if with_ids else "")
+        + (f", `{place}` bigint" if place else ""),
     )

@@ -66,6 +66,17 @@ def test_every_stage(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_run_gives_places_in_the_mix(spark, monkeypatch):
+    last = [x for x in corpus_pipeline.STAGES if x[0] in ("mixing", "bpe")]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", last)
+    folder = f"{TESTDATA}/sf0.01"
+    rows = corpus_pipeline.run(spark, folder).collect()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    expected = [r.doc_id for r in mixing.mix(docs).orderBy("_mix_slot", "_mix_place").select("doc_id").collect()]
+    assert sorted(r.mix_position for r in rows) == list(range(len(rows)))
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.mix_position)] == expected
+
+
 def test_odd_and_empty_tables(spark, tmp_path):
     rows = [(1, None, "s"), (None, "word " * 3, None), (2, "", "s"), (3, "\n", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr(
