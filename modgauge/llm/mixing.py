@@ -4,11 +4,11 @@ The rows of a source, in a random but fixed order, are cut into blocks of BLOCK.
 source of weight w owns a share w of all slots: its block k (from 0) is released at slot
 floor(k / w) and due by slot ceil((k + 1) / w), and every slot takes the released block
 that is due first.  Then after any number t of slots each source has had
-less than one block more or less than w * t.
+less than one block more or less than w * t (and 1e-9, see below).
 
-Weights are whole shares of a period, so the schedule repeats: one period, scheduled on
-the driver, is a table of PERIOD slots at most, and a block's slot follows from its number by
-arithmetic, in parallel.  When a source runs out, a new phase begins with the
+Weights are whole shares of PERIOD, which is so long that rounding moves a source by less than
+1e-9 blocks in 4 * 10^9 slots.  The schedule follows from slot to slot: the driver finds it, with two heaps, and
+holds a number for each block, that is for every BLOCK rows.  When a source runs out, a new phase begins with the
 others' weights scaled up.  There is a phase for each source at most; rows are neither
 dropped nor repeated.  At most MAX_SOURCES sources have weights of their own; all beyond, the
 smallest, share one pool.
@@ -23,12 +23,14 @@ names begin with `_mix`.
 from __future__ import annotations
 
 import math
+from array import array
+from heapq import heapify, heappop, heappush
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 64
-PERIOD = 1000
+PERIOD = 1 << 62
 MAX_SOURCES = 500
 TEMPERATURE = 0.5  # without given weights a source weighs its size to this power
 RANGE_ROWS = 50_000  # rows of a hash range, about
@@ -39,26 +41,38 @@ NO_SOURCE = "\x00none"
 
 def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
     """Weights as whole shares of the period, each at least 1 (largest remainders)."""
-    free = period - len(weights)
     total = sum(Fraction(w) for w in weights.values())
-    exact = {s: Fraction(w) * free / total for s, w in weights.items()}
-    shares = {s: 1 + math.floor(x) for s, x in exact.items()}
+    exact = {s: Fraction(w) * period / total for s, w in weights.items()}
+    shares = {s: max(1, math.floor(x)) for s, x in exact.items()}
     left = period - sum(shares.values())
-    for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s))[:left]:
+    for s in sorted(exact, key=lambda s: (shares[s] - exact[s], s))[: max(left, 0)]:
         shares[s] += 1
+    for _ in range(-left):  # what shares raised to 1 take, the largest give
+        shares[max(shares, key=lambda s: (shares[s], s))] -= 1
     return shares
 
 
-def one_period(shares: dict[str, int]) -> list[str]:
-    """Earliest deadline first among released blocks, for one period of slots."""
+def one_period(shares: dict[str, int], left: dict[str, int] | None = None) -> list[str]:
+    """Earliest deadline first among released blocks, for one period of slots.
+
+    With `left`, the blocks of each source, it ends where a source that has none left is due.
+    """
     period = sum(shares.values())
     done = dict.fromkeys(shares, 0)
+    waiting, released = [(0, s) for s in shares], []
+    heapify(waiting)
     slots = []
     for t in range(period):
-        released = (s for s, e in shares.items() if done[s] < e and done[s] * period // e <= t)
-        chosen = min(released, key=lambda s: (-(-(done[s] + 1) * period // shares[s]), s))
+        while waiting and waiting[0][0] <= t:
+            s = heappop(waiting)[1]
+            heappush(released, (-(-(done[s] + 1) * period // shares[s]), s))
+        chosen = heappop(released)[1]
+        if left is not None and done[chosen] == left[chosen]:
+            break
         done[chosen] += 1
         slots.append(chosen)
+        if done[chosen] < shares[chosen]:
+            heappush(waiting, (done[chosen] * period // shares[chosen], chosen))
     return slots
 
 
@@ -73,7 +87,7 @@ def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[dict]:
     start, found = 0, []
     while left:
         shares = whole_shares({s: weights[s] for s in left}, max(PERIOD, 2 * len(left)))
-        slots = one_period(shares)
+        slots = one_period(shares, left)
         rounds = min(n // shares[s] for s, n in left.items())
         taken = {s: rounds * e for s, e in shares.items()}
         length = rounds * len(slots)
@@ -82,7 +96,9 @@ def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[dict]:
                 break
             taken[s] += 1
             length += 1
-        at = {s: [t for t, x in enumerate(slots) if x == s] for s in shares}
+        at = {s: array("q") for s in shares}
+        for t, s in enumerate(slots):
+            at[s].append(t)
         found.append(
             {"start": start, "period": len(slots), "slots": at,
              "first": {s: used[s] for s in left}, "last": {s: used[s] + taken[s] for s in left}}
@@ -142,16 +158,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
         .withColumn("_mix_block", F.floor(F.col("_mix_rank") / block))
     )
     table = [
-        (s, p["first"][s], p["last"][s], p["start"], p["period"], p["slots"][s])
+        (s, p["first"][s], p["last"][s], p["start"], p["period"], p["slots"][s].tolist())
         for p in plan
         for s in p["slots"]
+        if p["slots"][s]
     ]
-    # At most MAX_SOURCES + 1 phases of one period each, whatever the tables hold.
+    # At most MAX_SOURCES + 1 phases, and a slot for each block.
     schedule = F.broadcast(
         spark.createDataFrame(
             table,
             "_mix_pool string, _mix_first bigint, _mix_last bigint, _mix_start bigint, "
-            "_mix_period bigint, _mix_slots array<int>",
+            "_mix_period bigint, _mix_slots array<bigint>",
         )
     )
     number = F.col("_mix_block") - F.col("_mix_first")

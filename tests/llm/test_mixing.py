@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 from conftest import TESTDATA
 from modgauge.llm import mixing, queries
@@ -59,6 +60,23 @@ def test_never_a_block_off():
     assert done == shares
 
 
+def test_never_a_block_off_the_given_weights():
+    small = {f"s{i:02}": 1.0 for i in range(19)}
+    for weights in (
+        {"hot": 0.9} | {f"s{i}": 0.01 for i in range(10)},
+        {"hot": (19 / 2) ** 0.5} | small,
+        {"rare": 0.0001, "a": 0.3333, "b": 0.6666},
+    ):
+        total = sum(map(Fraction, weights.values()))
+        first = mixing.phases({s: int(30_000 * w / total) + 9 for s, w in weights.items()}, weights)[0]
+        order, _ = slots_of([first])
+        assert len(order) > 25_000
+        done, at = Counter(), {s: Fraction(w) / total for s, w in weights.items()}
+        for t, s in enumerate(order, 1):
+            done[s] += 1
+            assert t % 7 or all(abs(done[x] - w * t) < 1 + Fraction(1, 10**9) for x, w in at.items())
+
+
 def test_query_on_documents(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 40)  # several hash ranges for each source
     folder = f"{TESTDATA}/sf0.01"
