@@ -8,7 +8,21 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from modgauge.llm import ann, bpe, chat, linededup, lm, mixing, pii, quality, simhash, warc
+from modgauge.llm import (
+    ann,
+    bpe,
+    chat,
+    langid,
+    linededup,
+    lm,
+    mixing,
+    orchard,
+    phrases,
+    pii,
+    quality,
+    simhash,
+    warc,
+)
 from modgauge.llm.text import table
 from modgauge.runtime import ensure_checkpoint_dir
 
@@ -82,6 +96,19 @@ def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_documents(table(spark, folder, "documents"))
 
 
+def op11_orchard(spark: SparkSession, folder: str) -> DataFrame:
+    return orchard.compress(table(spark, folder, "embeddings"), F.col("label"))
+
+
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    return phrases.collocations(docs, F.col("lang"), F.col("text"), F.col("doc_id"))
+
+
+def op13_langid(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.languages(table(spark, folder, "documents"))
+
+
 LLM_QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -93,6 +120,9 @@ LLM_QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_lm": op10_lm,
+    "op11_orchard": op11_orchard,
+    "op12_phrases": op12_phrases,
+    "op13_langid": op13_langid,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -144,4 +174,103 @@ SELECT conv_id, n_turns, sha256(everything) AS turns_sha256, length(learned) AS
 FROM s
 """
 
-LLM_ORACLES: dict[str, str] = {"op3_ann": _OP3, "op4_warc": _OP4, "op9_chat": _OP9}
+def _orchard_round(n: int) -> str:
+    """CTEs of one round: parts with their nearest entry, then the codebooks that follow."""
+    return f"""
+, near{n} AS (
+  SELECT rid, vec_id, label, p, v, arg_min(e, gap * 64 + e) AS e, min(gap) AS gap FROM (
+    SELECT parts.*, e, CAST(list_sum(list_transform(list_zip(v, x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS gap
+    FROM parts JOIN book{n} USING (p))
+  GROUP BY rid, vec_id, label, p, v
+), means{n} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+    SELECT p, e, i, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (
+      SELECT p, e, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM near{n})
+    GROUP BY p, e, i)
+  GROUP BY p, e
+), book{n + 1} AS (
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{n} b LEFT JOIN means{n} m ON m.p = b.p AND m.e = b.e
+)"""
+
+
+_OP11 = (
+    """
+WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT rid, vec_id, label, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS v
+  FROM kept, (SELECT unnest(range(16)) AS p)
+), first AS (
+  SELECT v, e FROM (SELECT v, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept) WHERE e < 64
+), book0 AS (
+  SELECT p, e, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS x FROM first, (SELECT unnest(range(16)) AS p)
+)"""
+    + _orchard_round(0)
+    + _orchard_round(1)
+    + _orchard_round(2)
+    + """
+, codes AS (
+  SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(gap) AS BIGINT) AS error
+  FROM near2 GROUP BY rid, vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256
+FROM codes
+"""
+)
+
+_OP12 = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), p AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\n\x0B\f\r]')) AS piece FROM t
+), w AS (
+  SELECT lang, row_number() OVER () AS id, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p
+), o AS (
+  SELECT lang, id, unnest(ws) AS w1, generate_subscripts(ws, 1) AS pos FROM w
+), s AS (
+  SELECT lang, w1, lead(w1, 1) OVER place AS w2, lead(w1, 2) OVER place AS w3 FROM o
+  WINDOW place AS (PARTITION BY id ORDER BY pos)
+), g AS (
+  SELECT lang, 1 AS m, w1 AS phrase FROM s
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM s WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM s WHERE w3 IS NOT NULL
+), f AS (
+  SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY lang, m, phrase
+), n AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS (
+  SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2 AND a >= 10
+), cuts AS (
+  SELECT c.lang, c.phrase, c.m, c.a, k, l.a AS l, r.a AS r,
+    CAST((1000000 * CAST(c.a AS HUGEINT) * c.a) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM c JOIN (VALUES (1), (2)) AS cut(k) ON k < c.m
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k + 1:], ' ')
+), best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM cuts)
+  WHERE nth = 1
+), inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE m = 3)
+  GROUP BY lang, phrase
+), kept AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.phrase)) AS rank
+  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a
+)
+SELECT kept.lang, rank, phrase, a, l, r, n, score FROM kept JOIN n ON n.lang = kept.lang WHERE rank <= 2000
+"""
+
+LLM_ORACLES: dict[str, str] = {
+    "op3_ann": _OP3,
+    "op4_warc": _OP4,
+    "op9_chat": _OP9,
+    "op11_orchard": _OP11,
+    "op12_phrases": _OP12,
+}
