@@ -7,24 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from modgauge.functions.severity import CRITICAL, WARNING
-from modgauge.runtime import written
+from modgauge.operators.chains import contracted
+from modgauge.operators.cycle_core import cyclic_core
+from modgauge.operators.returns import closed_walks, numbered_edges
+from modgauge.runtime import Rounds, written
 
 # Fixed value: a mutual pair with more references than this is critical.
 PAIR_CRITICAL_ABOVE = 20
 
-# A table is broadcast only when measured below this many bytes.  The same rows are
-# joined either way; a bigger table is joined by shuffle, where AQE splits hub modules.
-BROADCAST_BYTES = 32 * 1024 * 1024
-
-
-def _size(*names: str) -> Column:
-    return F.sum(sum((F.octet_length(n) for n in names), F.lit(64)))
-
-
-def _hinted(df: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def _pairs(edges: DataFrame) -> DataFrame:
     """Both directions of every module pair in one row, met by aggregation."""
     forwards = F.col("src_module") < F.col("dst_module")
@@ -63,110 +53,55 @@ def canonical_cycle(path: Column) -> Column:
     return F.least(onwards, backwards)
 
 
-def long_cycles(edges: DataFrame) -> DataFrame:
-    """Simple cycles of three or more modules: (path, length, total_refs, weakest).
-
-    Every cycle is found once, from its smallest module, and of two opposite
-    cycles over the same modules the heavier is kept (the smaller path on a
-    tie).  `weakest` is the edge of the reported direction with the fewest
-    references.  A path only goes on to modules that lead back to its start, so
-    every path walked is the beginning of a walk home.  The number of cycles itself can grow
-    exponentially with the graph.
-    """
-    edges, seen = written(_cyclic_core(_with_reverse(edges)), size=_size("src", "dst"))
-    edges = _hinted(edges, seen["size"])
-    back = _ways_back(edges)
-    paths = edges.filter("dst > src").selectExpr(
-        "array(src, dst) AS path", "dst AS tail", "refs", "reverse_refs", f"{_EDGE} AS weakest"
-    )
-    paths = _leading_back(paths, back)
-    found = []
-    while True:
-        # Every round is spread anew over all tasks.
-        steps = _follow(paths.repartition("path"), edges, f"({_CLOSES}) OR ({_GOES_ON})")
-        open_ = _leading_back(steps.filter("open"), back)
-        steps, seen = written(
-            steps.filter("NOT open").unionByName(open_),
-            open_paths=F.count_if("open"),
-        )
-        found.append(steps.filter("NOT open"))
-        paths = steps.filter("open")
-        if not seen["open_paths"]:
-            break
-    return (
-        reduce(DataFrame.unionByName, found)
-        .filter(_REPORTED_DIRECTION)
-        .selectExpr("path", "size(path) AS length", "refs AS total_refs", "weakest")
-    )
-
-
-def _ways_back(edges: DataFrame) -> DataFrame:
-    """(start, node): modules that reach `start` through modules greater than it.
-
-    One row for each such pair, found backwards from every start, one step a round.
-    """
-    measure = _size("start", "node")
-    back, seen = written(
-        edges.filter("src > dst").selectExpr("dst AS start", "src AS node", "true AS new"),
-        new=F.count("*"),
-        size=measure,
-    )
-    while seen["new"]:
-        before = (
-            back.filter("new")
-            .alias("b")
-            .join(edges.alias("e"), F.expr("e.dst = b.node AND e.src > b.start"))
-            .selectExpr("b.start", "e.src AS node", "true AS new")
-        )
-        back, seen = written(
-            back.withColumn("new", F.lit(False))
-            .unionByName(before)
-            .groupBy("start", "node")
-            .agg(F.bool_and("new").alias("new")),
-            new=F.count_if("new"),
-            size=measure,
-        )
-    return _hinted(back.select("start", "node"), seen["size"])
-
-
-def _leading_back(paths: DataFrame, back: DataFrame) -> DataFrame:
-    condition = (F.col("path")[0] == back["start"]) & (F.col("tail") == back["node"])
-    return paths.join(back, condition, "left_semi")
-
-
-# A path starts at its smallest module and never visits a module twice.
-_CLOSES = "e.dst = p.path[0] AND size(p.path) >= 3"
-_GOES_ON = "e.dst > p.path[0] AND NOT array_contains(p.path, e.dst)"
-_EDGE = "struct(refs AS ref_count, src AS src_module, dst AS dst_module)"
-_LIGHTER = "struct(e.refs AS ref_count, e.src AS src_module, e.dst AS dst_module)"
+# A path as it is reported starts at its smallest module.
+_ROTATED = (
+    "concat(slice(path, at, size(path)), slice(path, 1, at - 1)) AS path"
+)
 _REPORTED_DIRECTION = (
     "reverse_refs IS NULL OR refs > reverse_refs OR (refs = reverse_refs AND "
     "path <= concat(slice(path, 1, 1), reverse(slice(path, 2, size(path)))))"
 )
 
 
-def _follow(paths: DataFrame, edges: DataFrame, condition: str) -> DataFrame:
-    """Paths and the edges leaving their last module, where `condition` holds.
+def long_cycles(edges: DataFrame) -> DataFrame:
+    """Simple cycles of three or more modules: (path, length, total_refs, weakest).
+
+    Of two opposite cycles over the same modules the heavier is kept (the smaller path on a
+    tie).  `weakest` is the edge of the reported direction with the fewest
+    references.  Chains of modules with one way in and out are contracted to single edges, before and after
+    the graph is cut to its cyclic part.  What is left is walked from the smallest module
+    of each cycle, and only on to modules that lead back to it, so every path walked is
+    the beginning of a walk home.  The number of cycles itself can grow exponentially with the graph.
 
-    An edge back to the start closes a path, any other makes it one longer.
+    The result is a table of its own; those of the rounds are removed.
     """
-    return (
-        paths.alias("p")
-        .join(edges.alias("e"), F.expr(f"p.tail = e.src AND ({condition})"))
-        .selectExpr(
-            "IF(e.dst = p.path[0], p.path, array_append(p.path, e.dst)) AS path",
-            "e.dst AS tail",
-            "p.refs + e.refs AS refs",
-            # NULL as soon as one edge has no opposite: then there is no reverse.
-            "p.reverse_refs + e.reverse_refs AS reverse_refs",
-            f"least(p.weakest, {_LIGHTER}) AS weakest",
-            "e.dst <> p.path[0] AS open",
-        )
+    rounds = Rounds(edges.sparkSession)
+    edges, seen = rounds.written(_with_reverse(edges), edges=F.count("*"))
+    found = [edges.limit(0).withColumnRenamed("inner", "path")]
+    edges, count, loops = contracted(edges, seen["edges"], rounds)
+    edges, count = cyclic_core(edges, count, rounds)
+    edges, count, more = contracted(edges, count, rounds)
+    for loop in loops + more:
+        found.append(loop.withColumn("path", F.expr("concat(array(src), inner)")))
+    if count:
+        edges, _ = rounds.written(numbered_edges(edges, rounds), edges=F.count("*"))
+        found += closed_walks(edges, rounds)
+    walks = [part.select("path", "refs", "reverse_refs", "weakest") for part in found]
+    cycles = (
+        reduce(DataFrame.unionByName, walks)
+        .filter("size(path) >= 3")
+        .withColumn("at", F.expr("CAST(array_position(path, array_min(path)) AS INT)"))
+        .selectExpr(_ROTATED, "refs", "reverse_refs", "weakest")
+        .filter(_REPORTED_DIRECTION)
+        .selectExpr("path", "size(path) AS length", "refs AS total_refs", "weakest")
     )
+    cycles, _ = written(cycles, cycles=F.count("*"))
+    rounds.remove()
+    return cycles
 
 
 def _with_reverse(edges: DataFrame) -> DataFrame:
-    """(src, dst, refs, reverse_refs): each edge with the weight of its opposite.
+    """Each edge with the weight of its opposite, and the columns of chains.EDGE.
 
     A path can then carry the weight of its reverse along, and the choice
     between a cycle and its reverse needs no grouping of cycles later on.
@@ -179,112 +114,10 @@ def _with_reverse(edges: DataFrame) -> DataFrame:
             "AS (src, dst, refs, reverse_refs)"
         )
         .filter("refs > 0")
-    )
-
-
-def _cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges inside strongly connected components, by spreading labels.
-
-    Every edge of a cycle lies in one component; without this cut a search would
-    walk all paths through the acyclic part.  Each module learns a small module
-    that reaches it and a small one it reaches.  Modules of one component agree on
-    both in the end, so an edge whose ends disagree is dropped and the labels are computed anew, until
-    every edge's ends agree: then in each connected piece the smallest module
-    reaches all others and is reached by them.  State stays linear in the graph.
-    """
-    edges, seen = written(edges, edges=F.count("*"))
-    dropped = seen["edges"]
-    while dropped:
-        labelled = _with_labels(edges, _settled_labels(edges)).selectExpr(
-            *[f"e.{column}" for column in edges.columns],
-            "s.before = d.before AND s.after = d.after AS agree",
-        )
-        judged, seen = written(
-            labelled,
-            dropped=F.count_if(~F.col("agree")),
-            kept=F.count_if("agree"),
-        )
-        edges = judged.filter("agree").drop("agree")
-        dropped = seen["dropped"] if seen["kept"] else 0
-    return edges
-
-
-def _with_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    return (
-        edges.alias("e")
-        .join(labels.alias("s"), F.expr("e.src = s.node"))
-        .join(labels.alias("d"), F.expr("e.dst = d.node"))
-    )
-
-
-def _settled_labels(edges: DataFrame) -> DataFrame:
-    """(node, before, after): smallest module reaching a node, and reached by it."""
-    measure = _size("node", "before", "after", "behind", "ahead")
-    labels, seen = written(_first_labels(edges), size=measure)
-    while True:
-        labels = _hinted(labels, seen["size"])
-        spread, seen = written(
-            _spread(edges, labels), changed=F.count_if("changed"), size=measure
-        )
-        labels = spread.drop("changed")
-        if not seen["changed"]:
-            return _hinted(labels, seen["size"])
-
-
-def _first_labels(edges: DataFrame) -> DataFrame:
-    """Every node with itself as both labels, and with its only neighbours, if any.
-
-    `ahead` is where the only edge out of a node leads, else the node itself;
-    `behind` is where the only edge into it comes from.
-    """
-    ends = edges.selectExpr("stack(2, src, dst, NULL, dst, NULL, src) AS (node, to, from)")
-    only = "IF(min({0}) = max({0}), min({0}), node)"
-    return ends.groupBy("node").agg(
-        F.expr("node AS before"),
-        F.expr("node AS after"),
-        F.expr(f"coalesce({only.format('from')}, node)").alias("behind"),
-        F.expr(f"coalesce({only.format('to')}, node)").alias("ahead"),
-    )
-
-
-def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pass labels along every edge, both ways, then jump along two kinds of pointers.
-
-    What reaches my `before` reaches me as well, so its label is one of mine.  And
-    along a chain, where a node has one way on, what the node `ahead` reaches I reach too;
-    that pointer doubles its distance in every round, so a ring or a chain takes as
-    many rounds as the logarithm of its length.  Both ends of an edge also repeat
-    their own labels, so that they stay in the comparison; the copies shrink to one
-    row per module and task before the shuffle.
-    """
-    passed = (
-        _with_labels(edges, labels)
-        .selectExpr(
-            "stack(2, e.src, s.before, d.after, s.before, s.after, s.behind, s.ahead, "
-            "e.dst, s.before, d.after, d.before, d.after, d.behind, d.ahead) "
-            "AS (node, before, after, own_before, own_after, behind, ahead)"
-        )
-        .groupBy("node", "own_before", "own_after", "behind", "ahead")
-        .agg(
-            F.least("own_before", F.min("before")).alias("before"),
-            F.least("own_after", F.min("after")).alias("after"),
-        )
-    )
-    before = "least(n.before, b.before, l.before)"
-    after = "least(n.after, a.after, r.after)"
-    return (
-        passed.alias("n")
-        .join(labels.alias("b"), F.expr("b.node = n.before"))
-        .join(labels.alias("a"), F.expr("a.node = n.after"))
-        .join(labels.alias("l"), F.expr("l.node = n.behind"))
-        .join(labels.alias("r"), F.expr("r.node = n.ahead"))
         .selectExpr(
-            "n.node",
-            f"{before} AS before",
-            f"{after} AS after",
-            "l.behind",
-            "r.ahead",
-            f"{before} <> n.own_before OR {after} <> n.own_after AS changed",
+            "*",
+            "struct(refs AS ref_count, src AS src_module, dst AS dst_module) AS weakest",
+            "CAST(array() AS ARRAY<STRING>) AS inner",
         )
     )
 

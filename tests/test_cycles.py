@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from modgauge.operators import cycles
+from modgauge.operators import cycles, returns
+from modgauge.operators.chains import contracted
+from modgauge.operators.cycle_core import cyclic_core
 from modgauge.operators.cycles import (
     canonical_cycle,
     long_cycles,
@@ -11,6 +13,7 @@ from modgauge.operators.cycles import (
     weakest_edges,
 )
 from modgauge.plans.findings import long_cycle_findings, pair_cycle_findings
+from modgauge.runtime import Rounds
 
 
 def found(edges):
@@ -108,8 +111,16 @@ def test_dense_part_that_leads_nowhere_adds_no_paths(spark, edges_of):
     rows = [(a, b, 1) for i, a in enumerate(names[1:], 1) for b in names[i + 1 :]]
     # All are strongly connected through m00, which only a two-step way leaves.
     rows += [(names[-1], "m00", 1), ("m00", names[1], 1)]
-    kept = cycles._ways_back(cycles._cyclic_core(cycles._with_reverse(edges_of(rows))))
-    assert {r["start"] for r in kept.collect()} == {"m00"}
+    rounds = Rounds(spark)
+    core, count = cyclic_core(with_reverse(edges_of(rows)), len(rows), rounds)
+    numbered, _ = rounds.written(returns.numbered_edges(core, rounds), n=F.count("*"))
+    kept = returns.ways_back(numbered, rounds).collect()
+    starts = {64 * r["word"] + bit for r in kept for bit in range(64) if r["bits"] >> bit & 1}
+    assert starts == {0}  # m00
+
+
+def with_reverse(edges):
+    return cycles._with_reverse(edges)
 
 
 def jobs_of(spark, group, work):
@@ -120,10 +131,71 @@ def jobs_of(spark, group, work):
 
 
 def test_core_of_a_long_ring_takes_few_jobs(spark, edges_of):
-    edges = edges_of(ring([f"m{i}" for i in range(600)]))
-    core, jobs = jobs_of(spark, "ring", lambda: cycles._cyclic_core(cycles._with_reverse(edges)))
-    assert core.count() == 600
-    assert jobs < 100, jobs  # about eight for each of eleven rounds
+    edges = with_reverse(edges_of(ring([f"m{i}" for i in range(600)])))
+    (core, count), jobs = jobs_of(spark, "ring", lambda: cyclic_core(edges, 600, Rounds(spark)))
+    assert core.count() == count == 600
+    assert jobs < 60, jobs  # about three for each of eleven rounds
+
+
+def test_long_ring_takes_few_jobs(spark, edges_of):
+    names = [f"m{i}" for i in range(600)]
+    edges = edges_of(ring(names))
+    rows, jobs = jobs_of(spark, "long ring", lambda: found(edges))
+    at = names.index(min(names))
+    assert rows == {(tuple(names[at:] + names[:at]), 600 + 599 * 300)}
+    assert jobs < 40, jobs
+
+
+def test_contraction_leaves_junctions_and_takes_out_loops(spark, edges_of):
+    """Two modules joined by three ways, a dead end on one of them, and a ring through the first."""
+    ways = [("a", "x1", 5), ("x1", "x2", 2), ("x2", "b", 4), ("a", "b", 1), ("b", "y", 3), ("y", "a", 7), ("x1", "end", 1)]
+    hub = [("a", "p", 1), ("p", "q", 1), ("q", "a", 1)]
+    alone = ring(["r3", "r1", "r2"], 2)
+    edges, count, loops = contracted(with_reverse(edges_of(ways + hub + alone)), 13, Rounds(spark))
+    left = {(r["src"], r["dst"], tuple(r["inner"]), r["refs"]) for r in edges.collect()}
+    assert left == {
+        ("a", "x1", (), 5), ("x1", "b", ("x2",), 6), ("a", "b", (), 1), ("b", "a", ("y",), 10), ("x1", "end", (), 1),
+    }
+    assert count == 5
+    out = {(r["src"], tuple(r["inner"]), r["refs"], r["weakest"]["ref_count"]) for part in loops for r in part.collect()}
+    assert out == {("a", ("p", "q"), 3, 1), ("r1", ("r2", "r3"), 9, 2)}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_graphs_with_chains_against_brute_force(edges_of, seed):
+    """Random graphs whose edges are cut into chains of up to four, some with their reverse."""
+    rng = random.Random(100 + seed)
+    rows, n = {}, 0
+    for a in range(6):
+        for b in range(6):
+            if a != b and rng.random() < 0.4:
+                inner = [f"c{rng.randrange(1000):03d}x{n + i}" for i in range(rng.choice([0, 0, 1, 3]))]
+                n += 4
+                path = [f"m{a}", *inner, f"m{b}"]
+                for x, y in zip(path, path[1:]):
+                    rows[x, y] = rng.randint(1, 5)
+                    if inner and rng.random() < 0.5:
+                        rows[y, x] = rng.randint(1, 5)
+    edges = [(a, b, w) for (a, b), w in rows.items()]
+    assert found(edges_of(edges)) == brute_force(edges)
+
+
+def test_more_starts_than_one_word_holds(edges_of):
+    """Eighty triangles and a two-way ladder: starts in several words, one of them negative as a number."""
+    rows = [e for i in range(80) for e in ring([f"t{i:03d}a", f"t{i:03d}b", f"t{i:03d}c"])]
+    rows += [(f"t{i:03d}a", f"t{i + 1:03d}a", 1) for i in range(79)]
+    rows += [(f"t{i + 1:03d}a", f"t{i:03d}b", 1) for i in range(0, 79, 9)]
+    assert found(edges_of(rows)) == brute_force(rows)
+
+
+def test_files_of_the_rounds_are_removed(spark, edges_of, tmp_path):
+    import glob
+
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(glob.glob(f"{folder}/rounds-*"))
+    cycle = long_cycles(edges_of([("a", "b", 1), ("b", "c", 2), ("c", "a", 3), ("c", "b", 1)]))
+    assert set(glob.glob(f"{folder}/rounds-*")) == before
+    assert cycle.count() == 1
 
 
 @pytest.mark.parametrize("a,b", [("pqrst", "rstpq"), ("pqrst", "tpqrs"), ("pqrst", "ptsrq"), ("pqrst", "rqpts")])
