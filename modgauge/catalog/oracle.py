@@ -757,6 +757,72 @@ ORACLE: dict[str, str] = {
     ),
 }
 
+# A rule for each of fifty files of a hundred modules, between wide ones; see the queries.
+_M, _FILE = (f"CAST(nullif(regexp_extract(source_file, '^src/mod([0-9]{{1,2}})/f([0-9]{{1,2}})\\.rs$', {i}), '') AS INTEGER)" for i in (1, 2))
+_RULE_OF = (
+    "CASE WHEN regexp_matches(source_file, '^src/mod7/f1.\\.rs$') THEN 0 "
+    f"WHEN {_M} < 100 AND {_FILE} < 50 THEN 1 + {_FILE} * 100 + {_M} "
+    "WHEN ends_with(source_file, '.go') OR regexp_matches(source_file, '/[^/]*\\.go$') THEN 5001 "
+    "WHEN starts_with(source_file, 'src/') THEN 5002 END"
+)
+_MANY = f"SELECT *, {_M} AS m, {_FILE} AS f, {_RULE_OF} AS rule"
+_RULE_NAME = (
+    "CASE rule WHEN 0 THEN 'Tens' WHEN 5001 THEN 'Go' WHEN 5002 THEN 'Rest' ELSE 'm' || m || 'f' || f END"
+)
+_RULE_PATTERN = (
+    "CASE rule WHEN 0 THEN 'src/mod7/f1?.rs' WHEN 5001 THEN '**/*.go' WHEN 5002 THEN 'src/**' "
+    "ELSE 'src/mod' || m || '/f' || f || '.rs' END"
+)
+ORACLE |= {
+    "drift_many_rules": (
+        f"SELECT source_file, source_name, target_file, target_name, {_RULE_NAME} AS boundary_name, "
+        f"{_RULE_PATTERN} AS boundary_rule FROM ({_MANY} FROM code_refs__layered "
+        "WHERE source_file <> target_file AND NOT starts_with(source_file, 'src/models/')) "
+        "WHERE rule IS NOT NULL AND NOT CASE rule WHEN 0 THEN starts_with(target_file, 'src/types/') "
+        "WHEN 5001 THEN false WHEN 5002 THEN regexp_matches(target_file, '^src/mod1.*/') "
+        "ELSE starts_with(target_file, 'src/mod' || m || '/') "
+        "OR starts_with(target_file, 'src/mod' || ((m + 1) % 100) || '/f' || f) "
+        "OR split_part(target_file, '/', -1) = 'index.ts' END"
+    ),
+    "drift_boundary_many_rules": (
+        f"SELECT file, CAST(rule AS INTEGER) AS rule_index, {_RULE_NAME} AS boundary_name FROM "
+        f"({_MANY}, source_file AS file FROM (SELECT file AS source_file FROM ({ALL_FILES}))) "
+        "WHERE rule IS NOT NULL"
+    ),
+    "drift_long_allow_list": (
+        "SELECT source_file, source_name, target_file, target_name, 'Listed' AS boundary_name, "
+        "'src/mod*' AS boundary_rule FROM code_refs__layered WHERE source_file <> target_file "
+        "AND starts_with(source_file, 'src/mod') AND NOT "
+        "regexp_matches(target_file, '^src/mod[0-9]{1,2}/f[1-4]?[02468]\\.rs$')"
+    ),
+    "report_numbered": (
+        "SELECT section_no, row_number() OVER (ORDER BY section_no, block_no, order_rank, encode(order_file), "
+        "order_line, encode(order_name), finding_id, line_no, row_no, part) AS line_no, text AS line FROM ("
+        "SELECT * EXCLUDE (line), unnest(string_split(line, chr(10))) AS text, "
+        "generate_subscripts(string_split(line, chr(10)), 1) AS part FROM "
+        f"(SELECT *, row_number() OVER () AS row_no FROM ({_report_lines()})))"
+    ),
+    "report_json": (
+        "SELECT CAST(0 AS BIGINT) AS line_no, '{\"version\":\"1\",\"timestamp\":\"now\",\"repository\":\"derived\",'"
+        " || '\"graph_stats\":{\"nodes\":' || (SELECT count(*) FROM part) || ',\"edges\":' || "
+        "(SELECT count(*) FROM lineitem) || '},\"findings\":[' AS line UNION ALL "
+        "SELECT n, CASE WHEN n > 1 THEN ',' ELSE '' END || json FROM (SELECT "
+        "row_number() OVER (ORDER BY list_position(['dead_code', 'circular_dependency', 'high_coupling', "
+        "'architectural_drift'], category), -coalesce(related_fan_out, 0), encode(file), "
+        "coalesce(line, 9223372036854775807), encode(name), finding_id) AS n, "
+        "CAST(json_object('id', finding_id, 'severity', severity, 'category', category, 'location', "
+        "json_object('file', file, 'line', line, 'name', name), 'description', description, "
+        f"'remediation', remediation, 'related', {_JSON_RELATED}) AS VARCHAR) AS json FROM findings__layered) "
+        "UNION ALL SELECT (SELECT total_count FROM totals__layered) + 1, ']}'"
+    ),
+    "findings_history": ORACLE["findings_trend"],
+    "findings_stored": (
+        "SELECT format, finding_id, severity, category, file, line, name, description, remediation, "
+        "related_dependencies AS dependencies FROM findings__layered, "
+        "(SELECT unnest(['parquet', 'orc', 'json']) AS format)"
+    ),
+}
+
 
 def sql_for(key: str) -> str:
     """The query with the CTEs it needs, dependencies first."""

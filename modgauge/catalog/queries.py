@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,12 +20,20 @@ from modgauge.operators.dead_code import (
     unreferenced,
 )
 from modgauge.operators.drift import drift, governing_rule, import_allowed
+from modgauge.operators.drift_index import governing_rules
 from modgauge.operators.evidence import pair_cycle_evidence
 from modgauge.plans import compare, report
 from modgauge.plans.analysis import analyze
-from modgauge.runtime import cut_lineage
+from modgauge.runtime import cut_lineage, ensure_checkpoint_dir
 from modgauge.schema import DEFINITIONS, REFERENCES
-from modgauge.sinks.writers import findings_json, report_document
+from modgauge.sinks.writers import (
+    append_history,
+    document_lines,
+    findings_json,
+    read_history,
+    report_document,
+    write_findings,
+)
 from modgauge.sources.derived import definitions, references
 from modgauge.sources.tables import contract_report, rejected_rows
 
@@ -346,6 +356,90 @@ def findings_trend(spark: SparkSession, folder: str) -> DataFrame:
     return compare.findings_trend(rows[0].unionByName(rows[1]))
 
 
+def _rules_by_file() -> Rules:
+    """A rule for each of fifty files of a hundred modules, some wide ones around them."""
+    by_file = [
+        BoundaryRule(
+            f"m{m}f{f}",
+            f"src/mod{m}/f{f}.rs",
+            (f"src/mod{m}/**", f"src/mod{(m + 1) % 100}/f{f}*", "**/index.ts"),
+        )
+        for f in range(50)
+        for m in range(100)
+    ]
+    first = BoundaryRule("Tens", "src/mod7/f1?.rs", ("src/types/**",))
+    last = (BoundaryRule("Go", "**/*.go"), BoundaryRule("Rest", "src/**", ("src/mod1*/**",)))
+    return Rules(boundaries=(first, *by_file, *last), ignore=Ignore(drift=("src/models/**",)))
+
+
+def drift_many_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """5,003 boundary rules, met as rows."""
+    return drift(references(spark, folder), _rules_by_file())
+
+
+def drift_boundary_many_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule that governs each file, of 5,003."""
+    files = _all_files(references(spark, folder))
+    boundaries = _rules_by_file().effective_boundaries
+    return governing_rules(files, "file", boundaries).select(
+        "file", F.col("rule").alias("rule_index"), "boundary_name"
+    )
+
+
+def drift_long_allow_list(spark: SparkSession, folder: str) -> DataFrame:
+    """One rule whose allowed imports name every second file of every module."""
+    allowed = [f"src/mod{m}/f{f}.rs" for m in range(100) for f in range(0, 50, 2)]
+    rule = BoundaryRule("Listed", "src/mod*", tuple(allowed))
+    return drift(references(spark, folder), Rules(boundaries=(rule,)))
+
+
+def report_numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """The Markdown report with its line numbers."""
+    lines = report.report_lines(
+        _findings(spark, folder), graph_stats(spark, folder), "derived", "now", "1"
+    )
+    return report.numbered_lines(lines)
+
+
+def report_json(spark: SparkSession, folder: str) -> DataFrame:
+    """The report as the lines of one JSON document."""
+    return document_lines(_findings(spark, folder), graph_stats(spark, folder), "derived", "1", "now")
+
+
+def findings_history(spark: SparkSession, folder: str) -> DataFrame:
+    """The trend over a stored history of two runs, the second of which was appended twice."""
+    path = f"{ensure_checkpoint_dir(spark)}/history-{uuid4()}"
+    runs = [("2024-01-01", "layered"), ("2024-02-01", "layered"), ("2024-02-01", "sparse")]
+    for day, name in runs:
+        append_history(compare.history_rows(_findings(spark, folder, name), F.lit(day)), path)
+    return compare.findings_trend(read_history(spark, path))
+
+
+def findings_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings written and read back, in three formats."""
+    path = f"{ensure_checkpoint_dir(spark)}/findings-{uuid4()}"
+    found = cut_lineage(_findings(spark, folder))[0]
+    for fmt in ("parquet", "orc", "json"):
+        write_findings(found, f"{path}/{fmt}", fmt)
+    tables = [spark.read.schema(found.schema).format(fmt).load(f"{path}/{fmt}") for fmt in ("parquet", "orc")]
+    objects = spark.read.schema(found.drop("finding_id", "diff_key", "severity_rank").schema.add("id", "string"))
+    tables.append(objects.json(f"{path}/json").withColumnRenamed("id", "finding_id"))
+    parts = [
+        table.select(
+            F.lit(fmt).alias("format"),
+            "finding_id",
+            "severity",
+            "category",
+            "location.*",
+            "description",
+            "remediation",
+            F.array_join("related.dependencies", ",").alias("dependencies"),
+        )
+        for fmt, table in zip(("parquet", "orc", "json"), tables, strict=True)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 QUERIES: dict[str, Query] = {
     "module_of_files": module_of_files,
     "file_edges": file_edges,
@@ -387,4 +481,11 @@ QUERIES: dict[str, Query] = {
     "rules_from_mapping": rules_from_mapping,
     "rejected_rows": rejected,
     "report_document": report_document_query,
+    "drift_many_rules": drift_many_rules,
+    "drift_boundary_many_rules": drift_boundary_many_rules,
+    "drift_long_allow_list": drift_long_allow_list,
+    "report_numbered": report_numbered,
+    "report_json": report_json,
+    "findings_history": findings_history,
+    "findings_stored": findings_stored,
 }

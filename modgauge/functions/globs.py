@@ -104,33 +104,64 @@ def glob_to_regex(glob: str) -> str | None:
     return None if pieces is None else rf"(?s)\A(?:{_regex(pieces)})\z"
 
 
+# How a glob is tested against a path; the text goes with it.
+EQUAL, ANY, PREFIX, SUFFIX, NAME, CONTAINS, REGEX = (
+    "equal", "any", "prefix", "suffix", "name", "contains", "regex"
+)
+
+_SHAPES = {
+    (): EQUAL,
+    (_LITERAL,): EQUAL,
+    (_RUN,): ANY,
+    (_LITERAL, _RUN): PREFIX,
+    (_RUN, _LITERAL): SUFFIX,
+    (_FOLDERS, _LITERAL): NAME,
+    (_RUN, _LITERAL, _RUN): CONTAINS,
+}
+
+
+def shape_of(glob: str) -> tuple[str, str] | None:
+    """(test, text) of a glob; None when it is malformed."""
+    pieces = _pieces(glob)
+    if pieces is None:
+        log.warning("malformed glob %r matches nothing", glob)
+        return None
+    test = _SHAPES.get(tuple(kind for kind, _ in pieces), REGEX)
+    if test == REGEX:
+        return REGEX, _regex(pieces)
+    return test, "".join(text for _, text in pieces)
+
+
+def fixed_ends(glob: str) -> tuple[str, str]:
+    """The plain text that every path the glob matches begins with, and that it ends with."""
+    pieces = _pieces(glob) or [(_RUN, "")]
+    (first, head), (last, tail) = pieces[0], pieces[-1]
+    return (head if first == _LITERAL else "", tail if last == _LITERAL else "")
+
+
 def any_glob(path: Column, globs: Iterable[str]) -> Column:
     """True where at least one glob matches the path as it is written."""
     native: list[Column] = []
     expressions: list[str] = []
     for glob in globs:
-        pieces = _pieces(glob)
-        if pieces is None:
-            log.warning("malformed glob %r matches nothing", glob)
+        shape = shape_of(glob)
+        if shape is None:
             continue
-        kinds = [kind for kind, _ in pieces]
-        texts = [text for _, text in pieces]
-        if not kinds:
-            native.append(path == "")
-        elif kinds == [_LITERAL]:
-            native.append(path == texts[0])
-        elif kinds == [_RUN]:
+        test, text = shape
+        if test == EQUAL:
+            native.append(path == text)
+        elif test == ANY:
             native.append(path.isNotNull())
-        elif kinds == [_LITERAL, _RUN]:
-            native.append(path.startswith(texts[0]))
-        elif kinds == [_RUN, _LITERAL]:
-            native.append(path.endswith(texts[1]))
-        elif kinds == [_FOLDERS, _LITERAL]:
-            native.append((path == texts[1]) | path.endswith("/" + texts[1]))
-        elif kinds == [_RUN, _LITERAL, _RUN]:
-            native.append(path.contains(texts[1]))
+        elif test == PREFIX:
+            native.append(path.startswith(text))
+        elif test == SUFFIX:
+            native.append(path.endswith(text))
+        elif test == NAME:
+            native.append((path == text) | path.endswith("/" + text))
+        elif test == CONTAINS:
+            native.append(path.contains(text))
         else:
-            expressions.append(_regex(pieces))
+            expressions.append(text)
     if expressions:
         native.append(path.rlike(rf"(?s)\A(?:{'|'.join(expressions)})\z"))
     if not native:

@@ -19,6 +19,7 @@ from modgauge.plans.findings import (
     DEAD_CODE,
     HIGH_COUPLING,
 )
+from modgauge.operators.numbering import numbered
 from modgauge.runtime import cut_lineage
 
 # Row label in the summary, section heading, advice sentence.
@@ -305,3 +306,29 @@ def report_lines(
             all_clear,
         ],
     )
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """(section_no, line_no, line): report_lines cut at line ends and numbered from 1 without gaps.
+
+    The lines of a finding stay together, equal findings included, as rows are numbered first, each
+    taking up as many numbers as it has lines.
+    """
+    cut = F.split("line", "\n")
+    placed = numbered(lines, [F.col(key) for key in LINE_KEYS], "first", weight=F.size(cut))
+    return placed.select("section_no", "first", F.posexplode(cut).alias("at", "line")).select(
+        "section_no", (F.col("first") + F.col("at") + 1).alias("line_no"), "line"
+    )
+
+
+def reading_order() -> list[Column]:
+    """Sort keys of findings: by category, most dependencies first, then by place."""
+    place = F.coalesce("location.line", F.lit(_LAST_LINE))
+    return [
+        F.asc(_by_category(lambda c: F.lit(CATEGORIES.index(c)))),
+        F.desc(F.coalesce("related.fan_out", F.lit(0))),
+        F.asc("location.file"),
+        F.asc(place),
+        F.asc("location.name"),
+        F.asc("finding_id"),
+    ]

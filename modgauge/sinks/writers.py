@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from modgauge.plans.report import LINE_KEYS
+from modgauge.operators.numbering import numbered
+from modgauge.plans.report import LINE_KEYS, reading_order
 
 
 def finding_json() -> Column:
@@ -66,3 +67,63 @@ def report_document(
             )
         ).alias("json")
     )
+
+
+def document_lines(
+    findings: DataFrame,
+    stats: DataFrame,
+    repository: str = "unknown",
+    version: str = "1",
+    timestamp: str | None = None,
+) -> DataFrame:
+    """(line_no, line): the report as one JSON document, its metadata and then a finding a line.
+
+    Findings stand in reading order.  Each but the first brings the comma before it, which its number
+    tells, so no line needs to know its neighbour.
+    """
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    head = stats.select(
+        F.lit(0).cast("bigint").alias("line_no"),
+        F.regexp_replace(
+            F.to_json(
+                F.struct(
+                    F.lit(version).alias("version"),
+                    (now if timestamp is None else F.lit(timestamp)).alias("timestamp"),
+                    F.lit(repository).alias("repository"),
+                    F.struct("nodes", "edges").alias("graph_stats"),
+                )
+            ),
+            r"\}$",
+            ',"findings":[',
+        ).alias("line"),
+    )
+    body = numbered(
+        findings.select("category", "location", "related", "finding_id", finding_json().alias("json")),
+        reading_order(),
+    ).select(
+        (F.col("number") + 1).alias("line_no"),
+        F.concat(F.when(F.col("number") > 0, ",").otherwise(""), F.col("json")).alias("line"),
+    )
+    tail = body.agg((F.count("*") + 1).alias("line_no"), F.lit("]}").alias("line"))
+    return head.unionByName(body).unionByName(tail)
+
+
+def write_document(lines: DataFrame, path: str, mode: str = "error") -> None:
+    """document_lines as text files that, put together in the order of their names, are the document."""
+    lines.orderBy("line_no").select("line").write.mode(mode).text(path)
+
+
+def append_history(rows: DataFrame, path: str) -> None:
+    """Add a run's compare.history_rows to the history kept below `path`.
+
+    Every run is a partition, replaced as a whole: a run that is appended again, after a
+    failure or a second thought, counts once, and other runs are left alone.
+    """
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_ts").parquet(path)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """All runs of a history, as compare.findings_trend takes them."""
+    schema = "category string, finding_count bigint, worst_severity string, run_ts string"
+    stored = spark.read.schema(schema).parquet(path)
+    return stored.select("run_ts", "category", "finding_count", "worst_severity")
