@@ -11,10 +11,15 @@ the first) are.  So the first pass counts every word, pairs of proposed words an
 phrases both of whose pairs are proposed.  A frequent phrase of the border is a failure of the sample:
 phrases around it were not counted.  It joins the proposals, and another full pass
 counts the border that this opens, and nothing counted before, until no border phrase fails.
-There are at most as many passes as words in a phrase.  Counts are exact, whatever the sample held.
+There are at most as many passes as words in a phrase.
 
-The proposals reach the tasks as one bit set of SLOT_BITS bits for each length, by the hash of the
-phrase.  Its size is fixed; two phrases on one bit make the border larger, never smaller, so
+These passes count phrases by 64-bit hashes, as most phrases of a border are rare and their words need not
+travel.  Two phrases on one hash can only raise a count, so no frequent phrase is missed.
+A last pass takes up the words of those phrases whose hash is frequent and counts
+them as they are, so all counts that leave this module are exact.
+
+Sets of phrases reach the tasks as one bit set of SLOT_BITS bits for each length, by the hash.  Its size is
+fixed; two phrases on one bit make a border larger, never smaller, so
 however many phrases there are, none is lost.  Words are cut and joined in Arrow batches, a block of BLOCK_BYTES at a
 time; equal phrases of a block are one row, and Spark adds these up before and after the shuffle.
 
@@ -25,7 +30,7 @@ phrases.  Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -49,13 +54,14 @@ NO_LANG = "und"
 # One document in so many proposes.
 SAMPLE = 4
 # Size of the bit set of each phrase length, as a power of two.
-SLOT_BITS = 24
+SLOT_BITS = 25
 # Bytes of text that are counted at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
-# Bytes between pieces; "." stands for all of them, as it is no part of a word.
+# Bytes between pieces; "." stands for all of them, as it is no part of a word, and a space for a tab.
 _CUTS = b".,;:!?\x0a\x0b\x0c\x0d"
-_PIECES = bytes(ord(".") if c in _CUTS else LOWER[c] for c in range(256))
+_SPACE, _DOT = ord(" "), ord(".")
+_PIECES = bytes(_DOT if c in _CUTS else _SPACE if c == 0x09 else LOWER[c] for c in range(256))
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,7 +84,7 @@ class Proposals:
         return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
-def _stretches(lang_texts: list[bytes]) -> Iterator[bytes]:
+def _stretches(lang_texts: Iterable[bytes]) -> Iterator[bytes]:
     """Texts joined and cut to about BLOCK_BYTES, always between pieces."""
     held, size = [], 0
     for text in lang_texts:
@@ -119,8 +125,15 @@ class _Level:
 
 
 def _words(stretch: bytes, seed: int, before: bool) -> _Level:
-    tokens = stretch.replace(b".", b" . ").split()
-    coded = pa.array(tokens, pa.binary()).dictionary_encode()
+    # Words side by side without the spaces; a "." is a word of its own.
+    data = np.frombuffer(stretch, np.uint8)
+    solid, dot = data != _SPACE, data == _DOT
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1] | dot[:-1] | dot[1:]
+    held = data[solid]
+    offsets = np.append(np.flatnonzero(begins[solid]), len(held)).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(held)]
+    coded = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers).dictionary_encode()
     listed = coded.dictionary.to_pylist()
     at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     counts = np.bincount(at, minlength=len(listed))
@@ -172,70 +185,77 @@ def _levels(
         level = _longer(words, level, level.places(proposed), level.places(opened))
 
 
-_COUNTED = "lang string, length int, phrase binary, n bigint, slot bigint, proposed boolean"
-
-
-def _counts(
-    docs: DataFrame, most: int, old: Proposals | None = None, new: Proposals | None = None
+def _by_block(
+    docs: DataFrame, schema: str, rows, most: int, old: Proposals | None, new: Proposals | None
 ) -> DataFrame:
-    """(lang, length, phrase, n, slot, proposed) of all that one pass counts, over all of `docs`.
-
-    The first pass also gives, as length 0, how many words each language has.
-    """
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast((old, new))  # of fixed size
+    """rows(lang, levels) of every block of one language's texts."""
+    sent = docs.sparkSession.sparkContext.broadcast((old, new))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old, new = sent.value
         for batch in batches:
             data, offsets = flat(batch.column(1))
             view = memoryview(data)
-            by_lang: dict[str, list[bytes]] = {}
+            by_lang: dict[str, list[int]] = {}
             for row, lang in enumerate(batch.column(0).to_pylist()):
-                by_lang.setdefault(lang, []).append(bytes(view[offsets[row] : offsets[row + 1]]))
-            for lang in list(by_lang):
+                by_lang.setdefault(lang, []).append(row)
+            for lang, own in by_lang.items():
                 seed = xxhash.xxh32_intdigest(lang.encode("utf-8", "surrogatepass"))
-                for stretch in _stretches(by_lang.pop(lang)):
-                    if stretch.strip(b" \t."):
-                        yield from rows(lang, _levels(stretch, seed, most, old, new), old is None)
+                for stretch in _stretches(bytes(view[offsets[i] : offsets[i + 1]]) for i in own):
+                    if stretch.strip(b" ."):
+                        yield from rows(lang, _levels(stretch, seed, most, old, new))
+
+    return docs.select("lang", "text").mapInArrow(run, schema)
+
+
+# A counted key is a hash whose low bits hold the phrase's length and whether it was proposed.
+_LENGTH, _PROPOSED = 7, 8
+
 
-    def rows(lang: str, levels, first: bool) -> Iterator[pa.RecordBatch]:
+def _counts(
+    docs: DataFrame, most: int, old: Proposals | None = None, new: Proposals | None = None
+) -> DataFrame:
+    """(length, slot, proposed, n) for each hash of all that one pass counts, over all of `docs`."""
+
+    def rows(_: str, levels) -> Iterator[pa.RecordBatch]:
         for length, level, proposed in levels:
-            if length == 1 and first:
-                yield table(lang, 0, pa.array([b""], pa.binary()), [level.counts.sum()], [0], [True])
             kept = (level.counts > 0) & ~level.before
-            if kept.any():
-                yield table(
-                    lang,
-                    length,
-                    level.texts.filter(pa.array(kept)),
-                    level.counts[kept],
-                    level.slots[kept],
-                    proposed[kept],
-                )
-
-    def table(lang, length, phrases, counts, slots, proposed) -> pa.RecordBatch:
-        n = len(phrases)
+            marks = length + _PROPOSED * proposed[kept].astype(np.uint64)
+            keys = level.hashes[kept] & ~np.uint64(_LENGTH + _PROPOSED) | marks.astype(np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.view(np.int64)), pa.array(level.counts[kept], pa.int64())], ["key", "n"]
+            )
+
+    counted = _by_block(docs, "key bigint, n bigint", rows, most, old, new)
+    return counted.groupBy("key").agg(F.sum("n").alias("n")).selectExpr(
+        f"CAST(key & {_LENGTH} AS INT) AS length",
+        f"shiftrightunsigned(key, {64 - SLOT_BITS}) AS slot",
+        f"key & {_PROPOSED} <> 0 AS proposed",
+        "n",
+    )
+
+
+def _named(docs: DataFrame, most: int, chosen: Proposals) -> DataFrame:
+    """(lang, length, phrase, n) of all chosen phrases; length 0 holds how many words a language has."""
+
+    def table(lang, length, phrases, counts) -> pa.RecordBatch:
+        fixed = [pa.scalar(lang, pa.string()), pa.scalar(length, pa.int32())]
         return pa.RecordBatch.from_arrays(
-            [
-                pa.repeat(pa.scalar(lang, pa.string()), n),
-                pa.repeat(pa.scalar(length, pa.int32()), n),
-                phrases,
-                pa.array(counts, pa.int64()),
-                pa.array(slots, pa.int64()),
-                pa.array(proposed, pa.bool_()),
-            ],
-            ["lang", "length", "phrase", "n", "slot", "proposed"],
+            [*(pa.repeat(x, len(phrases)) for x in fixed), phrases, pa.array(counts, pa.int64())],
+            ["lang", "length", "phrase", "n"],
         )
 
-    counted = docs.select("lang", "text").mapInArrow(run, _COUNTED)
+    def rows(lang: str, levels) -> Iterator[pa.RecordBatch]:
+        for length, level, wanted in levels:
+            if length == 1:
+                yield table(lang, 0, pa.array([b""], pa.binary()), [level.counts.sum()])
+            kept = (level.counts > 0) & wanted
+            yield table(lang, length, level.texts.filter(pa.array(kept)), level.counts[kept])
+
+    named = _by_block(docs, "lang string, length int, phrase binary, n bigint", rows, most, None, chosen)
     return (
-        counted.groupBy("lang", "length", "phrase")
-        .agg(
-            F.sum("n").alias("n"),
-            F.max("slot").alias("slot"),
-            F.bool_or("proposed").alias("proposed"),
-        )
+        named.groupBy("lang", "length", "phrase")
+        .agg(F.sum("n").alias("n"))
         .withColumn("phrase", F.col("phrase").cast("string"))
     )
 
@@ -244,10 +264,10 @@ def _counts(
 _MAP_BITS = 1 << 15
 
 
-def _with(known: Proposals | None, phrases: DataFrame, most: int) -> Proposals:
+def _with(known: Proposals | None, phrases: DataFrame, longest: int) -> Proposals:
     """The known proposals and `phrases`: a bit for each, gathered as bit maps."""
     empty = np.zeros((1 << SLOT_BITS) // 8, np.uint8)
-    sets = {length: known.sets[length].copy() if known else empty.copy() for length in range(1, most)}
+    sets = {i: known.sets[i].copy() if known else empty.copy() for i in range(1, longest + 1)}
     place = (F.col("slot") % _MAP_BITS).alias("place")
     maps = (
         phrases.select("length", F.floor(F.col("slot") / _MAP_BITS).alias("map"), place)
@@ -265,27 +285,27 @@ def frequent(
 ) -> DataFrame:
     """(lang, length, phrase, n): all phrases of up to `words` words that occur `least` times or more.
 
-    Length 0 holds how many words a language has.  `key` tells documents apart for the sample.
+    Length 0 holds how many words a language has.  `words` is 7 at most.  `key` tells documents apart for the sample.
     """
     lang = F.coalesce(lang.cast("string"), F.lit(NO_LANG))
     texts = docs.select(lang.alias("lang"), F.coalesce(text, F.lit("")).alias("text"), key.alias("key"))
     sample = texts.filter(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0)
     # The sample's share of `least`, rounded down so that few frequent phrases are missed.
-    proposed = _counts(sample, words - 1).filter(
-        (F.col("length") > 0) & (F.col("n") >= max(1, least // SAMPLE))
-    )
-    old, new = None, _with(None, proposed, words)
-    found = []
+    proposed = _counts(sample, words - 1).filter(F.col("n") >= max(1, least // SAMPLE))
+    old, new = None, _with(None, proposed, words - 1)
+    counted = []
     while True:
-        counted = _counts(texts, words, old, new).filter(
-            (F.col("n") >= least) | (F.col("length") == 0)
+        failed = ~F.col("proposed") & (F.col("length") < words)
+        table, seen = written(
+            _counts(texts, words, old, new).filter(F.col("n") >= least), failures=F.count_if(failed)
         )
-        failed = ~F.col("proposed") & F.col("length").between(1, words - 1)
-        table, seen = written(counted, failures=F.count_if(failed))
-        found.append(table.select("lang", "length", "phrase", "n"))
+        counted.append(table)
         if not seen["failures"]:
-            return reduce(DataFrame.unionByName, found)
-        old, new = new, _with(new, table.filter(failed), words)
+            break
+        old, new = new, _with(new, table.filter(failed), words - 1)
+    chosen = _with(None, reduce(DataFrame.unionByName, counted), words)
+    exact = _named(texts, words, chosen).filter((F.col("n") >= least) | (F.col("length") == 0))
+    return written(exact, rows=F.count("*"))[0]
 
 
 def _scored(candidates: DataFrame, counts: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def test_expansion_counts_nothing_twice_even_when_bits_collide():
     """Every phrase is counted in exactly one pass, with sets of a few bits too."""
     rng = random.Random(5)
     text = " ".join(rng.choice("abcdefgh") for _ in range(400)).encode()
-    rng_bits = [phrases.np.frombuffer(rng.randbytes(1 << 21), phrases.np.uint8) for _ in range(4)]
+    rng_bits = [phrases.np.frombuffer(rng.randbytes((1 << phrases.SLOT_BITS) // 8), phrases.np.uint8) for _ in range(4)]
     first = phrases.Proposals({1: rng_bits[0], 2: rng_bits[1]})
     second = phrases.Proposals({1: rng_bits[0] | rng_bits[2], 2: rng_bits[1] | rng_bits[3]})
 
