@@ -1,8 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from conftest import plan_of
 from modgauge.config import Thresholds
+from modgauge.operators.bitset import key_bits, may_hold
 from modgauge.operators.coupling import coupling, coupling_dependencies
 from modgauge.operators.evidence import pair_cycle_evidence
 from modgauge.operators.cycles import pair_cycles
@@ -49,6 +52,24 @@ def test_every_dependency_of_a_huge_module_is_kept(edges_of, n):
     assert {r["dependency"] for r in coupling_dependencies(edges).collect()} == set(names)
 
 
+def test_edges_are_dropped_before_they_are_listed(edges_of):
+    plan = plan_of(coupling(edges_of(fan("a", 9) + fan("b", 2))))
+    listing = plan.index("collect_list")
+    dropping = plan.index("getbit")
+    assert listing < dropping  # a plan is printed from its last step to its first
+    assert "Exchange" in plan[listing:dropping]
+
+
+def test_bits_hold_every_key_and_drop_most_others(spark):
+    keys = spark.range(2000).selectExpr("concat('k', id) AS key")
+    bits = key_bits(keys, "key")
+    rows = spark.range(20_000).selectExpr("concat('k', id) AS key").filter(may_hold(bits, F.col("key")))
+    passed = {r["key"] for r in rows.collect()}
+    assert {f"k{i}" for i in range(2000)} <= passed and len(passed) < 2200
+    none = key_bits(keys.limit(0), "key")
+    assert keys.filter(may_hold(none, F.col("key"))).count() == 0
+
+
 def test_graph_tables(references_of):
     refs = references_of(
         [("src/a/1.rs", "src/b/1.rs")] * 3

@@ -28,11 +28,11 @@ MODULES = {
 }
 
 GLOBS = [
-    ("src/domain/**", "src/domain/user.rs", True),
-    ("src/domain/**", "src/domain/sub/user.rs", True),
-    ("src/domain/**", "src/domain", False),
-    ("src/domain/**", "src/application/user.rs", False),
-    ("src/domain/**", "./src/domain/user.rs", False),
+    ("lib/kiln/**", "lib/kiln/fire.py", True),
+    ("lib/kiln/**", "lib/kiln/brick/a/clay.py", True),
+    ("lib/kiln/**", "lib/kiln", False),
+    ("lib/kiln/**", "lib/kilns/fire.py", False),
+    ("lib/kiln/**", "./lib/kiln/fire.py", False),
     ("tests/**", "src/tests/a.rs", False),
     ("**/*.test.*", "a.test.ts", True),
     ("**/*.test.*", "src/x/a.test.ts", True),

@@ -1,3 +1,4 @@
+import glob
 import json
 
 import pytest
@@ -10,6 +11,7 @@ from modgauge.plans.findings import at_least
 from modgauge.plans.report import (
     LINE_KEYS,
     ci_gate,
+    numbered_lines,
     recommendations,
     report_lines,
     report_summary,
@@ -18,8 +20,12 @@ from modgauge.plans.report import (
 from modgauge.operators.graph import graph_stats
 from modgauge.schema import FINDINGS
 from modgauge.sinks.writers import (
+    append_history,
+    document_lines,
     findings_json,
+    read_history,
     report_document,
+    write_document,
     write_findings,
     write_report,
 )
@@ -281,3 +287,52 @@ def test_counts_read_no_texts(graph):
     for small in (report_summary(found), severity_counts(found), ci_gate(found)):
         plan = plan_of(small)
         assert "sha2" not in plan and "has no references" not in plan
+
+
+def test_document_is_one_json_value(spark, graph, findings, tmp_path):
+    stats = graph_stats(spark, *graph)
+    for name, found in (("all", findings.repartition(5)), ("none", findings.limit(0))):
+        path = str(tmp_path / name)
+        write_document(document_lines(found, stats, 'a "demo"', "7", "T"), path)
+        files = sorted(glob.glob(f"{path}/part-*"))
+        document = json.loads("".join(open(file, encoding="utf-8").read() for file in files))
+        assert {k: v for k, v in document.items() if k != "findings"} == {
+            "version": "7", "timestamp": "T", "repository": 'a "demo"', "graph_stats": {"nodes": 2, "edges": 3},
+        }
+        objects = [json.loads(r["json"]) for r in findings_json(found).collect()]
+        assert sorted(map(str, document["findings"])) == sorted(map(str, objects))
+    names = [f["location"]["name"] for f in json.loads(
+        "\n".join(r["line"] for r in document_lines(findings, stats).orderBy("line_no").collect())
+    )["findings"]]
+    assert names == ["Foo", "main", "a <-> b", "caller2"]
+
+
+def test_numbered_lines_are_the_report(spark, graph, findings):
+    lines = report_lines(findings, graph_stats(spark, *graph), "demo", "T", "7")
+    got = sorted(map(tuple, numbered_lines(lines.repartition(6)).select("line_no", "line").collect()))
+    assert [n for n, _ in got] == list(range(1, len(got) + 1))
+    assert [line for _, line in got] == "\n".join(lines_of(findings, graph_stats(spark, *graph), repository="demo", timestamp="T", version="7")).split("\n")
+
+
+def test_numbered_lines_of_equal_findings(spark, definitions_of, references_of):
+    defs = definitions_of([("Twin", "src/m/t.rs", "class", 4)] * 3)
+    refs = references_of([("src/domain/a.rs", "src/x/b.rs", "B")] * 2)
+    found = analyze(defs, refs)
+    rows = numbered_lines(report_lines(found, graph_stats(spark, defs, refs))).orderBy("line_no").collect()
+    kinds = [r["line"][:4] for r in rows if r["line"].startswith(("- **", "  - _"))]
+    assert kinds == ["- **", "  - "] * 5
+
+
+def test_a_run_appended_twice_counts_once(spark, findings, tmp_path):
+    path = str(tmp_path / "history")
+    append_history(history_rows(findings, F.lit("2024-01-01")), path)
+    append_history(history_rows(findings.limit(0), F.lit("2024-02-01")), path)
+    append_history(history_rows(at_least(findings, "critical"), F.lit("2024-02-01")), path)
+    history = read_history(spark, path)
+    assert {r["run_ts"]: r["n"] for r in history.groupBy("run_ts").agg(F.sum("finding_count").alias("n")).collect()} == {
+        "2024-01-01": 4, "2024-02-01": 1,
+    }
+    assert history.count() == 8
+    assert {(r["run_ts"], r["change"]) for r in findings_trend(history).filter("category = 'dead_code'").collect()} == {
+        ("2024-01-01", None), ("2024-02-01", -1),
+    }
