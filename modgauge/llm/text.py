@@ -47,11 +47,19 @@ def texts(column: pa.Array) -> Iterator[bytes]:
         yield bytes(view[start:end])
 
 
-def blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges [first, last) of at most BLOCK_BYTES, or one longer row."""
+def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges [first, last) of at most `size` bytes, or one longer row."""
     first, rows = 0, len(offsets) - 1
     while first < rows:
-        last = int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(rows, max(last, first + 1))
         yield first, last
         first = last
+
+
+def free_name(wanted: str, columns: list[str]) -> str:
+    """`wanted`, made longer until no column is called so, whatever the case."""
+    taken = {column.lower() for column in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -43,9 +44,27 @@ def test_encodes_as_the_library(own, library):
         assert own.decode_bytes(ids).decode() == text
 
 
+def test_blocks_encode_as_the_library(own, library):
+    """Many texts side by side, some of which must not be cut at their spaces."""
+    texts = [*odd_texts(), "the end ", " the", "the", "", "", "a b" * 3000, "x \n y the end"]
+    rng = random.Random(8)
+    for _ in range(3):
+        rng.shuffle(texts)
+        data = b"".join(t.encode() for t in texts)
+        offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+        ids, ends = own.encode_block(np.frombuffer(data, np.uint8), offsets)
+        (decimals, cuts), (back, stops) = own.decimals_of(ids, ends), own.decoded(ids, ends)
+        for i, text in enumerate(texts):
+            expected = library.encode_ordinary(text)
+            assert ids[ends[i] : ends[i + 1]].tolist() == expected, text[:80]
+            assert bytes(decimals[cuts[i] : cuts[i + 1]]) == "".join(f"{t} " for t in expected).encode()
+            assert bytes(back[stops[i] : stops[i + 1]]) == text.encode()
+        own.forget()
+
+
 def test_forgetting_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_STRETCHES", 2)
-    monkeypatch.setattr(bpe, "MAX_PIECES", 3)
+    monkeypatch.setattr(bpe, "MAX_MOVES", 3)
+    monkeypatch.setattr(bpe, "LONGEST", 3)
     monkeypatch.setattr(bpe, "LOOKAHEAD", 4)
     monkeypatch.setattr(bpe, "MAX_PAIRS", 5)
     small = bpe.Codec(PATH, public_tokenizers.PATTERN)
