@@ -7,8 +7,8 @@ estimated from the signs and that scalar without bias, and its error has the bou
 sqrt((1 - f^2) / f^2 / (D - 1)) * EPSILON, with f the scalar: it is exceeded for
 about one vector in a thousand at EPSILON = 3.  A vector is reranked, by the exact
 cosine of the original vectors in double precision, if its estimate plus the
-bound reaches the k best exact cosines so far or the k best estimates less their
-bounds.  Every row is indexed and every query sees every row.
+bound reaches the k-th best exact cosine so far.  The rows with the best estimates of a block are
+reranked first, so that this floor is high when the others are looked at.  Every row is indexed and every query sees every row.
 
 Queries go to the index in blocks of about QUERY_BLOCK, each one pass over the
 codes; a task keeps k rows for each query, and the tasks' rows are merged in one
@@ -23,7 +23,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +35,12 @@ EPSILON = 3.0
 QUERY_BLOCK = 4096
 SEED = 20240521
 
-# Rows whose estimates are in memory at a time.
-_ROWS = 512
+# Rows whose estimates are in memory at a time, and numbers of vectors that are reranked at a time.
+_ROWS = 1024
+_NUMBERS = 1 << 21
 
 
+@lru_cache(maxsize=2)
 def rotation(dim: int) -> np.ndarray:
     """The same random orthogonal matrix in every process."""
     q, r = np.linalg.qr(np.random.default_rng(SEED).normal(size=(dim, dim)))
@@ -72,8 +74,7 @@ def index(vectors: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             v = _matrix(batch.column(1))
-            turned = v / np.abs(v).max(axis=1, keepdims=True)
-            turned = turned / np.linalg.norm(turned, axis=1, keepdims=True) @ rotation(v.shape[1])
+            turned = _unit(v) @ rotation(v.shape[1])
             codes = np.packbits(turned > 0, axis=1)
             scalar = np.abs(turned).sum(axis=1) / np.sqrt(v.shape[1])
             yield pa.RecordBatch.from_arrays(
@@ -86,6 +87,21 @@ def index(vectors: DataFrame) -> DataFrame:
     )
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to about one.
+
+    A power of two leaves all other digits alone, so cosines of ordinary vectors are the same to the
+    last digit, and those of very small or large ones do not vanish or overflow.
+    """
+    _, exponent = np.frexp(np.abs(v).max(axis=1, keepdims=True))
+    return np.ldexp(v, -exponent)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = _scaled(v)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, summed in the order of the components."""
     total = np.zeros(len(a))
@@ -95,15 +111,13 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Searcher:
-    """The k best rows so far of each query of a block."""
+    """The k best ids so far of each query of a block."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, epsilon: float):
-        self.ids, self.queries, self.k, self.epsilon = ids, queries, k, epsilon
-        self.norms = _dots(queries, queries)
-        dim = queries.shape[1]
-        unit = queries / np.abs(queries).max(axis=1, keepdims=True)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        self.turned = (unit @ rotation(dim)).T.astype(np.float32)
+        self.ids, self.k, self.epsilon = ids, k, epsilon
+        self.queries = _scaled(queries)
+        self.norms = _dots(self.queries, self.queries)
+        self.turned = (_unit(queries) @ rotation(queries.shape[1])).T.astype(np.float32)
         self.best = np.full((len(ids), k), -np.inf)
         self.best_ids = np.full((len(ids), k), -1, np.int64)
         self.reranked = 0
@@ -111,23 +125,50 @@ class Searcher:
     def add(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scalar: np.ndarray) -> None:
         dim = vectors.shape[1]
         signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-        estimate = signs @ self.turned / (np.sqrt(dim) * scalar)[:, None]
+        factor = (1 / (np.sqrt(dim) * scalar)).astype(np.float32)
+        estimate = signs @ self.turned
+        estimate *= factor[:, None]
         error = self.epsilon * np.sqrt(np.maximum(1 - scalar**2, 0) / max(dim - 1, 1)) / scalar
-        own = ids[:, None] == self.ids[None, :]
-        estimate[own] = -np.inf
-        floor = self.best[:, -1]
-        if len(ids) > self.k:
-            lower = np.partition(estimate - error[:, None], len(ids) - self.k, axis=0)
-            floor = np.maximum(floor, lower[len(ids) - self.k])
-        row, query = np.nonzero((estimate + error[:, None] >= floor - 1e-6) & ~own)
+        # A query is no neighbour of itself: its own rows are out.
+        place = np.searchsorted(self.ids, ids)
+        place[place == len(self.ids)] = 0
+        own = np.flatnonzero(self.ids[place] == ids)
+        estimate[own, place[own]] = -np.inf
+        vectors = _scaled(vectors)
+        norms = _dots(vectors, vectors)
+        few = min(self.k, len(ids))
+        seeds = np.argpartition(estimate, len(ids) - few, axis=0)[len(ids) - few :]
+        query = np.tile(np.arange(len(self.ids)), few)
+        row = seeds.ravel()
+        real = estimate[row, query] > -np.inf
+        self._rerank(row[real], query[real], ids, vectors, norms)
+        estimate[seeds, np.arange(len(self.ids))] = -np.inf
+        # The floor is the k-th best of different ids, so rows that repeat an id raise it only once.
+        estimate += error.astype(np.float32)[:, None]
+        row, query = np.nonzero(estimate >= (self.best[:, -1] - 1e-5).astype(np.float32))
+        real = estimate[row, query] > -np.inf
+        row, query = row[real], query[real]
+        size = max(1, _NUMBERS // dim)
+        for at in range(0, len(row), size):
+            self._rerank(row[at : at + size], query[at : at + size], ids, vectors, norms)
+
+    def _rerank(self, row, query, ids, vectors, norms) -> None:
+        """Exact cosines of rows with queries; the k best of each query's ids stay."""
         self.reranked += len(row)
-        dots = _dots(vectors[row], self.queries[query])
-        scores = np.clip(dots / np.sqrt(_dots(vectors, vectors)[row] * self.norms[query]), -1, 1)
-        has = np.isfinite(self.best)
-        held = np.nonzero(has)[0]
+        scale = np.sqrt(norms[row] * self.norms[query])
+        scores = np.einsum("ij,ij->i", vectors[row], self.queries[query]) / scale
+        # Those that may stay are summed in the order of the components, as the score is defined.
+        close = scores >= self.best[query, -1] - 1e-9
+        row, query, scale = row[close], query[close], scale[close]
+        if not len(row):
+            return
+        scores = np.clip(_dots(vectors[row], self.queries[query]) / scale, -1, 1)
+        touched = np.unique(query)
+        held, nth = np.nonzero(np.isfinite(self.best[touched]))
+        held = touched[held]
         query = np.concatenate([query, held])
-        scores = np.concatenate([scores, self.best[has]])
-        found = np.concatenate([ids[row], self.best_ids[has]])
+        scores = np.concatenate([scores, self.best[held, nth]])
+        found = np.concatenate([ids[row], self.best_ids[held, nth]])
         # One entry for each query and id, then the first k of each query.
         order = np.lexsort((-scores, found, query))
         query, scores, found = query[order], scores[order], found[order]
@@ -138,7 +179,7 @@ class Searcher:
         query, scores, found = query[order], scores[order], found[order]
         rank = np.arange(len(query)) - np.searchsorted(query, query)
         top = rank < self.k
-        self.best[:], self.best_ids[:] = -np.inf, -1
+        self.best[touched], self.best_ids[touched] = -np.inf, -1
         self.best[query[top], rank[top]] = scores[top]
         self.best_ids[query[top], rank[top]] = found[top]
 

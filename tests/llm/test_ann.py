@@ -70,3 +70,28 @@ def test_query_blocks_change_nothing(spark, monkeypatch):
     one = sorted(map(tuple, ann.search(vectors, F.col("vec_id") % 4 == 0, k=3).collect()))
     monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
     assert sorted(map(tuple, ann.search(vectors, F.col("vec_id") % 4 == 0, k=3).collect())) == one
+
+
+def test_rows_that_repeat_an_id_raise_the_floor_once(spark):
+    """Many rows of the nearest id must not keep the fifth nearest id out."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(600)]
+    query = np.array(rows[0][1])
+    rows += [(1, (query + rng.normal(size=16) * 0.01).tolist()) for _ in range(12)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)
+    unit = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1, keepdims=True)
+    best = {}
+    for (i, _), score in zip(rows, unit @ unit[0], strict=True):
+        if i:
+            best[i] = max(best.get(i, -2), score)
+    expected = sorted(best, key=lambda i: (-best[i], i))[:5]
+    got = ann.search(vectors, F.col("vec_id") == 0, k=5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == expected and expected[0] == 1
+
+
+def test_very_small_and_large_components(spark):
+    small, large = 1e-200, 1e200
+    rows = [(0, [3 * small, 4 * small]), (1, [4 * small, 3 * small]), (2, [3 * large, 4 * large]), (3, [1.0, 0.0]), (4, [1e300, 1e-300])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0, k=5)
+    by = {r.vec_id: r.score for r in got.collect()}
+    assert {i: round(score, 12) for i, score in by.items()} == {1: 0.96, 2: 1.0, 3: 0.6, 4: 0.6}
