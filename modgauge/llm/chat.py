@@ -30,7 +30,7 @@ OPEN, SEP, CLOSE, END = "### ", ": ", "</turn>", "\n"
 LEARNED = "assistant"
 _CONTROLS = r"\\|###|</turn>"
 
-# Role names of other layouts.
+# Role names of the layouts that have their own.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -39,12 +39,14 @@ class Mapping:
     """A layout's paths, and SQL for its turns.
 
     `turns` is an array of (turn, role, text); for a layout of one turn a row it has
-    one entry.
+    one entry.  `own_roles` says that the layout names roles as ROLES does; elsewhere a role is
+    handed on as it is.
     """
 
     name: str
     paths: tuple[str, ...]
     turns: str
+    own_roles: bool = False
 
 
 def _two(question: str, answer: str) -> str:
@@ -65,7 +67,12 @@ MAPPINGS = (
         "array(struct(CAST(turn AS BIGINT) AS turn, CAST(role AS STRING) AS role, CAST(text AS STRING) AS text))",
     ),
     Mapping("messages", ("conv_id", "messages[].content", "messages[].role"), _listed("messages", "role", "content")),
-    Mapping("from and value", ("conv_id", "conversations[].from", "conversations[].value"), _listed("conversations", "from", "value")),
+    Mapping(
+        "from and value",
+        ("conv_id", "conversations[].from", "conversations[].value"),
+        _listed("conversations", "from", "value"),
+        own_roles=True,
+    ),
     Mapping("prompt and response", ("conv_id", "prompt", "response"), _two("prompt", "response")),
     Mapping("prompt and completion", ("completion", "conv_id", "prompt"), _two("prompt", "completion")),
     Mapping(
@@ -100,15 +107,14 @@ def canonical_turns(table: DataFrame) -> DataFrame:
     print_ = fingerprint(field_paths(table.schema))
     if print_ not in _BY_FINGERPRINT:
         raise ValueError(f"no mapping for layout {print_}: {field_paths(table.schema)}")
-    turns = F.expr(_BY_FINGERPRINT[print_].turns)
-    return _exploded(table.select(F.col("conv_id").cast("bigint").alias("conv_id"), turns.alias("turns")))
-
-
-def _exploded(table: DataFrame) -> DataFrame:
+    mapping = _BY_FINGERPRINT[print_]
+    turns = F.expr(mapping.turns).alias("turns")
     role = F.coalesce(F.col("t.role"), F.lit(""))
-    for name, canonical in ROLES.items():
-        role = F.when(F.col("t.role") == name, canonical).otherwise(role)
-    return table.select("conv_id", F.explode("turns").alias("t")).select(
+    if mapping.own_roles:
+        for name, canonical in ROLES.items():
+            role = F.when(F.col("t.role") == name, canonical).otherwise(role)
+    listed = table.select(F.col("conv_id").cast("bigint").alias("conv_id"), turns)
+    return listed.select("conv_id", F.explode("turns").alias("t")).select(
         "conv_id", "t.turn", role.alias("role"), F.coalesce("t.text", F.lit("")).alias("text")
     )
 

@@ -31,6 +31,16 @@ def test_layouts_give_the_same_turns(spark):
         chat.canonical_turns(spark.createDataFrame([(1, "q")], "conv_id bigint, question string"))
 
 
+def test_only_one_layout_has_role_names_of_its_own(spark):
+    said = [("human", "q"), ("model", "a")]
+    plain = turns_of(spark, [(1, 0, *said[0]), (1, 1, *said[1])])
+    messages = spark.createDataFrame([(1, said)], "conv_id bigint, messages array<struct<role: string, content: string>>")
+    for table in (plain, messages):
+        assert [r.role for r in chat.canonical_turns(table).orderBy("turn").collect()] == ["human", "model"]
+    own = spark.createDataFrame([(1, said)], "conv_id bigint, conversations array<struct<`from`: string, value: string>>")
+    assert [r.role for r in chat.canonical_turns(own).orderBy("turn").collect()] == ["user", "assistant"]
+
+
 def test_json_records_of_mixed_layouts(spark):
     records = [
         {"conv_id": 1, "messages": [{"role": "user", "content": "q"}], "extra": {"a": 1}},
