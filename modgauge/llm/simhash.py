@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from modgauge.llm.components import components
-from modgauge.llm.text import LOWER, texts
+from modgauge.llm.text import LOWER, free_name, texts
+from modgauge.operators.skew import join_keyed
 from modgauge.runtime import cut_lineage
 
 WIDTH = 5
@@ -172,7 +173,7 @@ def near_duplicates(
     )
     named = cut_lineage(named)[0]
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(ids, "root").select("fp", "component_id")
+    by_fp = join_keyed(named, ids, "root", "inner").select("fp", "component_id")
     return printed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -185,7 +186,8 @@ def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataF
 
     The row with the smallest doc_id stays.  A row without doc_id is named by its
     text's digest and stays only if its group has no id.  Of rows that repeat a
-    doc_id within a group one stays.
+    doc_id within a group the one with the smallest text stays, and of equal texts the one whose
+    other columns have the smallest digest.  Columns may have any names.
     """
     nameless = F.concat(F.lit("~"), F.sha2(F.coalesce("text", F.lit("")), 256))
     # Digits of equal length, so that the order of the names is that of the ids.
@@ -193,6 +195,9 @@ def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataF
     named = F.lpad(shifted, 20, "0")
     key = F.coalesce(named, nameless)
     groups = near_duplicates(docs, width, radius, key)
-    chosen = groups.select(F.col("component_id").alias("_kept")).distinct()
-    marked = docs.withColumn("_kept", key)
-    return marked.join(chosen, "_kept", "left_semi").dropDuplicates(["_kept"]).select(*docs.columns)
+    own, rest = free_name("_kept", docs.columns), free_name("_rest", docs.columns)
+    chosen = groups.select(F.col("component_id").alias(own)).distinct()
+    whole = [F.col(f"`{column}`") for column in docs.columns]
+    marked = docs.withColumns({own: key, rest: F.xxhash64(*whole)}).join(chosen, own, "left_semi")
+    first = F.min_by(F.struct(*whole), F.struct("text", rest)).alias(rest)
+    return marked.groupBy(own).agg(first).select(f"{rest}.*")

@@ -89,3 +89,13 @@ def test_edge_rows_and_keeping_one(spark):
     )
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
     assert simhash.keep_one(docs.limit(0)).collect() == []
+
+
+def test_rows_that_repeat_an_id_and_hostile_names(spark):
+    """Which row stays does not depend on where the rows lie, and no column is overwritten."""
+    rows = [(1, f"text number {i} of the same id", f"k{i}", i) for i in range(6)] + [(1, "a b", "k", 9), (1, "a b", "l", 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _kept string, _rest bigint")
+    kept = {tuple(sorted(map(str, simhash.keep_one(docs.repartition(n)).collect()))) for n in (1, 3, 7)}
+    assert len(kept) == 1
+    (row,) = simhash.keep_one(docs).collect()
+    assert row.text == "a b" and (row._kept, row._rest) in {("k", 9), ("l", 8)}
