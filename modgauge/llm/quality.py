@@ -1,17 +1,17 @@
 """Quality rules: fixed counts, and a calibrated logistic regression on hashed n-grams.
 
 Every text gives four groups of n-grams: words, word pairs, 3 and 5 neighbouring
-bytes.  They are hashed to GROUP_SIZE slots a group, and a group's features are the
+characters.  They are hashed to GROUP_SIZE slots a group, and a group's features are the
 shares of its slots.  A logistic regression is trained on a bounded sample of
-labelled rows (TRAIN_ROWS for each class at most, taken by a hash of the id), three quarters
+labelled rows (TRAIN_ROWS and TRAIN_BYTES for each class at most, taken by a hash of the id), three quarters
 for the weights; on the rest, a slope and an offset make its output a probability at
 the class shares of all labelled rows (Platt scaling).  Scoring is one pass in Arrow batches.
 
 Null text counts as empty: it has no words and fails the base rule.  Labels that
 are null, name no id, or contradict each other are left out of training.  With no
 label of one class there is no model, and the base rule alone decides.  Repeated rows
-are judged alike.  Extra columns of `docs` are kept by `judge` and never clash,
-because the results come back under the names in RESULT only.
+are judged alike.  Extra columns of `docs` are kept by `judge`; the results come back in one
+column, whose name the caller may choose.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from modgauge.llm.text import BLOCK_BYTES, SPACE, blocks, flat, texts
 
@@ -32,8 +32,12 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 KEEP_AT = 0.5  # least probability of good quality
 
-# The bound of the training sample, for each class.
+# The bounds of the training sample, for each class.
 TRAIN_ROWS = 1500
+TRAIN_BYTES = 16 << 20
+
+# Slots of training texts that are in memory as products at a time.
+_SLOTS = 1 << 18
 
 GROUP_SIZE = 1 << 16
 GROUPS = 4
@@ -112,7 +116,23 @@ class Block:
         self.hashes = _mixed((sums[ends] - sums[self.starts]) * down[self.starts])
         # Words before each text's start; a text's words are [words[i], words[i+1]).
         self.words = np.searchsorted(self.starts, offsets)
-        self.solid = solid
+        self.solid, self.ends = solid, ends
+
+    def word_numbers(self) -> np.ndarray:
+        """A number for each word, the same for equal words and no others."""
+        begin = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        words = pa.Array.from_buffers(
+            pa.large_binary(), len(self.starts), [None, pa.py_buffer(begin), pa.py_buffer(self.data[self.solid])]
+        )
+        return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def characters(self) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of all texts, and where each text begins."""
+        view = self.data.tobytes()
+        cuts = self.offsets.tolist()
+        parts = [view[a:b].decode("utf-8", "replace").encode("utf-32-le") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        begin = np.cumsum([0, *(len(part) // 4 for part in parts)])
+        return np.frombuffer(b"".join(parts), np.uint32), begin
 
     def counted(self, flags: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(flags) + 1, np.int64)
@@ -121,17 +141,18 @@ class Block:
 
     def repeated_words(self) -> np.ndarray:
         """Words of each text inside a window that the text holds twice or more."""
-        h, n = self.hashes, len(self.hashes)
+        n = len(self.starts)
         found = np.zeros(self.docs, np.int64)
         if n < WINDOW:
             return found
         text_of = np.repeat(np.arange(self.docs), np.diff(self.words))
-        windows = np.zeros(n - WINDOW + 1, np.uint64)
-        for j in range(WINDOW):
-            windows = windows * _ODD + h[j : n - WINDOW + 1 + j]
+        # Runs of 2, 4 and 8 words are numbered from pairs of runs half as long.
+        keys, size = self.word_numbers(), 1
+        while size < WINDOW:
+            pairs = keys[:-size] * (n + 1) + keys[size:]
+            keys, size = np.unique(pairs, return_inverse=True)[1], 2 * size
         within = np.flatnonzero(text_of[: n - WINDOW + 1] == text_of[WINDOW - 1 :])
-        # The text goes into the hash: equal windows of two texts stay apart.
-        keys = _mixed(windows[within] + _mixed(text_of[within].astype(np.uint64)))
+        keys = keys[within] * (self.docs + 1) + text_of[within]
         order = np.argsort(keys, kind="stable")
         same = keys[order][1:] == keys[order][:-1]
         twice = np.zeros(len(keys), bool)
@@ -147,20 +168,20 @@ class Block:
 
     def slots(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each group: slots in order, and each text's first and last of them."""
-        data, starts, ends = self.data, self.offsets[:-1], self.offsets[1:]
         h = self.hashes
         shift = np.uint64(64 - 16)
         out = [((h >> shift).astype(np.int64), self.words[:-1], self.words[1:])]
         pairs = (_mixed(h[:-1] * _ODD + h[1:]) >> shift).astype(np.int64)
         last = np.maximum(self.words[1:] - 1, self.words[:-1])
         out.append((pairs, self.words[:-1], last))
+        points, begin = self.characters()
         for n in (3, 5):
-            size = max(0, len(data) - n + 1)
+            size = max(0, len(points) - n + 1)
             grams = np.zeros(size, np.uint64)
             for j in range(n):
-                grams |= data[j : j + size].astype(np.uint64) << np.uint64(8 * j)
-            grams = grams * _ODD >> shift
-            out.append((grams.astype(np.int64), starts, np.maximum(ends - n + 1, starts)))
+                grams = grams * np.uint64(_BASE) + points[j : j + size].astype(np.uint64)
+            grams = _mixed(grams) >> shift
+            out.append((grams.astype(np.int64), begin[:-1], np.maximum(begin[1:] - n + 1, begin[:-1])))
         return [(slots + g * GROUP_SIZE, a, b) for g, (slots, a, b) in enumerate(out)]
 
 
@@ -201,10 +222,23 @@ def _fit(rows: list[tuple[int, bytes, int]], good_share: float) -> Model:
     held = np.arange(len(rows)) % 4 == 3
     label = np.array([quality for _, _, quality in rows], float)
     features = [_features(text) for _, text, _ in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(slots) for slots, _ in features])
-    slots = np.concatenate([slots for slots, _ in features])
-    shares = np.concatenate([values for _, values in features])
+    sizes = np.array([len(slots) for slots, _ in features])
+    # Runs of rows of about _SLOTS slots: only one run's products are in memory at a time.
+    run = np.cumsum(sizes) // _SLOTS
+    edges = np.flatnonzero(np.diff(run, prepend=-1, append=run[-1] + 1))
+    chunks = []
+    for first, last in zip(edges[:-1], edges[1:], strict=True):
+        owner = np.repeat(np.arange(first, last, dtype=np.int32), sizes[first:last])
+        slots, shares = (np.concatenate([f[i] for f in features[first:last]]) for i in (0, 1))
+        chunks.append((owner, slots, shares))
     del features
+
+    def sums(weights: np.ndarray) -> np.ndarray:
+        z = np.zeros(len(rows))
+        for owner, slots, shares in chunks:
+            z += np.bincount(owner, shares * weights[slots], len(rows))
+        return z
+
     # Every class weighs the same while the weights are fitted.
     balance = np.zeros(len(rows))
     for side in (0, 1):
@@ -213,14 +247,15 @@ def _fit(rows: list[tuple[int, bytes, int]], good_share: float) -> Model:
     weights = np.zeros(GROUPS * GROUP_SIZE)
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, EPOCHS + 1):
-        z = np.bincount(owner, shares * weights[slots], len(rows))
-        error = balance * (_sigmoid(z) - label)
-        gradient = np.bincount(slots, shares * error[owner], len(weights))
+        error = balance * (_sigmoid(sums(weights)) - label)
+        gradient = np.zeros_like(weights)
+        for owner, slots, shares in chunks:
+            gradient += np.bincount(slots, shares * error[owner], len(weights))
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
         rate = 0.3 / (1 + step / 20)
         weights -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    z = np.bincount(owner, shares * weights[slots], len(rows))
+    z = sums(weights)
     # Platt scaling on the held-out rows, weighted to the shares of all labels.
     check = held if len(set(label[held])) == 2 else np.ones(len(rows), bool)
     z, label = z[check], label[check]
@@ -263,7 +298,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         sample = part if sample is None else sample.unionByName(part)
     good_share = shares[1] / (shares[0] + shares[1])
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    chosen = chosen.dropDuplicates(["doc_id"]).select("doc_id", "text", "quality")
+    chosen = chosen.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    # As many of a class as TRAIN_BYTES hold, in the order of the hash.
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))
+    held = size.over(Window.partitionBy("quality").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = chosen.withColumn("held", held).filter(F.col("held") <= TRAIN_BYTES).select("doc_id", "text", "quality")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -287,9 +326,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     return Model(np.frombuffer(bytes(row.weights), np.float32), row.slope, row.offset)
 
 
-def judge(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> DataFrame:
-    """Every row of `docs` with all its columns, and the columns of RESULT in `judged`."""
+def judge(
+    docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT, into: str = "judged"
+) -> DataFrame:
+    """Every row of `docs` with all its columns, and the columns of RESULT in `into`."""
     columns = docs.columns
+    if into.lower() in {column.lower() for column in columns}:
+        raise ValueError(f"the rows have a column {into!r} of their own")
     fields = pa.schema(
         [
             (name, {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[kind])
@@ -311,11 +354,11 @@ def judge(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> Dat
                 for i in range(len(fields))
             ]
             judged = pa.StructArray.from_arrays(arrays, fields=list(fields))
-            yield pa.RecordBatch.from_arrays([*batch.columns, judged], [*columns, "judged"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, judged], [*columns, into])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     inner = ", ".join(part.replace(" ", ": ") for part in RESULT.split(", "))
-    return docs.mapInArrow(run, f"{schema}, judged struct<{inner}>")
+    return docs.mapInArrow(run, f"{schema}, `{into}` struct<{inner}>")
 
 
 def _judged(data, offsets, model, keep_at) -> list[np.ndarray]:

@@ -77,3 +77,27 @@ def test_edge_rows(spark):
     some = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 0), (3, 1)], "doc_id bigint, quality int")
     assert quality.train(docs, some) is None
     assert quality.train(docs, some.limit(0)) is None
+
+
+def test_words_of_equal_hash_are_different_words():
+    """The words' hash is a polynomial modulo 2^64, in which the two spellings below collide."""
+    word, other = "", ""
+    a, b = "a", "b"
+    for _ in range(10):  # Thue and Morse's sequence and its opposite
+        a, b = a + b, b + a
+    word, other = a, b
+    filler = " ".join(f"w{i}" for i in range(30))
+    text = f"{word} p q r s t u v {filler} {other} p q r s t u v {filler[:20]}"
+    block = quality.Block(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert block.repeated_words()[0] == plain_counts(text)[4]
+    same = f"{word} p q r s t u v {filler} {word} p q r s t u v"
+    block = quality.Block(np.frombuffer(same.encode(), np.uint8), np.array([0, len(same)]))
+    assert block.repeated_words()[0] == plain_counts(same)[4] == 16
+
+
+def test_a_column_may_be_called_judged(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet").selectExpr("*", "1 AS judged", "2 AS Judged_")
+    kept = corpus_pipeline.keep_good(spark, docs, f"{TESTDATA}/sf0.001")
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
