@@ -57,8 +57,8 @@ _NUMBER = (
     rf"(?:(?!{_SHAPE})(?:[\x20().-]|[0-9]++(?![A-Za-z])))*+"
 )
 LEAST_NUMBER = 6  # characters
-_SECRET_KEY = r"[A-Za-z0-9_-]{2,}+[\"']?\x20?[=:]\x20?[\"']?"
-_SECRET = rf"(?<![A-Za-z0-9_-])(?=[0-9_-]*+[A-Za-z]){_SECRET_KEY}[A-Za-z0-9+/_.-]{{6,}}+={{0,2}}+"
+_SECRET_KEY = r"[\p{L}\p{N}_-]{2,}+[\"']?\x20?[=:]\x20?[\"']?"
+_SECRET = rf"(?<![\p{{L}}\p{{N}}_-])(?=[\p{{N}}_-]*+\p{{L}}){_SECRET_KEY}[A-Za-z0-9+/_.-]{{6,}}+={{0,2}}+"
 _VALUE = rf"^{_SECRET_KEY}(.*)$"
 
 # Gazetteers.
@@ -71,6 +71,12 @@ ROUNDS = 40  # of expectation-maximisation
 KEEP_AT = 0.5
 
 
+_SPANS = "array<struct<start: int, end: int, value: string, before: string>>"
+
+# Matches that are placed together; a list is copied as often as it grows, so long ones are built of such runs.
+_RUN = 256
+
+
 def found(text: Column, pattern: str) -> Column:
     """Array of (start, end, value, before) of a pattern's leftmost matches."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -79,11 +85,11 @@ def found(text: Column, pattern: str) -> Column:
         F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("h"), g.alias("g"))),
         lambda x: x.h.isNotNull(),
     )
-    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.expr("CAST(array() AS array<struct<start: int, end: int, value: string, before: string>>)").alias("out"))
+    nothing = F.array().cast(_SPANS)
 
     def step(state: Column, x: Column) -> Column:
         start = state.at + F.char_length(x.g)
-        # Matches in a row share what stands before the first.
+        # Matches in a row share what stands before the first; null if that is in an earlier run.
         before = F.when(x.g.rlike(r"^[\x20().-]*$"), state.before).otherwise(F.right(x.g, F.lit(CONTEXT)))
         span = F.struct(
             start.alias("start"),
@@ -95,7 +101,29 @@ def found(text: Column, pattern: str) -> Column:
             (start + F.char_length(x.h)).alias("at"), before.alias("before"), F.array_append(state.out, span).alias("out")
         )
 
-    return F.aggregate(both, none, step, lambda s: s.out)
+    def placed(state: Column, run: Column) -> Column:
+        spans = F.transform(
+            run.out,
+            lambda s: F.struct(
+                (state.at + s.start).alias("start"),
+                (state.at + s.end).alias("end"),
+                s.value.alias("value"),
+                F.coalesce(s.before, state.before).alias("before"),
+            ),
+        )
+        return F.struct(
+            (state.at + run.at).alias("at"),
+            F.coalesce(run.before, state.before).alias("before"),
+            F.array_append(state.out, spans).alias("out"),
+        )
+
+    def empty(before: Column, out: Column) -> Column:
+        return F.struct(F.lit(0).alias("at"), before.cast("string").alias("before"), out.alias("out"))
+
+    firsts = F.filter(F.sequence(F.lit(1), F.size(both) + 1, F.lit(_RUN)), lambda i: i <= F.size(both))
+    runs = F.transform(firsts, lambda i: F.aggregate(F.slice(both, i, _RUN), empty(F.lit(None), nothing), step))
+    none = F.array().cast(f"array<{_SPANS}>")
+    return F.aggregate(runs, empty(F.lit(""), none), placed, lambda s: F.flatten(s.out))
 
 
 def _digits(value: Column) -> Column:
@@ -134,7 +162,7 @@ def base_spans(text: Column, kind: str) -> Column:
         spans = F.when(F.contains(text, F.lit(_NEEDS[kind])), spans)
     else:
         spans = F.when(text.rlike("[0-9]"), spans)
-    return F.coalesce(spans, F.array().cast("array<struct<start: int, end: int, value: string, before: string>>"))
+    return F.coalesce(spans, F.array().cast(_SPANS))
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
@@ -149,13 +177,13 @@ def _words(words: str) -> str:
 
 
 def _secret_votes(value: Column, hit: Column) -> list[Column]:
-    key = F.lower(F.regexp_extract(hit, "^([A-Za-z0-9_-]+)", 1))
+    key = F.lower(F.regexp_extract(hit, r"^([\p{L}\p{N}_-]+)", 1))
     n = F.length(value)
     digits = F.length(_digits(value))
     return [
         _vote(value.rlike("^(?:[0-9a-fA-F]{16,}|[A-Za-z0-9+/_-]{24,}={0,2})$"), value.rlike("^[A-Za-z.]*$|^[0-9.]{1,11}$")),
         _vote(key.rlike(rf"(?:^|[_-])(?:{_words(SECRET_KEYS)})[0-9]*$"), key.rlike(f"^(?:{_words(PLAIN_KEYS)})$")),
-        _vote(hit.rlike(r"^[A-Za-z0-9_-]+[\"']?\x20?="), hit.rlike("^[A-Za-z]+:\\x20")),
+        _vote(hit.rlike(r"^[\p{L}\p{N}_-]+[\"']?\x20?="), hit.rlike(r"^\p{L}+:\x20")),
         _vote(hit.rlike("[\"']")),
         _vote((digits * 10 >= n) & (digits * 10 <= n * 9) & (n >= 8), digits == 0),
     ]

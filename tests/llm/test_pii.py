@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -130,3 +131,32 @@ def test_spans_reach_the_end_and_neighbours_are_apart(spark):
     cards = " ".join(["4111 1111 1111 1111"] * 3)
     found = spark.createDataFrame([(cards,)], "text string").select(pii.candidates(F.col("text")).alias("c")).first().c
     assert [(c.start, c.end) for c in found] == [(0, 19), (20, 39), (40, 59)]
+
+
+def test_keys_may_hold_any_letters(spark):
+    texts = ["contraseña=Abc123xyz9qq", "mi_contraseña: 'k9f8e7d6c5b4a392'", "téléphone: rien"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.c for r in docs.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()}
+    assert [(c.kind, texts[0][c.start : c.end]) for c in got[0] if c.kind == "secret"] == [("secret", "Abc123xyz9qq")]
+    assert [texts[1][c.start : c.end] for c in got[1] if c.kind == "secret"] == ["k9f8e7d6c5b4a392"]
+
+
+def test_many_matches_are_placed_like_few(spark):
+    """Runs of matches carry their places and what stands before them over the runs' borders."""
+    rng = random.Random(4)
+    text = "".join(rng.choice(["a@b.cd", "é ", "word tel ", " ", "-", "x@y.zz "]) for _ in range(6000))
+    docs = spark.createDataFrame([(1, text), (2, "a@b.cd " * 32_000)], "doc_id bigint, text string")
+    spans = pii.found(F.col("text"), pii.BASE["email"]).alias("s")
+    started = time.monotonic()
+    got = {r.doc_id: r.s for r in docs.select("doc_id", spans).collect()}
+    assert time.monotonic() - started < 40
+    plain, before, last = [], "", 0
+    for m in re.finditer(pii.BASE["email"], text, re.A):
+        gap = text[last : m.start()]
+        if not re.fullmatch(r"[\x20().-]*", gap):
+            before = gap[-pii.CONTEXT :]
+        plain.append((m.start(), m.end(), m[0], before))
+        last = m.end()
+    assert len(plain) > 3 * pii._RUN
+    assert [tuple(s) for s in got[1]] == plain
+    assert [(s.start, s.end) for s in got[2]] == [(7 * i, 7 * i + 6) for i in range(32_000)]
