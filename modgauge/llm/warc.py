@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from modgauge.llm.text import texts
+from modgauge.operators.skew import join_keyed
 
 VERSION = b"WARC/1.1\r\n"
 CHUNK = 1 << 16
@@ -62,7 +63,8 @@ def classify(pages: DataFrame) -> DataFrame:
         .select("digest", "first")
     )
     other = F.when(F.col("page_id") != F.col("first"), F.col("first"))
-    return rows.join(firsts, "digest", "left").select(
+    # A payload that very many pages share is dealt out over tasks.
+    return join_keyed(rows, firsts, "digest", "left").select(
         "page_id", "url", "html", "digest", other.alias("refers_to")
     )
 
