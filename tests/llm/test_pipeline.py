@@ -43,7 +43,7 @@ def test_every_stage(spark, tmp_path):
     assert {r.doc_id: (r.text, r.n_chars) for r in lines} == expected
 
     order = sorted(lines, key=lambda r: r.doc_id)
-    roots = plain_components([plain_fingerprint(r.text, 5) for r in order], 4)
+    roots = plain_components([plain_fingerprint(r.text, 4) for r in order], 4)
     assert {r.doc_id for r in alone} == {order[i].doc_id for i in set(roots.values())}
 
     assert sorted(map(tuple, mixed)) == sorted(map(tuple, alone))
