@@ -18,16 +18,20 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from modgauge.llm import bpe, linededup, mixing, quality, simhash
-from modgauge.llm.text import table
+from modgauge.llm.text import free_name, table
 from modgauge.runtime import ensure_checkpoint_dir
 
 RANKS = "byte_bpe_50k.tiktoken"
 
+# Words of a shingle, and bits by which near-duplicates may differ.
+SHINGLE, BITS = 4, 4
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules and the model keep."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, model).filter("judged.kept").select(*docs.columns)
+    judged = free_name("judged", docs.columns)
+    return quality.judge(docs, model, into=judged).filter(f"{judged}.kept").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +45,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, SHINGLE, BITS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +77,10 @@ def _positions(docs: DataFrame) -> DataFrame:
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, digests of them and of the decoded bytes, and its place in the mix."""
+    """Token ids of every document, digests of them and of the decoded bytes, and its place in the mix.
+
+    The place is known only of rows that are read from files, as `run` reads them; of others it is null.
+    """
     placed = _positions(docs.select("doc_id", "text")).withColumnRenamed("_position", "mix_position")
     return bpe.digests(
         placed, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, with_ids=True, place="mix_position"
