@@ -4,8 +4,9 @@ Tokens are the words of a text, A-Z lower-cased, and one end after them.  Three
 passes over the texts, all of them whole:
 
 1. Every word is counted (maps add up locally, one shuffle).
-2. The VOCAB most frequent words, the end and one class for all others form the
-   model's vocabulary; the pairs of neighbours in it are counted over all
+2. The most frequent words, the end among them, and CLASSES classes for all other words form the
+   model's vocabulary of VOCAB; a word's class is the hash of its last bytes, so every
+   word has one, seen or not.  The pairs of neighbours in the vocabulary are counted over all
    training texts.  A log-bilinear model predicts a token from the one before it:
    score(w | v) = (R_v T) . Q_w + b_w.  It is trained in numpy by noise-contrastive
    estimation against unigram noise.  The noise is taken in expectation instead of by draws, so
@@ -13,9 +14,10 @@ passes over the texts, all of them whole:
 3. One more matrix product gives the normalised log-probabilities of all tokens
    in all contexts, which each worker builds for itself and texts are scored by.
 
-A word outside the vocabulary has the probability of its class times its share
-(count + 1) / (N' + V' + 1) in the class, so that the probabilities of all words,
-known or not, sum to 1.  Counts of the HEAD most frequent words travel to the
+A word of a class has the probability of the class times its share
+(count + 1) / (N' + V' + 1) in the class, where N' and V' are the class's training tokens and different
+words; so the probabilities of all words, known or not, sum to 1.  What is gathered of the words inside
+the classes grows with the corpus.  Counts of the HEAD most frequent words travel to the
 workers; all rarer words of a text meet their counts in a join.
 
 Null text counts as empty: one token, the end.  A null doc_id is a training row.
@@ -28,6 +30,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from modgauge.llm.text import LOWER, texts
 from modgauge.runtime import cut_lineage
 
-VOCAB = 2048  # model vocabulary, the end and the class of other words included
+VOCAB = 2048  # model vocabulary, the end and the classes of other words included
+CLASSES = 384  # classes of the words that have no place of their own
+SUFFIX = 2  # last bytes of a word that choose its class
 DIM = 32
 NOISE = 10  # noise words for each true one
 STEPS = 100
@@ -58,14 +63,14 @@ class Model:
 
     words: list[bytes]  # head, most frequent first, the end among them
     counts: np.ndarray
-    size: int  # words that belong to the vocabulary: the first of the head
+    size: int  # words that have a place of their own: the first of the head
     total: int  # N
     distinct: int  # V
     left: np.ndarray  # R T
     right: np.ndarray  # Q
     bias: np.ndarray
-    other_total: int  # N', V' of words outside the vocabulary
-    other_distinct: int
+    class_total: np.ndarray  # N', V' of the words in each class
+    class_distinct: np.ndarray
 
     def table(self) -> np.ndarray:
         """Normalised log10 probabilities, a row for each context."""
@@ -75,6 +80,29 @@ class Model:
         return ((scores - log_sum) / np.log(10)).astype(np.float64)
 
 
+class _Places(dict):
+    """Place of a word in the vocabulary: its own, or behind all of those, its class's."""
+
+    def __init__(self, words: list[bytes], classes: int):
+        super().__init__((word, i) for i, word in enumerate(words))
+        self.first, self.classes, self.by_suffix = len(words), classes, {}
+
+    def of(self, word: bytes) -> int:
+        place = self.get(word)
+        if place is None:
+            suffix = word[-SUFFIX:]
+            place = self.by_suffix.get(suffix)
+            if place is None:  # at most 256 ** SUFFIX entries
+                place = self.by_suffix[suffix] = self.first + crc32(suffix) % self.classes
+        return place
+
+
+def _class(token: Column, classes: int) -> Column:
+    """As _Places does for a word without a place of its own."""
+    n = F.octet_length(token)
+    return F.crc32(F.when(n <= SUFFIX, token).otherwise(F.substring(token, n - SUFFIX + 1, F.lit(SUFFIX)))) % classes
+
+
 def is_held_out(doc_id: Column) -> Column:
     """Fixed rule: crc32 of the id as text leaves 2 modulo 7."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -123,23 +151,25 @@ def _head(counts: DataFrame) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r.token), r.n) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
-def pair_counts(docs: DataFrame, vocabulary: dict[bytes, int], size: int) -> DataFrame:
-    """(code, n): neighbours v, w in the vocabulary, code = v * size + w.
+def pair_counts(docs: DataFrame, words: list[bytes], classes: int) -> DataFrame:
+    """(code, n): neighbours v, w in the vocabulary of words and classes, code = v * its size + w.
 
-    The class of other words is size - 1, and the end stands before every first word.
+    The end stands before every first word.
     """
+    size = len(words) + classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, other, end = vocabulary.get, size - 1, vocabulary[END]
+        places = _Places(words, classes)
+        known, end = places.of, places[END]
         seen = np.zeros(size * size, np.int64)
         codes, waiting = [], 0
         for batch in batches:
             for text in texts(batch.column(0)):
-                words = text.translate(LOWER).split()
-                line = np.full(len(words) + 2, end, np.int64)
-                line[1:-1] = [known(word, other) for word in words]
+                words_of = text.translate(LOWER).split()
+                line = np.full(len(words_of) + 2, end, np.int64)
+                line[1:-1] = [known(word) for word in words_of]
                 codes.append(line[:-1] * size + line[1:])
-                waiting += len(words)
+                waiting += len(words_of)
                 if waiting > _LOCAL:
                     seen += np.bincount(np.concatenate(codes), minlength=size * size)
                     codes, waiting = [], 0
@@ -196,14 +226,22 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     total, distinct = totals[0] or 0, totals[1]
     head = _head(counts)
     words = [word for word, _ in head]
-    if END in words[VOCAB - 1 :] or END not in words:  # the end always belongs
+    chosen = max(1, min(VOCAB - CLASSES, len(words)))
+    if END not in words[:chosen]:  # the end always belongs
         ends = counts.filter(F.col("token") == F.lit(END)).select("n").first()
         head = [(END, ends[0] if ends else 0), *[x for x in head if x[0] != END]]
         words = [word for word, _ in head]
     number = np.array([n for _, n in head], np.int64)
-    chosen = min(VOCAB - 1, len(words))
-    vocabulary = {word: i for i, word in enumerate(words[:chosen])}
-    size = chosen + 1
+    size = chosen + CLASSES
+    # All words by class, less those that have a place of their own.
+    class_total, class_distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    sums = counts.groupBy(_class(F.col("token"), CLASSES).alias("class")).agg(F.sum("n"), F.count("*"))
+    for row in sums.collect():  # a row a class
+        class_total[row[0]], class_distinct[row[0]] = row[1], row[2]
+    for word, n in head[:chosen]:
+        if n:
+            class_total[crc32(word[-SUFFIX:]) % CLASSES] -= n
+            class_distinct[crc32(word[-SUFFIX:]) % CLASSES] -= 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(size * size)
@@ -215,7 +253,7 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
         yield pa.RecordBatch.from_pydict({k: [v.tobytes()] for k, v in zip(names, found, strict=True)})
 
     # At most size * size rows, whatever the corpus, so one task can hold them.
-    table = pair_counts(docs, vocabulary, size).repartition(1)
+    table = pair_counts(docs, words[:chosen], CLASSES).repartition(1)
     row = table.mapInArrow(run, "left binary, right binary, bias binary").first()
     if row is None:  # no training rows
         left, right, bias = fit(np.zeros((size, size)))
@@ -230,19 +268,20 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
         left.reshape(size, DIM),
         right.reshape(size, DIM),
         bias,
-        total - int(number[:chosen].sum()),
-        distinct - int((number[:chosen] > 0).sum()),
+        class_total,
+        class_distinct,
     )
 
 
 def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     words, number, chosen = model.words, model.counts, model.size
-    other_scale = float(np.log10(model.other_total + model.other_distinct + 1))
+    class_scale = np.log10(model.class_total + model.class_distinct + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {word: i for i, word in enumerate(words)}
-        get, end, other = known.get, known[END], chosen
+        places = _Places(words[:chosen], len(class_scale))
+        get, place, end = known.get, places.of, known[END]
         logs = np.append(np.log10(number + 1.0), 0.0)  # the last: not in the head
         positive = np.append(number > 0, False)
         table = model.table()
@@ -255,10 +294,11 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 line[1:-1] = [get(word, -1) for word in found]
                 heads = line[1:]
                 rare = heads < 0
-                outside = rare | (heads >= chosen)
-                ids = np.where(line < 0, other, np.minimum(line, other))
+                ids = np.full(len(line), end, np.int64)
+                ids[1:-1] = [place(word) for word in found]
+                classed = ids[1:] >= chosen
                 model_score = table[ids[:-1], ids[1:]].sum()
-                model_score += logs[heads[outside]].sum() - other_scale * outside.sum()
+                model_score += logs[heads[classed]].sum() - class_scale[ids[1:][classed] - chosen].sum()
                 rows.append(row)
                 keys.append(b" %d" % row)
                 repeats.append(0)

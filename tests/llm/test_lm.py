@@ -79,6 +79,46 @@ def test_model_is_normalised_and_learns_pairs(spark):
     assert np.allclose(table.sum(axis=1), 1)
     at = {w: i for i, w in enumerate(model.words)}
     assert table[at[b"red"], at[b"green"]] > 0.8
-    # The class of other words shares its mass out completely.
-    shares = [(n + 1) / (model.other_total + model.other_distinct + 1) for n in model.counts[model.size :]]
-    assert math.isclose(sum(shares) + 1 / (model.other_total + model.other_distinct + 1), 1)
+
+
+def test_score_by_definition(spark, monkeypatch):
+    """Every document's score from the model's table and plain counts; all words of a class share its mass."""
+    monkeypatch.setattr(lm, "HEAD", 30)
+    monkeypatch.setattr(lm, "VOCAB", 26)
+    monkeypatch.setattr(lm, "CLASSES", 6)
+    words = [f"{stem}{end}" for stem in ("a", "be", "cu", "do", "é") for end in ("ing", "er", "", "s", "一")]
+    rows = [(i, " ".join(words[(i * 7 + j * j) % 25] for j in range(i % 23)) + (" unheard" if i % 5 == 0 else "")) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    train = Counter()
+    for doc_id, text in rows:
+        if not held(doc_id):
+            train.update(t.encode() for t in tokens(text))
+    training = docs.filter(~lm.is_held_out(docs.doc_id))
+    counts = lm.word_counts(training)
+    model = lm.train(training, counts)
+    table, own = model.table(), {w: i for i, w in enumerate(model.words[: model.size])}
+    assert model.size == 20 and len(table) == 26
+
+    def class_of(word):
+        return zlib.crc32(word[-2:]) % 6
+
+    inside = [[n for w, n in train.items() if w not in own and class_of(w) == c] for c in range(6)]
+    assert [sum(x) for x in inside] == model.class_total.tolist()
+    assert [len(x) for x in inside] == model.class_distinct.tolist()
+    # With what is kept for words never seen, a class shares its mass out completely.
+    for x in inside:
+        assert math.isclose(sum(n + 1 for n in x) + 1, sum(x) + len(x) + 1)
+
+    def place(word):
+        return own[word] if word in own else model.size + class_of(word)
+
+    for r in lm.score(docs, counts, model).collect():
+        before, total = b"\n", 0.0
+        for t in tokens(dict(rows)[r.doc_id]):
+            t = t.encode()
+            total += table[place(before), place(t)]
+            if t not in own:
+                c = inside[class_of(t)]
+                total += math.log10((train[t] + 1) / (sum(c) + len(c) + 1))
+            before = t
+        assert math.isclose(r.score, total, rel_tol=1e-9, abs_tol=1e-9)
