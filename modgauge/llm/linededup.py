@@ -4,16 +4,16 @@ A line is the set of its shingles of WIDTH words (fewer words: the line itself i
 lower-cased.  A line is removed if an earlier line, in the order of (doc_id, line
 number), has a Jaccard similarity of 4/5 or more with it.
 
-1. Tokens are counted over all lines, in BUCKETS hashed counters, which give every token a
+1. Shingles are counted over all lines, in BUCKETS hashed counters, which give every token a
    rarity; ties are broken by the token, so all lines share one order.
-2. Lines of equal sets are one class from here on, named by its first line.
+2. Lines of the same words are one class from here on, named by its first line; the others go.
 3. Two sets of n tokens can only reach 4/5 if they share one of the n - ceil(4n/5) + 1 rarest.
    Classes emit these prefixes, and tokens that only one class emits drop out at once.
-4. Every class is compared with the first class at each of its tokens.  That is linear, and settles large
-   groups of near copies, for which all pairs would be the square of the group.
-   Only classes it does not settle go on to all earlier classes at their tokens.
-5. Pairs pass the length and positional filters, and are then verified on whole
-   token sets, which are computed for these lines alone.
+4. Every class is compared with one class that comes first at some of its tokens: that which does so at most
+   of them.  That is linear, and settles large groups of near copies, for which all pairs would be the square
+   of the group.  Only classes it does not settle go on to all earlier classes at their tokens.
+5. Pairs pass the length and positional filters and a bound by the tokens their prefixes share, and
+   are then verified on whole token sets, from the text of the two lines.
 
 Blank lines have no tokens and stay.  Null text stays null.  Null doc_id comes last in the order.
 Rows that repeat doc_id and text are judged alike, as one document.  Empty tables
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from modgauge.runtime import cut_lineage, ensure_checkpoint_dir
 
@@ -34,93 +34,119 @@ BUCKETS = 1 << 16
 
 _NUM, _DEN = SIMILAR
 _LAST = (1 << 63) - 1
-_KEY = ("doc", "rid", "no")
+_KEY = ("doc", "no", "rid")
 
+# A ranked token: its rarity in the upper bits, above these of the token.
+_RARE_BITS = 56
+
+
+def _word_hashes(line: Column) -> Column:
+    plain = F.lower(line)
+    for space in "\t\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(space), F.lit(" "))
+    return F.transform(F.array_remove(F.split(plain, " "), ""), lambda w: F.xxhash64(w))
+
+
+def _shingles(words: Column, width: int) -> Column:
+    """Hashed shingles of an array of word hashes, repeats included."""
+    n = F.greatest(F.size(words) - width + 1, F.lit(1))
+    # Each shingle is a struct; those beyond the last word are null and leave the hash as it is.
+    runs = F.arrays_zip(*[F.slice(words, j + 1, n) for j in range(width)])
+    return F.transform(runs, lambda run: F.xxhash64(run))
 
-def line_tokens(line: Column, width: int = WIDTH) -> Column:
-    """Distinct hashed shingles of a line that has words."""
-    plain = F.translate(F.lower(line), "\t\x0b\x0c\r", "    ")
-    words = F.transform(F.array_remove(F.split(plain, " "), ""), lambda w: F.xxhash64(w))
 
-    def shingles(w: Column) -> Column:
-        last = F.size(w) - width
-        each = F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i: F.xxhash64(*[w[i + j] for j in range(width)]),
-        )
-        return F.when(last <= 0, F.array(F.xxhash64(w))).otherwise(each)
+def _set(words: Column, width: int) -> Column:
+    return F.array_distinct(_shingles(words, width))
 
+
+def line_tokens(line: Column, width: int = WIDTH) -> Column:
+    """Distinct hashed shingles of a line that has words."""
     # The words are bound once, not computed again for every shingle.
-    return F.array_distinct(F.transform(F.array(words), shingles)[0])
+    return F.transform(F.array(_word_hashes(line)), lambda words: _set(words, width))[0]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, rid, no, line): every line with a word."""
     return (
-        docs.select(
-            F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"),
-            F.xxhash64("text").alias("rid"),
-            F.posexplode(F.split("text", "\n")).alias("no", "line"),
-        )
+        _keyed(docs)
+        .select("doc", "rid", F.posexplode(F.split("text", "\n")).alias("no", "line"))
         .filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc, rid, text) of every row."""
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("rid"), "text"
+    )
+
+
+def _bucket(token: Column) -> Column:
+    return F.shiftrightunsigned(token, 48).cast("int")
+
+
 def _rarity(lines: DataFrame, width: int) -> Column:
-    """A literal array of BUCKETS small numbers: eight for each doubling of the count.
+    """A literal array of BUCKETS upper halves of ranked tokens: eight levels for each doubling of the count.
 
     Higher-order functions take no subquery, so the counters, whose number is fixed,
     pass through the driver.
     """
-    tokens = lines.select(F.explode(line_tokens(F.col("line"), width)).alias("t"))
-    counts = tokens.groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("at")).agg(
-        F.floor(8 * F.log2(F.count("*"))).cast("int").alias("level")
+    words = lines.select(_word_hashes(F.col("line")).alias("words"))
+    last = F.greatest(F.size("words") - width, F.lit(0))
+    starts = words.select("words", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    token = F.xxhash64(*[F.get("words", F.col("i") + j) for j in range(width)])
+    counts = starts.groupBy(_bucket(token).alias("at")).agg(
+        F.least(F.floor(8 * F.log2(F.count("*"))), F.lit(255)).cast("int").alias("level")
     )
     levels = [0] * BUCKETS
     for row in counts.collect():
         levels[row["at"]] = row.level
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
+    upper = ",".join(str((level - 128) << _RARE_BITS) for level in levels)
+    return F.split(F.lit(upper), ",").cast("array<bigint>")
+
+
+def _written(table: DataFrame, name: str) -> DataFrame:
+    spark = table.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4()}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
 
+def _least(n: Column) -> Column:
+    """Tokens that a set of n shares at least with a similar one."""
+    return F.floor((n * _NUM + _DEN - 1) / _DEN).cast("int")
 
-def _line_table(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, rid, no, k1, k2, n, prefix) of every line, written once.
 
-    (k1, k2) is a 128-bit hash of the token set, prefix its rarest tokens.
+def _class_table(docs: DataFrame, width: int) -> DataFrame:
+    """(k1, k2, lines, doc, no, rid, n, prefix) of every class of lines, written once.
+
+    (k1, k2) is a 128-bit hash of the words, lines counts the class, prefix holds its rarest tokens, ranked.
     """
     lines = _lines(docs)
     rarity = _rarity(lines, width)
-    tokens = lines.select(*_KEY, line_tokens(F.col("line"), width).alias("tokens"))
-    # By set: sorted by rarity and token, whose order is the same for all lines.
-    ranked = F.array_sort(
-        F.transform("tokens", lambda t: F.struct(rarity[F.pmod(t, F.lit(BUCKETS)).cast("int")].alias("f"), t.alias("t")))
-    )
-    ordered = tokens.withColumn("ranked", F.transform(ranked, lambda x: x.t))
-    n = F.size("ranked")
-    least = F.floor((n * _NUM + _DEN - 1) / _DEN).cast("int")
-    table = ordered.select(
-        *_KEY,
-        F.xxhash64("ranked").alias("k1"),
-        F.xxhash64(F.lit(1), "ranked").alias("k2"),
-        n.alias("n"),
-        F.slice("ranked", F.lit(1), n - least + 1).alias("prefix"),
+    words = lines.select(*_KEY, _word_hashes(F.col("line")).alias("words"))
+    sets = words.select(*_KEY, *_word_key(F.col("words")), _set(F.col("words"), width).alias("tokens"))
+    lower = F.lit((1 << _RARE_BITS) - 1)
+    ranked = F.sort_array(
+        F.transform("tokens", lambda t: F.get(rarity, _bucket(t)).bitwiseOR(t.bitwiseAND(lower)))
     )
-    return _written(table, "lines")
+    n = F.size("tokens")
+    ranked = sets.select(*_KEY, "k1", "k2", n.alias("n"), F.slice(ranked, F.lit(1), n - _least(n) + 1).alias("prefix"))
+    first = F.min(F.struct(*_KEY, "n", "prefix")).alias("f")
+    classes = ranked.groupBy("k1", "k2").agg(first, F.count("*").alias("lines"))
+    return _written(classes.select("k1", "k2", "lines", "f.*"), "classes")
 
 
-def _written(table: DataFrame, name: str) -> DataFrame:
-    spark = table.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4()}"
-    table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
+def _word_key(words: Column) -> list[Column]:
+    return [F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(1), words).alias("k2")]
 
 
 def _order(prefix: str = "") -> Column:
-    return F.struct(*[F.col(prefix + c) for c in ("doc", "no", "rid")])
+    return F.struct(*[F.col(prefix + c) for c in _KEY])
 
 
-def _close(x: str, y: str) -> Column:
+def _close(nx: Column, px: Column, ny: Column, py: Column) -> Column:
     """Length and positional filter on two postings of one token."""
-    nx, ny, px, py = (F.col(f"{a}.{c}") for c in ("n", "pos") for a in (x, y))
     most = F.least(px, py) + 1 + F.least(nx - px, ny - py) - 1
     return (
         (F.least(nx, ny) * _DEN >= F.greatest(nx, ny) * _NUM)
@@ -128,96 +154,100 @@ def _close(x: str, y: str) -> Column:
     )
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    return found.select(
-        *[F.col(f"x.{c}").alias(f"x_{c}") for c in _KEY], *[F.col(f"y.{c}").alias(f"y_{c}") for c in _KEY]
-    ).distinct()
-
+def _pairs(meetings: DataFrame) -> DataFrame:
+    """(x_doc, ..., y_doc, ..., shared) of rows that give a token two classes share and their sizes.
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(doc, rid, no) of the lines x of pairs whose sets are similar."""
-    x = sets.toDF(*[f"x_{c}" for c in _KEY], "x_tokens")
-    y = sets.toDF(*[f"y_{c}" for c in _KEY], "y_tokens")
+    Common tokens outside one of the prefixes number no more than lie behind the prefix of that class.
+    """
+    sides = [f"{a}_{c}" for a in "xy" for c in _KEY]
+    nx, ny = F.col("x_n"), F.col("y_n")
+    pairs = meetings.groupBy(*sides, "x_n", "y_n").agg(F.count("*").alias("shared"))
+    most = F.col("shared") + _least(F.greatest(nx, ny)) - 1
+    return pairs.filter(most * (_NUM + _DEN) >= (nx + ny) * _NUM).select(*sides, "shared")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(doc, no, rid) of the lines x of pairs whose sets are similar, written once."""
+    pairs = _written(pairs, "pairs")
+    needed = pairs.select(*[F.col(f"x_{c}").alias(c) for c in _KEY]).unionByName(
+        pairs.select(*[F.col(f"y_{c}").alias(c) for c in _KEY])
+    )
+    texts = _keyed(docs).filter(_may_hold(needed, "doc", "rid"))
+    lines = texts.select("doc", "rid", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    # Rows that repeat doc_id and text repeat their lines.
+    lines = lines.filter(_may_hold(needed, *_KEY)).select(*_KEY, "line").dropDuplicates(list(_KEY))
+    x = lines.toDF(*[f"x_{c}" for c in _KEY], "x_line")
+    y = lines.toDF(*[f"y_{c}" for c in _KEY], "y_line")
+    found = pairs.join(x, [f"x_{c}" for c in _KEY]).join(y, [f"y_{c}" for c in _KEY])
+    found = found.select(
+        *[F.col(f"x_{c}").alias(c) for c in _KEY],
+        *[line_tokens(F.col(f"{a}_line"), width).alias(f"{a}_tokens") for a in "xy"],
+    )
     both = F.size(F.array_intersect("x_tokens", "y_tokens"))
     total = F.size("x_tokens") + F.size("y_tokens")
-    return (
-        pairs.join(x, [f"x_{c}" for c in _KEY])
-        .join(y, [f"y_{c}" for c in _KEY])
-        .filter(both * (_NUM + _DEN) >= total * _NUM)
-        .select(*[F.col(f"x_{c}").alias(c) for c in _KEY])
-        .distinct()
-    )
+    similar = found.filter(both * (_NUM + _DEN) >= total * _NUM)
+    return _written(similar.select(*_KEY).distinct(), "matched")
 
 
-def _may_hold(keys: DataFrame, *names: str) -> Column:
-    """A condition that rows with these keys meet, and few others: a bit set of fixed size.
+def _may_hold(keys: DataFrame, *names: str, words: int = BUCKETS) -> Column:
+    """A condition that rows with these keys meet, and few others: a bit set of `words` longs.
 
     It only spares a shuffle rows that an exact join would drop; when there are too many keys it
     drops fewer.
     """
-    bit = f"pmod(xxhash64({', '.join(names)}), {BUCKETS * 64})"
+    bit = f"pmod(xxhash64({', '.join(names)}), {words * 64})"
     at, mask = F.expr(f"{bit} DIV 64"), F.expr(f"shiftleft(1L, CAST({bit} % 64 AS INT))")
     bits = keys.select(at.alias("at"), mask.alias("m")).groupBy("at").agg(F.bit_or("m").alias("n"))
-    every = keys.sparkSession.range(BUCKETS).select(F.col("id").alias("at"), F.lit(0).cast("bigint").alias("n"))
+    every = keys.sparkSession.range(words).select(F.col("id").alias("at"), F.lit(0).cast("bigint").alias("n"))
     rows = bits.unionByName(every).groupBy("at").agg(F.bit_or("n").alias("n"))
-    words = F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x.n)
-    word = cut_lineage(rows.agg(words.alias("n")))[0].scalar()
+    sets = F.sort_array(F.collect_list(F.struct("at", "n"))).n
+    word = cut_lineage(rows.agg(sets.alias("n")))[0].scalar()
     return word[at.cast("int")].bitwiseAND(mask) != 0
 
 
-def _token_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """(doc, rid, no, tokens) of the lines in `needed`."""
-    lines = docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"),
-        F.xxhash64("text").alias("rid"),
-        "text",
-    ).filter(_may_hold(needed, "doc", "rid"))
-    lines = lines.select("doc", "rid", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    lines = lines.filter(_may_hold(needed, *_KEY))
-    held = lines.join(needed.select(*_KEY), list(_KEY)).dropDuplicates(list(_KEY))
-    return held.select(*_KEY, line_tokens(F.col("line"), width).alias("tokens"))
+def _postings(classes: DataFrame) -> DataFrame:
+    """(token, doc, no, rid, n, pos, y_doc, ..., y_pos), written once: classes at the tokens that several
+    emit, and the first class there.
+    """
+    postings = classes.select(*_KEY, "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = postings.groupBy("token").count().filter("count > 1").select("token")
+    shared = _written(shared, "shared")
+    postings = postings.filter(_may_hold(shared, "token", words=4 * BUCKETS)).join(shared, "token", "left_semi")
+    first = F.first(F.struct(*_KEY, "n", "pos")).over(Window.partitionBy("token").orderBy(*_KEY))
+    postings = postings.withColumn("first", first)
+    leader = [F.col(f"first.{c}").alias(f"y_{c}") for c in (*_KEY, "n", "pos")]
+    return _written(postings.select("token", *_KEY, "n", "pos", *leader), "postings")
 
 
 def removed_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc, rid, no) of every line that has an earlier match."""
-    table = _line_table(docs, width)
-    first = F.min(F.struct("doc", "no", "rid", "n", "prefix"))
-    classes = table.groupBy("k1", "k2").agg(first.alias("f")).select("k1", "k2", "f.*")
-    classes = _written(classes, "classes")
-    postings = classes.select(*_KEY, "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").count().filter("count > 1").select("token")
-    shared = cut_lineage(shared)[0]
-    postings = postings.filter(_may_hold(shared, "token")).join(shared, "token", "left_semi")
-    postings = cut_lineage(postings)[0]
-    needed = cut_lineage(postings.select(*_KEY).distinct())[0]
-    sets = cut_lineage(_token_sets(docs, needed, width))[0]
-
-    leaders = postings.groupBy("token").agg(F.min(F.struct("doc", "no", "rid", "n", "pos")).alias("f"))
-    leaders = leaders.select("token", "f.*")
-    x, y = postings.alias("x"), leaders.alias("y")
-    pairs = _pairs(
-        x.join(y, F.col("x.token") == F.col("y.token")).filter((_order("y.") < _order("x.")) & _close("x", "y"))
-    )
-    settled = cut_lineage(_verified(pairs, sets))[0]
-    open_ = postings.join(settled, list(_KEY), "left_anti").alias("x")
-    pairs = _pairs(
-        open_.join(postings.alias("y"), F.col("x.token") == F.col("y.token")).filter(
-            (_order("y.") < _order("x.")) & _close("x", "y")
-        )
-    )
-    matched = settled.unionByName(_verified(pairs, sets)).withColumn("gone", F.lit(True))
-    matched = cut_lineage(matched)[0]
-    # All lines of a matched class go, of another all but its first.
-    named = classes.select("k1", "k2", *_KEY).join(matched, list(_KEY), "left")
-    named = named.select("k1", "k2", *[F.col(c).alias(f"f_{c}") for c in _KEY], "gone")
-    later = F.struct("doc", "no", "rid") != F.struct("f_doc", "f_no", "f_rid")
-    return (
-        table.select("k1", "k2", *_KEY)
-        .join(named, ["k1", "k2"])
-        .filter(F.coalesce("gone", F.lit(False)) | later)
-        .select(*_KEY)
-        .distinct()
-    )
+    classes = _class_table(docs, width)
+    postings = _postings(classes)
+    x = [F.col(c).alias(f"x_{c}") for c in (*_KEY, "n")]
+    y = [f"y_{c}" for c in (*_KEY, "n")]
+    ends = [F.col(c) for c in ("n", "pos", "y_n", "y_pos")]
+    pairs = _pairs(postings.filter((_order("y_") < _order()) & _close(*ends)).select(*x, *y))
+    most = F.struct(-F.col("shared"), *[f"y_{c}" for c in _KEY])
+    best = pairs.groupBy(*[f"x_{c}" for c in _KEY]).agg(F.min(most).alias("y"))
+    best = best.select(*[f"x_{c}" for c in _KEY], *[f"y.y_{c}" for c in _KEY])
+    settled = _verified(best, docs, width)
+
+    all_ = postings.select("token", *_KEY, "n", "pos")
+    open_ = all_.join(settled, list(_KEY), "left_anti").select(all_.columns)
+    open_, all_ = (rows.toDF("token", *[f"{a}_{c}" for c in all_.columns[1:]]) for a, rows in (("x", open_), ("y", all_)))
+    ends = [F.col(c) for c in ("x_n", "x_pos", "y_n", "y_pos")]
+    meet = open_.join(all_, "token").filter((_order("y_") < _order("x_")) & _close(*ends))
+    pairs = _pairs(meet.select(*[f"x_{c}" for c in (*_KEY, "n")], *y)).drop("shared")
+    matched = settled.unionByName(_verified(pairs, docs, width))
+
+    # All lines of a class but its first go, and the first of a matched class.
+    several = classes.filter("lines > 1").select("k1", "k2", F.struct(*_KEY).alias("first"))
+    words = _lines(docs).select(*_KEY, _word_hashes(F.col("line")).alias("words"))
+    # Generated, so that the filter is not pushed below the hashes and computes them again.
+    keys = words.select(*_KEY, F.inline(F.array(F.struct(*_word_key(F.col("words"))))))
+    later = keys.filter(_may_hold(several, "k1", "k2")).join(several, ["k1", "k2"])
+    later = later.filter(F.struct(*_KEY) != F.col("first")).select(*_KEY)
+    return later.unionByName(matched).select("doc", "rid", "no").distinct()
 
 
 def _by_document(docs: DataFrame, width: int) -> DataFrame:
