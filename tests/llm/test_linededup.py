@@ -1,9 +1,11 @@
 """Line dedup against all pairs of lines."""
 
 import random
+from pathlib import Path
 
 from conftest import TESTDATA
 from modgauge.llm import linededup, queries
+from modgauge.runtime import ensure_checkpoint_dir
 
 
 def token_set(line, width=5):
@@ -82,3 +84,25 @@ def test_near_copies_and_odd_rows(spark):
     assert sorted(map(tuple, cleaned.collect()), key=key) == sorted(expected, key=key)
     assert linededup.dedup(frame.limit(0)).collect() == []
     assert linededup.report(frame.limit(0)).collect() == []
+
+
+def test_tables_kept_on_disk_stay_below_the_text(spark):
+    """Every line shares shingles with a neighbour, and one in five pairs is similar."""
+    rng = random.Random(11)
+    lines = []
+    for i in range(24_000):
+        if i % 2:
+            kept = 56 if i % 10 == 1 else 40
+            lines.append([*lines[-1][:kept], *(str(rng.random()) for _ in range(60 - kept))])
+        else:
+            lines.append([str(rng.randrange(10**5)) for _ in range(60)])
+    docs = [(i, "\n".join(" ".join(x) for x in lines[10 * i : 10 * i + 10])) for i in range(2_400)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = held()
+    rows = linededup.report(frame).collect()
+    assert held() - before < sum(len(text) for _, text in docs)
+    gone = plain_removed(docs)
+    assert gone
+    assert {r.doc_id: r.removed for r in rows} == {d: ",".join(map(str, sorted(gone.get((d, t), ())))) for d, t in docs}
