@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from modgauge.llm.text import BLOCK_BYTES, SPACE, blocks, flat, texts
+from modgauge.llm.text import SPACE, blocks, flat, texts
 
 # Fixed values of the rules.
 LEAST_WORDS = 20
@@ -39,6 +39,9 @@ TRAIN_BYTES = 16 << 20
 # Slots of training texts that are in memory as products at a time.
 _SLOTS = 1 << 18
 
+# Bytes of text that are judged at a time: numpy holds about a hundred times as much meanwhile.
+JUDGE_BYTES = 1 << 18
+
 GROUP_SIZE = 1 << 16
 GROUPS = 4
 SCALE = 4.0
@@ -80,7 +83,7 @@ class _Powers:
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             inverse = pow(_BASE, -1, 1 << 64)
-            size = max(n, 2 * BLOCK_BYTES)
+            size = max(n, 2 * JUDGE_BYTES)
             for name, base in (("up", _BASE), ("down", inverse)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
@@ -217,30 +220,37 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _fit(rows: list[tuple[int, bytes, int]], good_share: float) -> Model:
-    """Full-batch Adam on three rows of four, calibration on the others."""
+    """Full-batch Adam on three rows of four, calibration on the others.  Empties `rows`."""
     rows.sort()
     held = np.arange(len(rows)) % 4 == 3
     label = np.array([quality for _, _, quality in rows], float)
-    features = [_features(text) for _, text, _ in rows]
-    sizes = np.array([len(slots) for slots, _ in features])
+    # Slots and shares of all rows, one after another.  A text has fewer n-grams than this, and room that is
+    # not written to takes no memory; arrays of this size go back to the system when the model is done.
+    room = sum(3 * len(text) + 2 for _, text, _ in rows)
+    slots, shares = np.empty(room, np.int32), np.empty(room, np.float32)
+    ends = np.zeros(len(rows) + 1, np.int64)
+    for i, (_, text, _) in enumerate(rows):
+        own, part = _features(text)
+        ends[i + 1] = ends[i] + len(own)
+        slots[ends[i] : ends[i + 1]], shares[ends[i] : ends[i + 1]] = own, part
+    rows.clear()
     # Runs of rows of about _SLOTS slots: only one run's products are in memory at a time.
-    run = np.cumsum(sizes) // _SLOTS
-    edges = np.flatnonzero(np.diff(run, prepend=-1, append=run[-1] + 1))
-    chunks = []
-    for first, last in zip(edges[:-1], edges[1:], strict=True):
-        owner = np.repeat(np.arange(first, last, dtype=np.int32), sizes[first:last])
-        slots, shares = (np.concatenate([f[i] for f in features[first:last]]) for i in (0, 1))
-        chunks.append((owner, slots, shares))
-    del features
+    run = ends[1:] // _SLOTS
+    edges = np.flatnonzero(np.diff(run, prepend=-1, append=run[-1] + 1)).tolist()
+
+    def runs() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for first, last in zip(edges[:-1], edges[1:], strict=True):
+            owner = np.repeat(np.arange(first, last, dtype=np.int32), np.diff(ends[first : last + 1]))
+            yield owner, slots[ends[first] : ends[last]], shares[ends[first] : ends[last]]
 
     def sums(weights: np.ndarray) -> np.ndarray:
-        z = np.zeros(len(rows))
-        for owner, slots, shares in chunks:
-            z += np.bincount(owner, shares * weights[slots], len(rows))
+        z = np.zeros(len(label))
+        for owner, at, share in runs():
+            z += np.bincount(owner, share * weights[at], len(label))
         return z
 
     # Every class weighs the same while the weights are fitted.
-    balance = np.zeros(len(rows))
+    balance = np.zeros(len(label))
     for side in (0, 1):
         chosen = (label == side) & ~held
         balance[chosen] = 0.5 / max(1, chosen.sum())
@@ -249,15 +259,15 @@ def _fit(rows: list[tuple[int, bytes, int]], good_share: float) -> Model:
     for step in range(1, EPOCHS + 1):
         error = balance * (_sigmoid(sums(weights)) - label)
         gradient = np.zeros_like(weights)
-        for owner, slots, shares in chunks:
-            gradient += np.bincount(slots, shares * error[owner], len(weights))
+        for owner, at, share in runs():
+            gradient += np.bincount(at, share * error[owner], len(weights))
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
         rate = 0.3 / (1 + step / 20)
         weights -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     z = sums(weights)
     # Platt scaling on the held-out rows, weighted to the shares of all labels.
-    check = held if len(set(label[held])) == 2 else np.ones(len(rows), bool)
+    check = held if len(set(label[held])) == 2 else np.ones(len(label), bool)
     z, label = z[check], label[check]
     share = np.where(label == 1, good_share, 1 - good_share)
     sizes = np.where(label == 1, (label == 1).sum(), (label == 0).sum())
@@ -343,16 +353,8 @@ def judge(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(at)
-            data, offsets = flat(column)
-            parts = []
-            for first, last in blocks(offsets):
-                start, end = offsets[first], offsets[last]
-                parts.append(_judged(data[start:end], offsets[first : last + 1] - start, model, keep_at))
-            arrays = [
-                pa.array(np.concatenate([p[i] for p in parts]) if parts else [], fields.types[i])
-                for i in range(len(fields))
-            ]
+            found = _judged_column(batch.column(at), model, keep_at)
+            arrays = [pa.array(values, field.type) for values, field in zip(found, fields, strict=True)]
             judged = pa.StructArray.from_arrays(arrays, fields=list(fields))
             yield pa.RecordBatch.from_arrays([*batch.columns, judged], [*columns, into])
 
@@ -361,6 +363,16 @@ def judge(
     return docs.mapInArrow(run, f"{schema}, `{into}` struct<{inner}>")
 
 
+def _judged_column(column: pa.Array, model: Model | None, keep_at: float) -> list[np.ndarray]:
+    """The columns of RESULT for a column of texts, a block at a time."""
+    data, offsets = flat(column)
+    parts = []
+    for first, last in blocks(offsets, JUDGE_BYTES):
+        start, end = offsets[first], offsets[last]
+        parts.append(_judged(data[start:end], offsets[first : last + 1] - start, model, keep_at))
+    return [np.concatenate(values) for values in zip(*parts, strict=True)] or [[]] * len(RESULT.split(", "))
+
+
 def _judged(data, offsets, model, keep_at) -> list[np.ndarray]:
     block = Block(data, offsets)
     n_words = np.diff(block.words)

@@ -2,7 +2,10 @@
 
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
@@ -101,3 +104,32 @@ def test_a_column_may_be_called_judged(spark):
     docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet").selectExpr("*", "1 AS judged", "2 AS Judged_")
     kept = corpus_pipeline.keep_good(spark, docs, f"{TESTDATA}/sf0.001")
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
+MEMORY = """
+import random
+from pathlib import Path
+import numpy as np, pyarrow as pa
+from modgauge.llm import quality
+
+def held(name):
+    return int(Path("/proc/self/status").read_text().split(name + ":")[1].split()[0]) / 1024
+
+rng = random.Random(4)
+words = [f"{rng.randrange(10**7)}" for _ in range(40_000)]
+texts = [" ".join(rng.choices(words, k=450)) for _ in range(2000)]
+column, model = pa.array(texts), quality.Model(np.ones(quality.GROUPS * quality.GROUP_SIZE, np.float32), 1.0, 0.0)
+start = held("VmHWM")
+quality._judged_column(column, model, 0.5)
+print(held("VmHWM") - start)
+quality._fit([(i, t.encode(), i % 2) for i, t in enumerate(texts)], 0.5)
+print(held("VmHWM") - start)
+"""
+
+
+def test_memory_of_training_and_judging():
+    """A worker holds a block's numbers, or little more than the n-grams of 7 MB of training texts."""
+    root = Path(__file__).parents[2]
+    out = subprocess.run([sys.executable, "-c", MEMORY], cwd=root, capture_output=True, text=True, check=True).stdout
+    judged, trained = map(float, out.split())
+    assert judged < 60 and trained < 190
