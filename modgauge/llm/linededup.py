@@ -12,8 +12,11 @@ number), has a Jaccard similarity of 4/5 or more with it.
 4. Every class is compared with one class that comes first at some of its tokens: that which does so at most
    of them.  That is linear, and settles large groups of near copies, for which all pairs would be the square
    of the group.  Only classes it does not settle go on to all earlier classes at their tokens.
-5. Pairs pass the length and positional filters and a bound by the tokens their prefixes share, and
-   are then verified on whole token sets, from the text of the two lines.
+   These meet only where a token may be the rarest that they share: a similar pair has all it shares at that
+   token and behind it, so it lies early in both, and classes that share a frequent token further on
+   make no pair.
+5. Pairs, in 4. those with first classes also a bound by the tokens their prefixes share, are
+   verified on whole token sets, from the text of the two lines.
 
 Blank lines have no tokens and stay.  Null text stays null.  Null doc_id comes last in the order.
 Rows that repeat doc_id and text are judged alike, as one document.  Empty tables
@@ -40,29 +43,25 @@ _KEY = ("doc", "no", "rid")
 _RARE_BITS = 56
 
 
-def _word_hashes(line: Column) -> Column:
-    plain = F.lower(line)
-    for space in "\t\x0b\x0c\r":
-        plain = F.replace(plain, F.lit(space), F.lit(" "))
-    return F.transform(F.array_remove(F.split(plain, " "), ""), lambda w: F.xxhash64(w))
+def _words(line: Column) -> Column:
+    """The lower-cased words of a line."""
+    # Few lines hold other white space than spaces.
+    plain = F.when(line.rlike(r"[\t\x0B\f\r]"), F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
+    return F.array_remove(F.split(F.lower(plain), " "), "")
 
 
-def _shingles(words: Column, width: int) -> Column:
-    """Hashed shingles of an array of word hashes, repeats included."""
+def _set(words: Column, width: int) -> Column:
+    """Distinct hashed shingles of an array of words."""
     n = F.greatest(F.size(words) - width + 1, F.lit(1))
     # Each shingle is a struct; those beyond the last word are null and leave the hash as it is.
     runs = F.arrays_zip(*[F.slice(words, j + 1, n) for j in range(width)])
-    return F.transform(runs, lambda run: F.xxhash64(run))
-
-
-def _set(words: Column, width: int) -> Column:
-    return F.array_distinct(_shingles(words, width))
+    return F.array_distinct(F.transform(runs, lambda run: F.xxhash64(*[run[str(j)] for j in range(width)])))
 
 
 def line_tokens(line: Column, width: int = WIDTH) -> Column:
     """Distinct hashed shingles of a line that has words."""
     # The words are bound once, not computed again for every shingle.
-    return F.transform(F.array(_word_hashes(line)), lambda words: _set(words, width))[0]
+    return F.transform(F.array(_words(line)), lambda words: _set(words, width))[0]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -91,7 +90,7 @@ def _rarity(lines: DataFrame, width: int) -> Column:
     Higher-order functions take no subquery, so the counters, whose number is fixed,
     pass through the driver.
     """
-    words = lines.select(_word_hashes(F.col("line")).alias("words"))
+    words = lines.select(_words(F.col("line")).alias("words"))
     last = F.greatest(F.size("words") - width, F.lit(0))
     starts = words.select("words", F.explode(F.sequence(F.lit(0), last)).alias("i"))
     token = F.xxhash64(*[F.get("words", F.col("i") + j) for j in range(width)])
@@ -124,7 +123,7 @@ def _class_table(docs: DataFrame, width: int) -> DataFrame:
     """
     lines = _lines(docs)
     rarity = _rarity(lines, width)
-    words = lines.select(*_KEY, _word_hashes(F.col("line")).alias("words"))
+    words = lines.select(*_KEY, _words(F.col("line")).alias("words"))
     sets = words.select(*_KEY, *_word_key(F.col("words")), _set(F.col("words"), width).alias("tokens"))
     lower = F.lit((1 << _RARE_BITS) - 1)
     ranked = F.sort_array(
@@ -145,6 +144,14 @@ def _order(prefix: str = "") -> Column:
     return F.struct(*[F.col(prefix + c) for c in _KEY])
 
 
+def _first_met(nx: Column, px: Column, ny: Column, py: Column) -> Column:
+    """Length and positional filter on two postings that may be the rarest token of a similar pair.
+
+    All that the pair shares lies at that token and behind it, so it must lie early enough in both.
+    """
+    return F.least(nx - px, ny - py) * (_NUM + _DEN) >= (nx + ny) * _NUM
+
+
 def _close(nx: Column, px: Column, ny: Column, py: Column) -> Column:
     """Length and positional filter on two postings of one token."""
     most = F.least(px, py) + 1 + F.least(nx - px, ny - py) - 1
@@ -219,6 +226,18 @@ def _postings(classes: DataFrame) -> DataFrame:
     return _written(postings.select("token", *_KEY, "n", "pos", *leader), "postings")
 
 
+def _meetings(postings: DataFrame, settled: DataFrame) -> DataFrame:
+    """(x_doc, ..., y_doc, ...) of classes x that are not settled and earlier classes y, where a token may be the
+    rarest that they share.
+    """
+    all_ = postings.select("token", *_KEY, "n", "pos")
+    open_ = all_.join(settled, list(_KEY), "left_anti").select(all_.columns)
+    open_, all_ = (rows.toDF("token", *[f"{a}_{c}" for c in all_.columns[1:]]) for a, rows in (("x", open_), ("y", all_)))
+    ends = [F.col(c) for c in ("x_n", "x_pos", "y_n", "y_pos")]
+    meet = open_.join(all_, "token").filter((_order("y_") < _order("x_")) & _first_met(*ends))
+    return meet.select(*[f"{a}_{c}" for a in "xy" for c in _KEY])
+
+
 def removed_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc, rid, no) of every line that has an earlier match."""
     classes = _class_table(docs, width)
@@ -232,17 +251,12 @@ def removed_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     best = best.select(*[f"x_{c}" for c in _KEY], *[f"y.y_{c}" for c in _KEY])
     settled = _verified(best, docs, width)
 
-    all_ = postings.select("token", *_KEY, "n", "pos")
-    open_ = all_.join(settled, list(_KEY), "left_anti").select(all_.columns)
-    open_, all_ = (rows.toDF("token", *[f"{a}_{c}" for c in all_.columns[1:]]) for a, rows in (("x", open_), ("y", all_)))
-    ends = [F.col(c) for c in ("x_n", "x_pos", "y_n", "y_pos")]
-    meet = open_.join(all_, "token").filter((_order("y_") < _order("x_")) & _close(*ends))
-    pairs = _pairs(meet.select(*[f"x_{c}" for c in (*_KEY, "n")], *y)).drop("shared")
+    pairs = _meetings(postings, settled).distinct()
     matched = settled.unionByName(_verified(pairs, docs, width))
 
     # All lines of a class but its first go, and the first of a matched class.
     several = classes.filter("lines > 1").select("k1", "k2", F.struct(*_KEY).alias("first"))
-    words = _lines(docs).select(*_KEY, _word_hashes(F.col("line")).alias("words"))
+    words = _lines(docs).select(*_KEY, _words(F.col("line")).alias("words"))
     # Generated, so that the filter is not pushed below the hashes and computes them again.
     keys = words.select(*_KEY, F.inline(F.array(F.struct(*_word_key(F.col("words"))))))
     later = keys.filter(_may_hold(several, "k1", "k2")).join(several, ["k1", "k2"])

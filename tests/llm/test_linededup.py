@@ -106,3 +106,21 @@ def test_tables_kept_on_disk_stay_below_the_text(spark):
     gone = plain_removed(docs)
     assert gone
     assert {r.doc_id: r.removed for r in rows} == {d: ",".join(map(str, sorted(gone.get((d, t), ())))) for d, t in docs}
+
+
+def test_near_copies_meet_at_few_tokens(spark):
+    """Copies of one line with a word changed share most of their tokens, yet few pairs are similar."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    lines = [" ".join([*base[:at], f"own{i}", *base[at + 1 :]]) for i in range(120) for at in [rng.randrange(5, 55)]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    postings = linededup._postings(linededup._class_table(docs, linededup.WIDTH))
+    settled = postings.select("doc", "no", "rid").limit(0)
+    meetings = [(r.y_doc, r.x_doc) for r in linededup._meetings(postings, settled).collect()]
+    sets = [token_set(line) for line in lines]
+    pairs = [(y, x) for x in range(len(lines)) for y in range(x)]
+    similar = {(y, x) for y, x in pairs if len(sets[x] & sets[y]) * 9 >= 4 * (len(sets[x]) + len(sets[y]))}
+    assert similar and similar <= set(meetings)
+    assert len(meetings) < 3 * len(pairs)
+    gone = plain_removed(list(enumerate(lines)))
+    assert {r.doc_id for r in linededup.report(docs).collect() if r.n_removed} == {doc_id for doc_id, _ in gone}
