@@ -45,7 +45,7 @@ LONGEST = 64
 LOOKAHEAD = 512
 
 # Bytes of text whose equal stretches are encoded once.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 
 # Bytes that go through the decoder at a time.
 DECODE_BYTES = 1 << 16

@@ -1,6 +1,9 @@
 """Encoding against the public library whose ids are wanted, decoding by round trip."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -107,3 +110,30 @@ def test_query_over_whole_documents(spark, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+MEMORY = """
+import random
+from pathlib import Path
+import public_tokenizers, pyarrow as pa
+from modgauge.llm import bpe
+
+def held():
+    return int(Path("/proc/self/status").read_text().split("VmHWM:")[1].split()[0]) / 1024
+
+rng = random.Random(5)
+words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(20_000)]
+column = pa.array([" ".join(rng.choices(words, k=500)) for _ in range(3000)])
+own = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+start = held()
+for _, _, ids, ends in bpe._encoded(column, own):
+    own.decimals_of(ids, ends), own.decoded(ids, ends)
+print(held() - start)
+"""
+
+
+def test_memory_of_encoding():
+    """A worker holds the numbers of one block, whatever the size of the batch."""
+    root = Path(__file__).parents[2]
+    out = subprocess.run([sys.executable, "-c", MEMORY], cwd=root, capture_output=True, text=True, check=True).stdout
+    assert float(out) < 100
