@@ -42,26 +42,50 @@ _KEY = ("doc", "no", "rid")
 # A ranked token: its rarity in the upper bits, above these of the token.
 _RARE_BITS = 56
 
+# Bytes of a word's code: the hexadecimal digits of its hash.
+_CODE = 16
+
 
 def _words(line: Column) -> Column:
     """The lower-cased words of a line."""
     # Few lines hold other white space than spaces.
-    plain = F.when(line.rlike(r"[\t\x0B\f\r]"), F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
+    other = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r")
+    plain = F.when(other, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
     return F.array_remove(F.split(F.lower(plain), " "), "")
 
 
-def _set(words: Column, width: int) -> Column:
-    """Distinct hashed shingles of an array of words."""
-    n = F.greatest(F.size(words) - width + 1, F.lit(1))
-    # Each shingle is a struct; those beyond the last word are null and leave the hash as it is.
-    runs = F.arrays_zip(*[F.slice(words, j + 1, n) for j in range(width)])
-    return F.array_distinct(F.transform(runs, lambda run: F.xxhash64(*[run[str(j)] for j in range(width)])))
+def _codes(words: Column) -> Column:
+    """The codes of an array of words, one after the other, as bytes.
+
+    A shingle is a stretch of them, so that hashing it takes one step, not one for each of its words.
+    """
+    # The sign bit is set, so that all codes have as many digits.
+    code = F.transform(words, lambda word: F.hex(F.xxhash64(word).bitwiseOR(F.lit(-_LAST - 1))))
+    return F.array_join(code, "").cast("binary")
+
+
+def _starts(codes: Column, width: int) -> Column:
+    """Where shingles begin, from 1; fewer words than `width` are one."""
+    last = F.greatest(F.octet_length(codes) - _CODE * width, F.lit(0)) + 1
+    return F.sequence(F.lit(1), last, F.lit(_CODE))
+
+
+def _token(codes: Column, start: Column, width: int) -> Column:
+    return F.xxhash64(F.substr(codes, start, F.lit(_CODE * width)))
+
+
+def _set(codes: Column, width: int) -> Column:
+    """Distinct hashed shingles of a line's codes."""
+    # The codes are bound once, not copied from the row again for every shingle.
+    tokens = F.transform(
+        F.array(codes), lambda bound: F.transform(_starts(bound, width), lambda start: _token(bound, start, width))
+    )
+    return F.array_distinct(tokens[0])
 
 
 def line_tokens(line: Column, width: int = WIDTH) -> Column:
     """Distinct hashed shingles of a line that has words."""
-    # The words are bound once, not computed again for every shingle.
-    return F.transform(F.array(_words(line)), lambda words: _set(words, width))[0]
+    return _set(_codes(_words(line)), width)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -90,10 +114,9 @@ def _rarity(lines: DataFrame, width: int) -> Column:
     Higher-order functions take no subquery, so the counters, whose number is fixed,
     pass through the driver.
     """
-    words = lines.select(_words(F.col("line")).alias("words"))
-    last = F.greatest(F.size("words") - width, F.lit(0))
-    starts = words.select("words", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    token = F.xxhash64(*[F.get("words", F.col("i") + j) for j in range(width)])
+    codes = lines.select(_codes(_words(F.col("line"))).alias("codes"))
+    starts = codes.select("codes", F.explode(_starts(F.col("codes"), width)).alias("start"))
+    token = _token(F.col("codes"), F.col("start"), width)
     counts = starts.groupBy(_bucket(token).alias("at")).agg(
         F.least(F.floor(8 * F.log2(F.count("*"))), F.lit(255)).cast("int").alias("level")
     )
@@ -116,28 +139,45 @@ def _least(n: Column) -> Column:
     return F.floor((n * _NUM + _DEN - 1) / _DEN).cast("int")
 
 
-def _class_table(docs: DataFrame, width: int) -> DataFrame:
-    """(k1, k2, lines, doc, no, rid, n, prefix) of every class of lines, written once.
+def _line_table(docs: DataFrame, width: int) -> DataFrame:
+    """(k1, k2, doc, no, rid, n, prefix) of every line with a word, written once.
 
-    (k1, k2) is a 128-bit hash of the words, lines counts the class, prefix holds its rarest tokens, ranked.
+    (k1, k2) is a 128-bit hash of the codes of the words, prefix holds the rarest of the n tokens, ranked.
     """
     lines = _lines(docs)
     rarity = _rarity(lines, width)
-    words = lines.select(*_KEY, _words(F.col("line")).alias("words"))
-    sets = words.select(*_KEY, *_word_key(F.col("words")), _set(F.col("words"), width).alias("tokens"))
+    codes = lines.select(*_KEY, _codes(_words(F.col("line"))).alias("codes"))
+    sets = codes.select(*_KEY, *_word_key(F.col("codes")), _set(F.col("codes"), width).alias("tokens"))
     lower = F.lit((1 << _RARE_BITS) - 1)
-    ranked = F.sort_array(
-        F.transform("tokens", lambda t: F.get(rarity, _bucket(t)).bitwiseOR(t.bitwiseAND(lower)))
-    )
+    # There is a rarity for every bucket; arrays that cannot hold nulls are sorted faster.
+    rare = lambda t: F.coalesce(F.get(rarity, _bucket(t)), F.lit(0).cast("bigint"))
+    ranked = F.sort_array(F.transform("tokens", lambda t: rare(t).bitwiseOR(t.bitwiseAND(lower))))
     n = F.size("tokens")
-    ranked = sets.select(*_KEY, "k1", "k2", n.alias("n"), F.slice(ranked, F.lit(1), n - _least(n) + 1).alias("prefix"))
+    prefix = F.slice(ranked, F.lit(1), n - _least(n) + 1).alias("prefix")
+    return _written(sets.select("k1", "k2", *_KEY, n.alias("n"), prefix), "lines")
+
+
+def _classes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2, lines, doc, no, rid, n, prefix) of every class of the line table, and of those of several lines.
+
+    `lines` counts the class, the rest is its first line's.  Only rows that may be of the same words as others are grouped.
+    """
+    equal = lines.groupBy("k1", "k2").count().filter("count > 1")
+    may = _may_hold(equal, "k1", "k2", words=4 * BUCKETS)
     first = F.min(F.struct(*_KEY, "n", "prefix")).alias("f")
-    classes = ranked.groupBy("k1", "k2").agg(first, F.count("*").alias("lines"))
-    return _written(classes.select("k1", "k2", "lines", "f.*"), "classes")
+    grouped = lines.filter(may).groupBy("k1", "k2").agg(first, F.count("*").alias("lines"))
+    grouped = _written(grouped.select("k1", "k2", "lines", "f.*"), "classes")
+    alone = lines.filter(~may).withColumn("lines", F.lit(1).cast("bigint"))
+    return alone.select(grouped.columns).unionByName(grouped), grouped.filter("lines > 1")
+
+
+def _class_table(docs: DataFrame, width: int) -> DataFrame:
+    """(k1, k2, lines, doc, no, rid, n, prefix) of every class of lines."""
+    return _classes(_line_table(docs, width))[0]
 
 
-def _word_key(words: Column) -> list[Column]:
-    return [F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(1), words).alias("k2")]
+def _word_key(codes: Column) -> list[Column]:
+    return [F.xxhash64(codes).alias("k1"), F.xxhash64(F.lit(1), codes).alias("k2")]
 
 
 def _order(prefix: str = "") -> Column:
@@ -240,7 +280,8 @@ def _meetings(postings: DataFrame, settled: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc, rid, no) of every line that has an earlier match."""
-    classes = _class_table(docs, width)
+    lines = _line_table(docs, width)
+    classes, several = _classes(lines)
     postings = _postings(classes)
     x = [F.col(c).alias(f"x_{c}") for c in (*_KEY, "n")]
     y = [f"y_{c}" for c in (*_KEY, "n")]
@@ -255,11 +296,9 @@ def removed_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     matched = settled.unionByName(_verified(pairs, docs, width))
 
     # All lines of a class but its first go, and the first of a matched class.
-    several = classes.filter("lines > 1").select("k1", "k2", F.struct(*_KEY).alias("first"))
-    words = _lines(docs).select(*_KEY, _words(F.col("line")).alias("words"))
-    # Generated, so that the filter is not pushed below the hashes and computes them again.
-    keys = words.select(*_KEY, F.inline(F.array(F.struct(*_word_key(F.col("words"))))))
-    later = keys.filter(_may_hold(several, "k1", "k2")).join(several, ["k1", "k2"])
+    several = several.select("k1", "k2", F.struct(*_KEY).alias("first"))
+    keys = lines.select("k1", "k2", *_KEY)
+    later = keys.filter(_may_hold(several, "k1", "k2", words=4 * BUCKETS)).join(several, ["k1", "k2"])
     later = later.filter(F.struct(*_KEY) != F.col("first")).select(*_KEY)
     return later.unionByName(matched).select("doc", "rid", "no").distinct()
 

@@ -124,3 +124,30 @@ def test_near_copies_meet_at_few_tokens(spark):
     assert len(meetings) < 3 * len(pairs)
     gone = plain_removed(list(enumerate(lines)))
     assert {r.doc_id for r in linededup.report(docs).collect() if r.n_removed} == {doc_id for doc_id, _ in gone}
+
+
+def test_codes_are_hashed_once_for_a_shingle(spark):
+    """Tokens are stretches of a line's codes: as many as shingles, shared exactly where shingles are."""
+    lines = ["a b c d e f g", "A  b\tc d e f g", "x b c d e f y", "a b", "ab", "a a a a a a a", "b a c d e f g", "é ß Ω ω σ ς"]
+    frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    codes = linededup._codes(linededup._words(frame.line))
+    rows = frame.select(codes.alias("codes"), linededup.line_tokens(frame.line).alias("tokens")).collect()
+    sets = [token_set(line) for line in lines]
+    for r, line, own in zip(rows, lines, sets, strict=True):
+        assert (len(r.codes), len(r.tokens)) == (linededup._CODE * len(line.split()), len(own))
+    for i, x in enumerate(sets):
+        assert [len(set(rows[i].tokens) & set(r.tokens)) for r in rows] == [len(x & y) for y in sets]
+
+
+def test_only_lines_of_the_same_words_are_grouped(spark):
+    """Repeated rows, equal lines and lines on their own make one class each, named by their first line."""
+    docs = [(5, "one two three\nfour"), (3, "ONE  two three"), (None, "one two three"), (4, "alone here"), (4, "alone here")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    lines = linededup._line_table(frame, linededup.WIDTH)
+    classes, several = linededup._classes(lines)
+    found = sorted((r.doc, r.no, r.lines) for r in classes.collect())
+    assert found == [(3, 0, 3), (4, 0, 2), (5, 1, 1)]
+    assert sorted(r.doc for r in several.collect()) == [3, 4]
+    assert sorted((str(r.doc_id), r.removed) for r in linededup.report(frame).collect()) == [
+        ("3", ""), ("4", ""), ("4", ""), ("5", "0"), ("None", "0")
+    ]
